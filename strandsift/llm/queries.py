@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import language_id, line_frequency, mixing, packing, warc
+from . import jaccard_join, language_id, line_frequency, mixing, packing, suffix_tree_lm, warc
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
+    "op2_suffix_tree_lm": suffix_tree_lm.op2_suffix_tree_lm,
     "op3_language_id": language_id.op3_language_id,
     "op4_mix": mixing.op4_mix,
     "op5_best_fit": packing.op5_best_fit,
     "op6_warc": warc.op6_warc,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.OP1_SQL,
     "op4_mix": mixing.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }
