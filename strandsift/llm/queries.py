@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, line_frequency, mixing, packing, secret_scan, suffix_tree_lm, warc
+from . import jaccard_join, language_id, line_frequency, mixing, packing, secret_scan, suffix_tree_lm, warc, webp
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix": mixing.op4_mix,
     "op5_best_fit": packing.op5_best_fit,
     "op6_warc": warc.op6_warc,
+    "op7_webp": webp.op7_webp,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
