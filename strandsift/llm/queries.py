@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, line_frequency, mixing, packing, secret_scan, suffix_tree_lm, warc, webp
+from . import column_bwt, jaccard_join, language_id, line_frequency, mixing, packing, secret_scan, suffix_tree_lm, warc, webp
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit": packing.op5_best_fit,
     "op6_warc": warc.op6_warc,
     "op7_webp": webp.op7_webp,
+    "op8_column_bwt": column_bwt.op8_column_bwt,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
