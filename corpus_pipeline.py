@@ -1,7 +1,64 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Quality rules, near-duplicate removal, secret redaction, mixing to target weights, packing. Every
+stage works on all rows that the one before it kept; all but the last return the columns of
+``documents`` (``n_chars`` follows the text where a stage changes it).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandsift.llm import common, jaccard_join, line_frequency, mixing, packing, secret_scan
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not depleted, without their boilerplate lines."""
+    return _measured(line_frequency.clean_documents(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.75): the least doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return _measured(secret_scan.redact(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Placement of every piece of every document in a training sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scan", secrets),
+    ("source mixing", mix),
+    ("best-fit packing", pack),
+]
+
+#: Hash bands, a trained forest and a greedy packing are not SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.materialize(docs, f"pipeline-{k}")
+    return docs
