@@ -178,7 +178,7 @@ def run_probabilities(runs: np.ndarray, n: np.ndarray, base: np.ndarray, levels,
     return p if p is not None else _low(base, levels, runs, LOW)
 
 
-def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; ``learn`` says which rows teach."""
     if not LOW < depth < 8:
         raise ValueError("depth is from 3 to 7")
@@ -231,14 +231,13 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
                 keys, n = c.merge()
                 if kind:
                     n = n + (keys == _END) * ends[b]
-                near = ((keys >> np.uint64(8)) & three if not kind else keys).view(np.int64)
                 for i in range(0, len(keys), 65536):
                     s = slice(i, i + 65536)
                     m = len(keys[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b, np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array(near[s]), pa.array(keys[s].view(np.int64)), pa.array(n[s])], names=["block", "kind", "near", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b, np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array(keys[s].view(np.int64)), pa.array(n[s])], names=["block", "kind", "key", "n"])
         tables.clear()
 
-    asked = dealt.repartition(blocks, "block").mapInArrow(ask, "block int, kind byte, near long, key long, n long")
+    asked = dealt.repartition(blocks, "block").mapInArrow(ask, "block int, kind byte, key long, n long")
 
     def answer(batches):
         t = [b.select(["block", "kind", "key", "n"]) for b in batches]
@@ -254,29 +253,31 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
             u, inv = np.unique(key[mine].view(np.uint64), return_inverse=True)
             m = np.bincount(inv, n[mine], minlength=len(u)).astype(np.int64)
             if k == 0:
-                value = np.log10(run_probabilities(u, m, base, levels, depth, min_count, cut))
+                value = np.log10(run_probabilities(u, m, base, levels, depth, min_count, cut)).astype(np.float32).astype(np.float64)
             else:
-                value = np.log10(m + 0.1)
+                value = m.astype(np.float64)  # the count
                 tokens, distinct = int(m.sum()), int((m > 0).sum())
             value = value[inv]
             for i in range(0, len(inv), 65536):
                 s = slice(i, i + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(block[mine][s]), pa.array(kind[mine][s]), pa.array(key[mine][s]), pa.array(value[s]), pa.nulls(len(value[s]), pa.int64()), pa.nulls(len(value[s]), pa.int64())], names=["block", "kind", "key", "value", "tokens", "distinct"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([2], pa.int8()), pa.array([0]), pa.array([0.0]), pa.array([tokens]), pa.array([distinct])], names=["block", "kind", "key", "value", "tokens", "distinct"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[mine][s]), pa.array(kind[mine][s]), pa.array(key[mine][s]), pa.array(value[s])], names=["block", "kind", "key", "value"])
+        # this partition's part of N and V, for block -1
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([2], pa.int8()), pa.array([tokens]), pa.array([float(distinct)])], names=["block", "kind", "key", "value"])
 
-    answers = asked.repartition("kind", "near").mapInArrow(answer, "block int, kind byte, key long, value double, tokens long, distinct long")
+    # a run's relatives share the three bytes before its symbol
+    near = F.when(F.col("kind") == 0, F.shiftright("key", 8).bitwiseAND(0xFFFFFF)).otherwise(F.col("key"))
+    answers = asked.repartition("kind", near).mapInArrow(answer, "block int, kind byte, key long, value double")
     names = ("doc_id", "learn", "n_tokens", "n_known", "base", "score", "tokens", "distinct")
     kinds = {"doc_id": pa.int64(), "learn": pa.bool_(), "base": pa.float64(), "score": pa.float64()}
     schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in names])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:  # the partitions' totals
-            total = right.select(["tokens", "distinct"])
             none = {c: pa.nulls(right.num_rows, schema.field(c).type) for c in names if c not in ("tokens", "distinct")}
-            return pa.table(none | {"tokens": total.column(0), "distinct": total.column(1)}).select(list(names)).cast(schema)
+            return pa.table(none | {"tokens": right.column("key"), "distinct": right.column("value")}).select(list(names)).cast(schema)
         kind = right.column("kind").to_numpy()
         key, value = right.column("key").to_numpy().view(np.uint64), right.column("value").to_numpy()
-        run_of, word_of = (_Index(key[kind == k], value[kind == k]) for k in (0, 1))
+        run_of, word_of = (_Index(key[kind == k], value[kind == k] if k == 0 else np.log10(value[kind == k] + 0.1)) for k in (0, 1))
         end = float(word_of(np.array([_END], np.uint64))[0])
         buf, offsets = C.text_bytes(left.column("text"))
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
