@@ -1,0 +1,443 @@
+"""Training-data operators against brute force, SQL, round trips and held-out accuracy; and their edge cases."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandsift.llm import column_bwt, common, graph, jaccard_join, language_id, line_frequency, mixing, packing, secret_scan, suffix_tree_lm, warc, webp
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `_key` int, `_ID` string"
+ODD = [
+    (1, None, None, None, None, 1, "x"), (2, "", "en", "a", 0, 1, "x"), (3, " \n\t ", "en", "a", 4, 1, "x"), (None, "no id at all, but words enough to be a line of text here", "en", "a", 9, 1, "x"),
+    (5, "one", "en", "a", 3, 1, "x"), (5, "one", "en", "a", 3, 1, "x"), (6, "one", "en", "b", 3, 2, "y"), (7, "été là " * 3000, "fr", None, 9, 1, "x"),
+    (8, 'key token = "0123456789abcdef0123456789abcdef01234567" and 1234567890123456 \x00 end', "en", "b", 9, 1, "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# ---------------------------------------------------------------- shared pieces
+def test_words_and_hashes():
+    texts = ["a b  c", "", "\n", "x", "é è\x00 z", "end"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    s, e, first = common.words(buf, off)
+    got = [[buf[a:b].tobytes().decode() for a, b in zip(s[i:j], e[i:j], strict=True)] for i, j in zip(first[:-1], first[1:], strict=True)]
+    assert got == [words(t) for t in texts]
+    h = common.PrefixHash(buf)(s, e)
+    spelled = [buf[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    assert len(set(h.tolist())) == len(set(spelled))
+
+
+def test_shingles():
+    texts = ["A b c d e f", "a b c d e f", "x y", "X Y", "", "a a a a a a a", "one"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    keys, o = common.shingle_sets(buf, off)
+    assert np.diff(o).tolist() == [2, 2, 1, 1, 0, 1, 1]
+    sets = [set(keys[a:b].tolist()) for a, b in zip(o[:-1], o[1:], strict=True)]
+    assert sets[0] == sets[1] and sets[2] == sets[3] != sets[6]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + k, 101 + k) for k in range(12)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges + [(None, 1)], "a long, b long")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+# ---------------------------------------------------------------- 1 line frequency
+def test_line_frequency(spark):
+    from tests.helpers import compare
+
+    assert not compare(spark, {"q": line_frequency.op1_line_frequency}, {"q": line_frequency.OP1_SQL}, "/root/testdata/sf0.001")
+
+
+def test_boilerplate_is_removed_once(spark):
+    rows = [(k, f"own words of document {k} which nobody else has at all here\nSHARED  line of the host", "h") for k in range(80)] + [(200, "shared line of the host\n" * 1 + "x", "h"), (300, "shared line OF the host", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    v = {r["doc_id"]: r for r in line_frequency.line_verdicts(line_frequency.line_profile(df), min_words=1).collect()}
+    assert v[0]["removed_words"] == 0 and v[7]["removed_words"] == 5 and v[7]["kept"] and not v[300]["kept"]
+    kept = {r["doc_id"]: r["text"] for r in line_frequency.clean_documents(df, min_words=1).collect()}
+    assert "SHARED" in kept[0] and "SHARED" not in kept[7] and 300 not in kept
+
+
+def test_line_frequency_odd(odd, none):
+    v = line_frequency.line_verdicts(line_frequency.line_profile(odd)).collect()
+    assert len(v) == len(ODD) and sum(r["kept"] for r in v) == 1
+    assert line_frequency.clean_documents(odd).columns == odd.columns and line_frequency.clean_documents(none).count() == 0
+
+
+# ---------------------------------------------------------------- 2 suffix tree
+def test_distributions_sum_to_one():
+    text = [b"the cat sat on the mat the end", b"a cat and the dog", b"", b"dog dog cat"] * 3
+    buf, off = np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in text])])
+    runs, o, _, _ = suffix_tree_lm._spell(buf, off, 4)
+    assert bytes(int(x) & 255 for x in runs[: o[1]]) == b"the cat sat on the mat the end \n"
+    u, n = np.unique(runs & np.uint64(0xFFFFFF), return_counts=True)
+    base, levels = suffix_tree_lm.low_model(u, n, 1, 0.5)
+    u, n = np.unique(runs, return_counts=True)
+    for ctx in (b"\nthe", b"cat ", b"zzzz", b"og d"):
+        every = np.array([int.from_bytes(ctx, "big") << 8 | c for c in range(256)], np.uint64)
+        keys = np.union1d(u, every)
+        m = np.zeros(len(keys), np.int64)
+        m[np.searchsorted(keys, u)] = n
+        p = suffix_tree_lm.run_probabilities(keys, m, base, levels, 4, 1, 0.5)
+        assert abs(p[np.searchsorted(keys, every)].sum() - 1) < 1e-9
+
+
+def test_base_scores(spark, docs):
+    got = {r["doc_id"]: r for r in suffix_tree_lm.op2_suffix_tree_lm(spark, "/root/testdata/sf0.001").collect()}
+    import zlib
+
+    rows = [(r["doc_id"], [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(r["text"])] + ["\n"]) for r in docs.collect()]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    c = Counter(t for i, ts in rows if i not in held for t in ts)
+    total, kinds = sum(c.values()), len(c)
+    for i, ts in rows:
+        r = got[i]
+        want = sum(math.log10((c[t] + 0.1) / (total + 0.1 * (kinds + 1))) for t in ts)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(ts), sum(c[t] > 0 for t in ts), total)
+        assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want)) and r["score"] < 0
+
+
+def test_suffix_tree_odd(odd, none):
+    rows = suffix_tree_lm.score_documents(odd, F.lit(True)).collect()
+    assert len(rows) == len(ODD) and all(math.isfinite(r["score"]) for r in rows)
+    nothing = suffix_tree_lm.score_documents(odd, F.lit(False)).collect()
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in nothing)
+    assert suffix_tree_lm.score_documents(none, F.lit(True)).count() == 0
+
+
+# ---------------------------------------------------------------- 3 language identification
+def test_language_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = language_id.op3_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_odd(spark, odd, none, docs):
+    model = language_id.train(docs, max_rows=100)
+    rows = language_id.predict(odd, model).collect()
+    assert [r["lang_pred"] for r in rows][:3] == ["und"] * 3 and len(rows) == len(ODD)
+    assert language_id.predict(none, model).count() == 0
+    assert language_id.train(none) is None and language_id.predict(odd, None).where("lang_pred <> 'und'").count() == 0
+
+
+# ---------------------------------------------------------------- 4 mixing
+def test_mixing(spark):
+    from tests.helpers import compare
+
+    assert not compare(spark, {"q": mixing.op4_mix}, {"q": mixing.OP4_SQL}, "/root/testdata/sf0.01")
+    rows = mixing.copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert {r["n_copies"] for r in rows} <= {0, 1, 2, 3}
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["source"]] += r["size"] * r["n_copies"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 0.1 * t + 3 * 5200 for s, t in target.items())
+
+
+def test_water_level(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 1), ("c", 1), (None, 10), ("z", 0)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert got["b"] == 3 and got["c"] == 3 and got[None] == 30 and got["z"] == 0 and abs(sum(got.values()) - 1012) < 1e-9
+
+
+def test_mixing_odd(odd, none):
+    rows = mixing.copies(odd).collect()
+    assert len(rows) == len(ODD)
+    want = sum(r["n_copies"] for r in rows)
+    mixed = mixing.mix_documents(odd)
+    assert mixed.columns == odd.columns and mixed.count() == want and mixing.mix_documents(none).count() == 0
+    assert mixing.copies(odd, per_bucket=2).count() == len(ODD)
+
+
+# ---------------------------------------------------------------- 5 packing
+def naive(lengths, sizes, attention):
+    cost = lambda c: c + c * c / attention
+    bins = []
+    for k, n in enumerate(lengths):
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[0] - b[1], b[2]))
+        else:
+            best = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / (n + min(c - n, sum(x for x in lengths[k + 1 :] if x <= c - n))), c))
+            b = [best, 0, len(bins)]
+            bins.append(b)
+        b[1] += n
+        yield b[2]
+
+
+def test_packing_against_naive():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        n = sorted(rng.integers(1, 65, int(rng.integers(1, 120))).tolist(), reverse=True)
+        bins, starts, ends = packing.pack(n, (8, 16, 32, 64), 64.0)
+        assert bins.tolist() == list(naive(n, (8, 16, 32, 64), 64.0))
+        used = np.bincount(bins, n)
+        assert (used <= ends).all() and all(e == min(c for c in (8, 16, 32, 64) if c >= u) for e, u in zip(ends, used, strict=True))
+        for b in range(len(ends)):
+            spans = sorted((s, s + x) for s, x, k in zip(starts, n, bins, strict=True) if k == b)
+            assert spans[0][0] == 0 and all(p[1] == q[0] for p, q in zip(spans[:-1], spans[1:], strict=True))
+
+
+def test_packing_covers_every_word(docs, odd, none):
+    rows = packing.pack_documents(docs, capacities=(64, 256)).collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append((r["from_word"], r["n_words"]))
+        assert r["at"] + r["n_words"] <= r["bin_words"] <= r["capacity"] <= 256
+    for r in docs.collect():
+        at = 0
+        for a, n in sorted(got[r["doc_id"]]):
+            assert a == at
+            at += n
+        assert at == len(words(r["text"]))
+    assert packing.pack_documents(odd).count() == 6 and packing.pack_documents(none).count() == 0
+
+
+# ---------------------------------------------------------------- 6 WARC
+def test_warc(spark, tmp_path):
+    from tests.helpers import compare
+
+    assert not compare(spark, {"q": warc.op6_warc}, {"q": warc.OP6_SQL}, "/root/testdata/sf0.01")
+    big = "é" * 600
+    rows = [(1, "u", big), (2, "u 2", big), (3, None, None), (4, "u", ""), (None, "u", big), (5, "u", "short"), (6, "u", "short"), (2, "u", big)]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, refers_to int")
+    archives = warc.write_warc(pages)
+    got = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(archives).collect())
+    assert got == [(0, "revisit", 2, 1200), (1, "revisit", 2, 1200), (2, "response", None, 1200), (2, "response", None, 1200), (3, "response", None, 0), (4, "response", None, 0), (5, "response", None, 5), (6, "response", None, 5)]
+    for r in archives.collect():
+        (tmp_path / r["name"]).write_bytes(r["archive"])
+    assert warc.read_files(spark, str(tmp_path)).count() == 8
+    assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
+
+
+def test_warc_dictionary_and_errors():
+    records = [warc.page_record(k, f"http://x/{k}", (f"<html>page {k} " + "body text " * 30).encode(), hashlib.sha1((f"<html>page {k} " + "body text " * 30).encode()).digest(), "response", None) for k in range(200)]
+    import zstandard
+
+    dictionary = zstandard.train_dictionary(4096, records).as_bytes()
+    data = warc.write_archive(records, dictionary)
+    assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.read_frames(data)) == records
+    packed = zstandard.compress(dictionary)
+    again = b"\x5d\x2a\x4d\x18" + len(packed).to_bytes(4, "little") + packed + data[8 + len(dictionary) :]
+    assert list(warc.read_frames(again)) == records
+    assert warc.read_page(records[3])["page_id"] == 3
+    for bad in (data[:-3], data[:20]):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_frames(bad))
+    r = records[0]
+    for bad in (r[:-2], r.replace(b"WARC/1.1", b"WARC/9"), r.replace(b"Content-Length: ", b"Content-Length: 1", 1), r.replace(b"body text", b"BODY text", 1), r.replace(b"WARC-Date: ", b"Date: ")):
+        with pytest.raises(warc.WarcError):
+            warc.read_page(bad)
+
+
+# ---------------------------------------------------------------- 7 WebP
+@pytest.mark.parametrize("seed", range(12))
+def test_webp_features(seed):
+    rng = np.random.default_rng(seed)
+    h, w = int(rng.integers(1, 20)), int(rng.integers(1, 20))
+    img = rng.integers(0, 2**32, (h, w), dtype=np.uint64).astype(np.uint32)
+    how = {"cache_bits": int(rng.integers(0, 12)), "backrefs": bool(seed % 2), "green": seed % 3 == 0, "group_bits": 2 if seed % 4 == 1 else None}
+    cw = w
+    if seed % 2:
+        img = img[rng.integers(0, h, (h, w)), rng.integers(0, min(3, w), (h, w))]
+        how["palette"] = seed % 4 == 3
+        cw = -(-w // (1 << webp._palette_bits(len(np.unique(img))))) if how["palette"] else w
+    if seed % 3 == 1:
+        how["modes"] = (rng.integers(0, 14, (-(-h // 4), -(-cw // 4))).astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+    if seed % 3 == 2:
+        how["elements"] = rng.integers(0, 2**24, (-(-h // 4), -(-cw // 4))).astype(np.uint32) | np.uint32(0xFF000000)
+    data = webp.encode(img, **how)
+    assert (webp.decode_many([data])[0] == img).all()
+    with pytest.raises(webp.WebPError):
+        webp.decode_many([data[: len(data) // 2]])
+
+
+def test_webp_column(spark, odd, none):
+    texts = [r[1] for r in ODD] + ["z" * (64 * webp.MAX_ROWS + 5)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    stored = webp.store(df)
+    for r in webp.read_media(stored).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert bytes(r["payload"]) == want and r["n_bytes"] == len(raw)
+    assert webp.read_media(webp.store(odd)).count() == len(ODD) and webp.read_media(webp.store(none)).count() == 0
+
+
+# ---------------------------------------------------------------- 8 column-wise transform
+def test_collection_bwt():
+    rng = np.random.default_rng(0)
+    docs = [bytes(rng.integers(97, 100, int(rng.integers(1, 60)), dtype=np.uint8)) for _ in range(30)] + [b"abcabc", b"abcabc", b"a"]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+    bwt, lcp, doc, size = (np.asarray(x.whole()).tolist() for x in column_bwt.collection_bwt(np.frombuffer(b"".join(docs), np.uint8), off, 50))
+    got = [docs[i][len(docs[i]) - k :] for i, k in zip(doc, size, strict=True)]
+    assert got == sorted(got) and len(got) == sum(len(d) + 1 for d in docs)
+
+    def common_prefix(a, b):
+        k = 0
+        while k < min(len(a), len(b), 50) and a[k] == b[k]:
+            k += 1
+        return k
+
+    assert lcp == [0] + [common_prefix(a, b) for a, b in zip(got[:-1], got[1:], strict=True)]
+    code = {c: k for k, c in enumerate(sorted(set(b"".join(docs))), 1)}
+    assert bwt == [code[docs[i][len(docs[i]) - k - 1]] if k < len(docs[i]) else 0 for i, k in zip(doc, size, strict=True)]
+
+
+def check_removed(df, rows):
+    want = column_bwt.brute_force(rows)
+    got = {r["doc_id"]: r for r in column_bwt.deduplicate(df).collect()}
+    assert all((got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == want[i] for i, _ in rows)
+
+
+def test_deduplication(spark, docs, none):
+    check_removed(docs, [(r["doc_id"], r["text"].encode()) for r in docs.collect()])
+    rng = np.random.default_rng(5)
+    part = "".join(map(chr, rng.integers(97, 123, 70)))
+    rows = [(1, "a" * 300), (2, "b" * 10 + "a" * 120), (3, part), (4, "x" + part + "y" + part), (5, part[:49]), (6, None), (7, part), (8, "é" * 40), (9, "è" + "é" * 40)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, key1 string")
+    check_removed(df, [(i, (t or "").encode()) for i, t in rows])
+    assert column_bwt.deduplicate(none).count() == 0
+
+
+def test_deduplication_odd(odd):
+    rows = column_bwt.deduplicate(odd).collect()
+    assert len(rows) == len(ODD) and sum(r["n_removed"] for r in rows) == 0
+
+
+# ---------------------------------------------------------------- 9 secrets
+def test_secrets(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = secret_scan.scan(docs).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"] for r in found)
+    planted = {(i, m[1]) for i, t in text.items() for m in re.finditer(r"(?:token = \"|password=)([0-9a-f]{16,40})", t)} | {(i, m[0]) for i, t in text.items() for m in re.finditer(r"AKIA[A-Z0-9]{16}", t)}
+    caught = {(r["doc_id"], r["value"]) for r in found if r["is_secret"]}
+    assert planted and planted <= caught and not {v for _, v in caught if v.isdigit()}
+    want = sorted((i, m[0]) for i, t in text.items() for m in re.finditer(secret_scan.CANDIDATE.replace("(?<==[\"' ]{0,2})", "(?<==)"), t))
+    assert len(found) >= len(want) * 0.99
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(odd).collect()}
+    assert secret_scan.MARK in red[8] and "1234567890123456" in red[8] and red[1] is None
+    assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(none).count() == 0 and secret_scan.scan(none).count() == 0
+
+
+# ---------------------------------------------------------------- 10 Jaccard join
+def jaccard_brute(rows):
+    def shingles(t):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        n = int(rng.choice([1, 3, 6, 12, 30, 90]))
+        if k % 3 == 0 or not rows:
+            w = [f"w{x}" for x in rng.integers(0, 400, n)]
+        else:  # a copy with edits around the limit
+            w = words(rows[int(rng.integers(0, len(rows)))][1])
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(0, len(w)))] = f"w{rng.integers(0, 400)}"
+        rows.append((k, " ".join(w)))
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows += [(1000 + k, passage + " " + " ".join(f"q{k}x{j}" for j in range(60))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, shard_keys=500).collect()}
+    assert got == jaccard_brute(rows)
+
+
+def test_bands_never_miss():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        drop = int(len(a) * rng.random() * 0.16)
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 12))).astype(np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        if 100 * inter >= 75 * (len(a) + len(b) - inter):
+            keys, rows = jaccard_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 75, np.sort(a[: len(a) // 2]) if rng.random() < 0.5 else None)
+            assert np.intersect1d(keys[rows == 0], keys[rows == 1]).size
+
+
+def test_jaccard_odd(odd, none):
+    rows = jaccard_join.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD)
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert got[6] == got[5] == 5 and got[1] == 1 and got[2] == 2 and got[None] is None
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2 and jaccard_join.keep_one(none).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    start = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"), f"t{k}")
+        if k < 4:
+            assert out.columns == start.columns
+        if k == 1:
+            want = jaccard_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, (n, c) in want.items() if c == i)
+        if k == 2:
+            assert out.count() == docs.count()
+        if k == 4:
+            total = docs.select(common.n_words("text").alias("n")).agg(F.sum("n")).first()[0]
+            assert out.agg(F.sum("n_words")).first()[0] == total
+        docs = out
