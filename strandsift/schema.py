@@ -47,6 +47,6 @@ def nest(seqs: DataFrame) -> DataFrame:
     item = F.struct("seq_no", *(f.name for f in SEQ))
     out = seqs.groupBy("name").agg(
         *(F.max(c).alias(c) for c in ("virus_type", "lineage", "country", "continent")),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("dates"), F.array_sort(F.collect_list(item)).alias("seqs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("dates"), F.array_sort(F.collect_list(item), lambda a, b: a["seq_no"] - b["seq_no"]).alias("seqs"),
     )
     return out.withColumn("seqs", F.transform("seqs", lambda s: F.struct(*(s[f.name].alias(f.name) for f in SEQ))))
