@@ -18,7 +18,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], strict: bool = True)
     with other characters, is an error that names file and line; with ``strict=False`` it gets an ``error`` text.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "t")).withColumn("t", F.trim("t")).where("t <> '' AND NOT startswith(t, ';')")
     # within a file the n-th header begins the n-th record: files are the unit of work, as in the reader above
     from pyspark.sql import Window
@@ -32,7 +32,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], strict: bool = True)
     error = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no name").when(F.col("sequence") == "", "no sequence").when(~F.col("sequence").rlike(_LETTERS), "invalid characters")
     made = made.withColumn("error", F.when(error.isNotNull(), F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), error)))
     if strict:
-        made = made.withColumn("sequence", F.when(F.col("error").isNull(), F.col("sequence")).otherwise(F.raise_error("error")))
+        made = made.withColumn("sequence", F.when(F.col("error").isNull(), F.col("sequence")).otherwise(F.raise_error(F.col("error"))))
     numbers = {p: k for k, p in enumerate(paths)}
     no = F.lit(0)
     for p, k in numbers.items():
