@@ -14,9 +14,11 @@ d = (1 - t) / (1 + t) * (|A| + |B|).
    parts; the few that have not meet under one extra key of their band, which keeps the join whole.
 3. Groups under one key are not expanded into pairs. Each class proposes itself to the least class
    of a group; the proposal most keys agree on is verified on the full sets, and verified links give
-   first components. Then pairs of one group in *different* components whose one-bit-per-shingle
-   parity sketches lie within d (their Hamming distance never exceeds the symmetric difference) are
-   verified too. Links inside one component cannot change it, so no link between components is lost.
+   first components. Then, of the pairs of one group in *different* components whose parity sketches
+   lie within d (their Hamming distance never exceeds the symmetric difference), each class's nearest
+   is verified, and the components grow, while that finds links. At last all such pairs between the
+   components left are verified. Links inside one component cannot change it, so no link between
+   components is lost.
 
 Defined cases: null text and texts without words have no shingle and link with nothing; fewer words
 than the shingle length are one shingle; rows that repeat or share a text are one class; a null
@@ -36,7 +38,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import graph
 
-SKETCH_WORDS = 8  # 512 parities
+_LAST = (1 << 63) - 1
+BROADCAST_ROWS = 500_000  # a list of classes up to this long is sent to all tasks; a longer one is joined
+ROUNDS = 4  # turns of nearest pairs at most, before all pairs that are left
+FEW_LINKS = 1000  # a turn that finds fewer links is the last but one
+OFTEN = 1_000_000  # at most so many common shingles are kept out of the first keys
 
 
 # ---------------------------------------------------------------- bands
@@ -70,53 +76,71 @@ def band_plan(k: int, percent: int) -> tuple[int, int, int]:
         p += max(1, p // 50)
 
 
-def part_keys(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of sorted shingle sets, and the row of each."""
+def _keys_of(h: np.ndarray, row: np.ndarray, tables: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each non-empty part of the rows' hash ranges, and its row. ``h`` is sorted within rows."""
+    part = ((h >> C.U64(32)) * parts[row].astype(C.U64)) >> C.U64(32)  # grows with h, so parts lie together
+    new = np.ones(len(h), bool)
+    new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    sig = np.bitwise_xor.reduceat(C.mix(h), at) if len(at) else np.zeros(0, C.U64)
+    r = row[at]
+    return C.mix(sig ^ C.mix(tables[r].astype(C.U64) << C.U64(32) | part[at])), r
+
+
+def part_keys(keys: np.ndarray, offsets: np.ndarray, percent: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of sorted shingle sets, and the row of each.
+
+    Leaving out any fixed set of shingles (``often``, sorted) on both sides never adds differences, so
+    the pigeonhole holds on the rest; sets whose rest has too few parts are keyed in full as well.
+    """
     n = np.diff(offsets)
     bands = np.zeros(len(n), np.int64)
     for size in np.unique(n[n > 0]).tolist():
         bands[n == size] = band_of(size, percent)
+    all_rows = np.repeat(np.arange(len(n)), n)
+    rare = np.ones(len(keys), bool)
+    if often is not None and len(often):
+        rare = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] != keys
     out, rows = [], []
     for up in (0, 1):
-        plans = [band_plan(int(b) + up, percent) for b in bands]
-        least = np.array([x[0] for x in plans], np.int64)
-        d = np.array([x[1] for x in plans], np.int64)
-        parts = np.array([x[2] for x in plans], np.int64)
-        use = np.flatnonzero((n > 0) & (n >= least))
-        if not len(use):
-            continue
-        take = np.repeat((n > 0) & (n >= least), n)
-        row = np.repeat(np.arange(len(n)), n)[take]
-        h = keys[take]
-        part = ((h >> C.U64(32)) * parts[row].astype(C.U64)) >> C.U64(32)  # grows with h, so parts lie together
-        new = np.ones(len(h), bool)
-        new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-        at = np.flatnonzero(new)
-        sig = np.bitwise_xor.reduceat(C.mix(h), at) if len(at) else np.zeros(0, C.U64)
-        r = row[at]
-        salt = C.mix((bands[r] + up + 1).astype(C.U64) << C.U64(32) | part[at])
-        out.append(C.mix(sig ^ salt))
-        rows.append(r)
-        few = use[np.bincount(r, minlength=len(n))[use] <= d[use]]
+        plans = {b: band_plan(b + up, percent) for b in np.unique(bands).tolist()}
+        least, d, parts = (np.array([plans[b][k] for b in bands.tolist()], np.int64) for k in range(3))
+        joins = (n > 0) & (n >= least)
+        for full in (False, True):
+            take = joins[all_rows] & (rare if not full else True)
+            k, r = _keys_of(keys[take], all_rows[take], 2 * (bands + up + 1) + full, parts)
+            out.append(k)
+            rows.append(r)
+            joins = joins & (np.bincount(r, minlength=len(n)) <= d)  # these may miss a partner so far
+            if not joins.any():
+                break
+        few = np.flatnonzero(joins)
         out.append(C.mix((bands[few] + up + 1).astype(C.U64) << C.U64(40)))
         rows.append(few)
-    if not out:
-        return np.zeros(0, C.U64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(rows)
 
 
-def parity_sketch(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One bit for each shingle, by parity: rows x SKETCH_WORDS."""
-    n = len(offsets) - 1
-    spot = (keys * C.U64(0x9FB21C651E98DF25)) >> C.U64(64 - 6 - int(math.log2(SKETCH_WORDS)))
-    row = C.row_of(offsets).astype(C.U64)
-    order = np.argsort(row * C.U64(SKETCH_WORDS) + (spot >> C.U64(6)), kind="stable")
-    cell = (row * C.U64(SKETCH_WORDS) + (spot >> C.U64(6)))[order]
-    out = np.zeros(n * SKETCH_WORDS, C.U64)
-    if len(cell):
-        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        out[cell[at]] = np.bitwise_xor.reduceat(C.U64(1) << (spot[order] & C.U64(63)), at)
-    return out.reshape(n, SKETCH_WORDS)
+def sketch_bits(n: int) -> int:
+    """Parities kept for a set of n shingles: a power of two from 2 n on, 64 at least."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def parity_sketches(keys: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """One bit for each shingle, by parity. Sketches of different lengths fold onto each other."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        bits = sketch_bits(b - a)
+        spot = keys[a:b] & C.U64(bits - 1)
+        out.append(np.packbits(np.bincount(spot.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
+    return out
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """XOR a sketch (rows x words) down to fewer words."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
 
 
 def set_keys(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -129,21 +153,35 @@ def set_keys(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- passes over the text
-def document_sets(docs: DataFrame, text: str, id: str, size: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (name of its set), sketch of each row."""
+def document_sets(docs: DataFrame, text: str, id: str, size: int, window: int = 1 << 22, least: int = 4) -> DataFrame:
+    """doc_id, text_key, n_shingles, node (name of its set), sketch of each row; and, with a null sketch, the shingles (as node)
+    that ``least`` different sets of one window of ``window`` shingles hold, with that count."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
+    names = ["doc_id", "text_key", "n_shingles", "node", "sketch"]
 
     def run(batches):
+        held, n, seen = [], 0, set()
+
+        def often():
+            keys, count = np.unique(np.concatenate(held), return_counts=True)
+            keys, count = keys[count >= least], count[count >= least]
+            none = pa.nulls(len(keys), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(count, pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.binary())], names=names)
+
         for batch in batches:
             buf, offsets = C.text_bytes(batch.column("text"))
             for i, j in C.pieces(offsets):
                 keys, off = C.shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                sketch = parity_sketch(keys, off).astype("<u8").tobytes()
-                w = 8 * SKETCH_WORDS
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(np.diff(off), pa.int64()), pa.array(set_keys(keys, off)), pa.array([sketch[k * w : k * w + w] for k in range(j - i)], pa.binary())],
-                    names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
-                )
+                nodes = set_keys(keys, off)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(np.diff(off), pa.int64()), pa.array(nodes), pa.array(parity_sketches(keys, off), pa.binary())], names=names)
+                fresh = np.array([v not in seen and not seen.add(v) for v in nodes.tolist()], bool)
+                held.append(keys[np.repeat(fresh, np.diff(off))])
+                n += len(held[-1])
+                if n >= window:
+                    yield often()
+                    held, n, seen = [], 0, set()
+        if n:
+            yield often()
 
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, sketch binary")
 
@@ -161,10 +199,13 @@ def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return wide.view("<u8").ravel(), np.repeat(nodes, counts)
 
 
-def key_groups(docs: DataFrame, text: str, size: int, percent: int, shards: int, flush: int = 1 << 21) -> DataFrame:
+def key_groups(docs: DataFrame, text: str, size: int, percent: int, shards: int, often: np.ndarray, flush: int = 1 << 21) -> DataFrame:
     """group, node, pivot (least node of the group), weight (keys with just these nodes), for groups of two nodes or more."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
     def emit(batches):
+        often = shared.value
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
@@ -192,7 +233,7 @@ def key_groups(docs: DataFrame, text: str, size: int, percent: int, shards: int,
                 if not fresh.all():
                     sets, off = sets[np.repeat(fresh, np.diff(off))], np.concatenate([[0], np.cumsum(np.diff(off)[fresh])])
                     names = names[fresh]
-                keys, rows = part_keys(sets, off, percent)
+                keys, rows = part_keys(sets, off, percent, often)
                 held.append((keys, names[rows]))
                 n += len(keys)
                 if n >= flush:
@@ -258,57 +299,101 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group in different components whose sketches allow the similarity."""
+def _allowed(asks: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``asks`` whose sizes and sketches allow the similarity."""
+    left = info.select(F.col("node").alias("na"), F.col("n_shingles").alias("ka"), F.col("sketch").alias("sa"))
+    right = info.select(F.col("node").alias("nb"), F.col("n_shingles").alias("kb"), F.col("sketch").alias("sb"))
+    both = asks.select("a", "b").join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).where(F.least("ka", "kb") * 100 >= F.greatest("ka", "kb") * percent).select("a", "b", "ka", "kb", "sa", "sb")
 
     def run(batches):
-        parts = [pa.Table.from_batches([b]) for b in batches]
-        if not parts:
-            return
-        t = pa.concat_tables(parts).combine_chunks()
-        group, node, comp, n = (t.column(c).to_numpy() for c in ("group", "node", "component", "n_shingles"))
+        for batch in batches:
+            ka, kb = batch.column("ka").to_numpy(), batch.column("kb").to_numpy()
+            ok = np.zeros(len(ka), bool)
+            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                w = min(len(x), len(y))
+                far = int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum())
+                ok[k] = far * (100 + percent) <= (100 - percent) * int(ka[k] + kb[k])
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _near_pairs(members: DataFrame, info: DataFrame, percent: int, nearest: bool, deal_rows: int = 500_000) -> DataFrame:
+    """Pairs of one group in different components whose sketches allow the similarity: all of them, or for each class
+    the nearest one.
+
+    Groups are dealt into parts, and a class's sketch goes once to each part that has it in a group.
+    """
+    deals = max(4, -(-members.count() // deal_rows))
+    members = members.withColumn("deal", F.pmod(F.xxhash64("group"), F.lit(deals)))
+    asked = members.select("deal", "node", "component").distinct()
+    held = asked.join(info.select(F.col("node").alias("i_node"), "n_shingles", "sketch"), F.col("node") == F.col("i_node")).select("deal", "node", "component", "n_shingles", "sketch")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("node").to_numpy()
+        rank = np.argsort(names)
+        raw = right.column("sketch").combine_chunks()
+        labels, sizes = right.column("component").to_numpy(), right.column("n_shingles").to_numpy()
+        group = left.column("group").to_numpy()
         order = np.argsort(group, kind="stable")
-        group, node, comp, n = group[order], node[order], comp[order], n[order]
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)[order]
+        group = group[order]
+        who = rank[np.searchsorted(names[rank], left.column("l_node").to_numpy()[order])]
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(group))
-        pa_, pb_ = [], []
+        found: set[tuple[int, int]] = set()
+        closest: dict[int, tuple[int, int]] = {}
         for lo, hi in zip(at.tolist(), ends.tolist(), strict=True):
+            own = [np.frombuffer(raw[k].as_buffer(), "<u8") for k in who[lo:hi].tolist()]
+            words = min(len(x) for x in own)
+            sketch = np.stack([fold(x, words) for x in own])
+            size, label, name = sizes[who[lo:hi]], labels[who[lo:hi]], names[who[lo:hi]]
+            best = np.full(hi - lo, _LAST)
             step = max(1, (1 << 18) // (hi - lo))
-            for i in range(lo, hi - 1, step):
-                j = min(hi, i + step)
-                apart = comp[i:j, None] != comp[None, i:hi]
-                big, small = np.maximum(n[i:j, None], n[None, i:hi]), np.minimum(n[i:j, None], n[None, i:hi])
-                apart &= 100 * small >= percent * big
-                x, y = np.nonzero(apart)
-                up = x < y
-                x, y = x[up] + i, y[up] + i
-                if not len(x):
-                    continue
-                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-                near = far * (100 + percent) <= (100 - percent) * (n[x] + n[y])
-                pa_.append(node[x[near]])
-                pb_.append(node[y[near]])
-        if pa_:
-            a, b = np.concatenate(pa_), np.concatenate(pb_)
-            two = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for i in range(0, len(two), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(two[i : i + 100_000, 0]), pa.array(two[i : i + 100_000, 1])], names=["a", "b"])
-
-    return members.repartition("group").mapInArrow(run, "a long, b long")
+            for i in range(0, hi - lo - 1, step):
+                rows = np.arange(i, min(hi - lo, i + step))
+                big, small = np.maximum(size[rows, None], size[None, i:]), np.minimum(size[rows, None], size[None, i:])
+                x, y = np.nonzero((label[rows, None] != label[None, i:]) & (100 * small >= percent * big))
+                x, y = x[y > x] + i, y[y > x] + i
+                for k in range(0, len(x), max(1, (1 << 21) // words)):
+                    u, v = x[k : k + max(1, (1 << 21) // words)], y[k : k + max(1, (1 << 21) // words)]
+                    far = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64)
+                    near = far * (100 + percent) <= (100 - percent) * (size[u] + size[v])
+                    u, v, far = u[near], v[near], far[near]
+                    if nearest:
+                        np.minimum.at(best, u, far << 32 | v)
+                        np.minimum.at(best, v, far << 32 | u)
+                        continue
+                    u, v = name[u], name[v]
+                    found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+            for k in np.flatnonzero(best != _LAST).tolist():
+                mine = (int(best[k]) >> 32, int(name[best[k] & 0xFFFFFFFF]))
+                closest[int(name[k])] = min(mine, closest.get(int(name[k]), mine))
+        if nearest:
+            a, far, b = zip(*((k, *v) for k, v in closest.items()), strict=True) if closest else ((), (), ())
+        else:
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            far = [0] * len(a)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "far": pa.array(far, pa.int64())})
+
+    return members.select(F.col("deal").alias("l_deal"), "group", F.col("node").alias("l_node")).groupBy("l_deal").cogroup(held.groupBy("deal")).applyInArrow(run, "a long, b long, far long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = 5, percent: int = 75, shard_keys: int = 2_000_000) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id of each row."""
     rows = C.materialize(document_sets(docs, text, id, size), "sets")
+    # shingles of passages and of large groups of copies: a hint of bounded size that moves work, never results
+    often = rows.where("sketch IS NULL").groupBy("node").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "node").limit(OFTEN).select("node").toArrow()
+    often = np.sort(often.column("node").to_numpy().view(C.U64))
+    rows = rows.where("sketch IS NOT NULL")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = C.materialize(key_groups(docs, text, size, percent, max(4, -(-total // shard_keys))), "key-groups")
-    # one text for each class that met another
+    groups = C.materialize(key_groups(docs, text, size, percent, max(4, -(-total // shard_keys)), often), "key-groups")
+    # one row for each class that met another
     met = groups.select("node").distinct()
     chosen = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sketch")).alias("x")).select("node", "x.*")
-    chosen = C.materialize(chosen.join(met, "node", "left_semi").select("node", F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "n_shingles", "sketch"), "met")
+    info = C.materialize(chosen.join(met, "node", "left_semi").select("node", F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "n_shingles", "sketch"), "met")
     t = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
-    t = t.join(chosen.select("node", "c_id", "c_key"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).select("node", "text")
 
     def shingles(batches):
         for batch in batches:
@@ -317,21 +402,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", siz
                 keys, off = C.shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array([keys[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
-    sets = C.materialize(t.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "met-sets")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among ``pairs``, from the full sets of the classes in them."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("p_node")).distinct()
+        need = C.materialize(info.join(nodes, F.col("node") == F.col("p_node"), "left_semi").select("node", "c_id", "c_key"), "needed")
+        need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+        sets = t.join(need, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).select("node", "text")
+        sets = C.materialize(sets.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "needed-sets")
+        return C.materialize(_verify(pairs, sets, percent), name)
 
     asks = groups.where("node <> pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("w"))
     asks = asks.groupBy("node").agg(F.max(F.struct("w", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.p")).alias("b"))
-    links = C.materialize(_verify(asks, sets, percent), "links-1")
+    links = verified(C.materialize(_allowed(asks, info, percent), "asks"), "links-1")
     first = graph.components(links)
 
-    g = groups.select("group", "node").join(first.withColumnRenamed("node", "fn"), F.col("node") == F.col("fn"), "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    g = C.materialize(g, "members")
-    mixed = g.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("group").alias("mg"))
-    info = chosen.select(F.col("node").alias("i_node"), "n_shingles", "sketch")
-    members = g.join(mixed, F.col("group") == F.col("mg"), "left_semi").join(info, F.col("node") == F.col("i_node")).select("group", "node", "component", "n_shingles", "sketch")
-    pairs = C.materialize(_near_pairs(members, percent).distinct(), "pairs")
-    more = C.materialize(_verify(pairs, sets, percent), "links-2")
-    comps = graph.components(links.unionByName(more)) if more.limit(1).count() else first
+    comps, turn, last = first, 0, False
+    while True:
+        c = comps.withColumnRenamed("node", "fn")
+        g = groups.select("group", "node").join(c, F.col("node") == F.col("fn"), "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+        g = C.materialize(g, "members")
+        mixed = g.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("group").alias("mg"))
+        members = C.materialize(g.join(mixed, F.col("group") == F.col("mg"), "left_semi"), "mixed-members")
+        near = _near_pairs(members, info, percent, nearest=not last)
+        if not last:
+            near = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
+        more = verified(C.materialize(near.select("a", "b").distinct(), "pairs"), "links-more")
+        n = more.count()
+        if n:
+            links = C.materialize(links.unionByName(more), "links-all")
+            comps = graph.components(links)
+        if last:
+            break
+        turn += 1
+        last = turn == ROUNDS or n < FEW_LINKS  # the last turn takes all pairs between the components left
 
     named = rows.join(comps.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("comp"))
     ids = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")).withColumnRenamed("comp", "ic")
