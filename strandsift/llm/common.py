@@ -47,6 +47,13 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """About the ``n`` rows of ``df`` with the smallest non-null ``key``: found on the keys alone, so no task sends more than those
+    rows (rows that share the last key all come)."""
+    last = df.select(key.alias("k")).where("k IS NOT NULL").orderBy("k").limit(n).agg(F.max("k")).first()[0]
+    return df.where(key <= last) if last is not None else df.limit(0)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that do not clash with those of ``df`` (which compare case-insensitively)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -153,6 +153,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
     """Fit on at most ``max_rows`` labelled rows, those with the smallest hash of doc_id."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     key = F.xxhash64(F.col(id), F.lit(17))
+    rows = C.smallest(rows, key, max_rows)
     sample = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), key.alias("k"), F.col(id).alias("id")).orderBy("k", "id", "text").limit(max_rows).collect()
     if not sample:
         return None
