@@ -112,6 +112,12 @@ def translate(nuc: Column, offset: int = 0) -> Column:
     return F.array_join(F.transform(positions(n), lambda i: F.coalesce(F.try_element_at(table, codon(i)), F.lit("X"))), "")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("frame", T.IntegerType()), T.StructField("aa", T.StringType())])))
+def translate_frames(nuc: pd.Series) -> pd.Series:
+    """All three frames in Arrow batches; the expression looks its codons up one by one, this is for bulk."""
+    return nuc.map(lambda s: [{"frame": k, "aa": translate_text(s, k)} for k in range(3)])
+
+
 def insert_gaps(c: Column, gaps: Column, width: int = 1) -> Column:
     """Put runs of ``-`` (structs pos, n; 0-based, in order) into a string; positions past the end are clamped."""
     def put(text, gap):

@@ -134,7 +134,7 @@ def proteins(spark, d) -> DataFrame:
 def _hamming(spark, d):
     i = isolates(spark, d)
     rows = i.crossJoin(F.broadcast(i.agg(F.min("nuc").alias("base"))))
-    return rows.select("name", "seq_no", sequence.hamming(F.col("nuc"), F.col("base")).alias("hd")).where("hd < 40")
+    return rows.select("name", "seq_no", sequence.hamming_bulk("nuc", "base").alias("hd")).where("hd < 40")
 
 
 @query("hamming_report", f"WITH {ISO}, b AS (SELECT min(nuc) AS base FROM iso) SELECT DISTINCT nuc, hamming(nuc, base)::INT AS hd FROM iso, b ORDER BY hd DESC, nuc LIMIT 100")
@@ -401,7 +401,7 @@ def _recent(spark, d):
 def _walk(spark, d):
     i = isolates(spark, d)
     rows = i.select("nuc", "iso_date").distinct().crossJoin(F.broadcast(i.agg(F.min("nuc").alias("base"))))
-    return ordering.walk_recent(rows, sequence.hamming(F.col("nuc"), F.col("base")) < 45, 300, "iso_date", "nuc").select("nuc", "iso_date")
+    return ordering.walk_recent(rows, sequence.hamming_bulk("nuc", "base") < 45, 300, "iso_date", "nuc").select("nuc", "iso_date")
 
 
 @query("dedup_seq_id", f"WITH {ISO} SELECT concat(name, '__', passage) AS seq_id, min(nuc) AS nuc FROM iso GROUP BY 1")
@@ -474,8 +474,7 @@ _CODON_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in sequence.CODONS.items())
 @query("translate_frames", f"WITH {ISO}, t(codon, aa) AS (VALUES {_CODON_ROWS}), u AS (SELECT DISTINCT nuc FROM iso), f AS (SELECT nuc, frame, k, substr(nuc, (frame + 3 * k)::INT + 1, 3) AS codon FROM u, (SELECT unnest([0, 1, 2]) AS frame), (SELECT unnest(range(0, 22)) AS k) WHERE frame + 3 * k < 64) SELECT nuc, frame::INT AS frame, string_agg(coalesce(aa, 'X'), '' ORDER BY k) AS aa FROM f LEFT JOIN t USING (codon) GROUP BY ALL")
 def _translate(spark, d):
     u = isolates(spark, d).select("nuc").distinct()
-    each = F.array(*(F.struct(F.lit(k).alias("frame"), sequence.translate(F.col("nuc"), k).alias("aa")) for k in range(3)))
-    return u.select("nuc", F.inline(each))
+    return u.select("nuc", F.inline(sequence.translate_frames("nuc")))
 
 
 @query("clades_h3", f"WITH {PROT} SELECT id, array_to_string(list_filter([{', '.join('CASE WHEN ' + ' AND '.join(f'substr(aa, {r[:-1]}, 1) = {chr(39)}{r[-1]}{chr(39)}' for r in rule.split()) + f' THEN {chr(39)}{name}{chr(39)} END' for name, rule in clades.H3_CLADES)}], lambda x: x IS NOT NULL), ' ') AS clades FROM prot")
