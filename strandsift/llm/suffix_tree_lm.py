@@ -75,7 +75,7 @@ class _Counts:
             self.keys.append(k)
             self.n.append(n if learn else np.zeros(len(k), np.int64))
             self.held += len(k)
-            if self.held > 3_000_000 and len(self.keys) > 1:
+            if self.held > 1_500_000 and len(self.keys) > 1:
                 self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,26 +94,26 @@ class _Index:
     """Values by 64-bit key: open addressing, placed in slot order, looked up array-wise."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.shift = np.uint64(64 - bits)
         slot = self._slot(keys)
         order = np.argsort(slot, kind="stable")
         k = np.arange(len(keys))
         place = np.maximum.accumulate(slot[order] - k) + k if len(keys) else slot
         size = (1 << bits) + len(keys) + 1
-        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool)
-        self.keys[place], self.values[place], self.used[place] = keys[order], values[order], True
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)  # no key is 0
+        self.keys[place], self.values[place] = keys[order], values[order]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = self._slot(keys)
-        wrong = np.flatnonzero((self.keys[at] != keys) | ~self.used[at])
+        wrong = np.flatnonzero(self.keys[at] != keys)
         while len(wrong):
-            at[wrong] += 1
-            if not self.used[at[wrong]].all():
+            if not self.keys[at[wrong]].all():
                 raise KeyError("a block lacks a value it asked for")
+            at[wrong] += 1
             wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
         return self.values[at]
 
@@ -178,7 +178,7 @@ def run_probabilities(runs: np.ndarray, n: np.ndarray, base: np.ndarray, levels,
     return p if p is not None else _low(base, levels, runs, LOW)
 
 
-def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; ``learn`` says which rows teach."""
     if not LOW < depth < 8:
         raise ValueError("depth is from 3 to 7")
@@ -236,6 +236,7 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
                     m = len(keys[s])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b, np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array(keys[s].view(np.int64)), pa.array(n[s])], names=["block", "kind", "key", "n"])
         tables.clear()
+        pa.default_memory_pool().release_unused()
 
     asked = dealt.repartition(blocks, "block").mapInArrow(ask, "block int, kind byte, key long, n long")
 
@@ -279,7 +280,9 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
         key, value = right.column("key").to_numpy().view(np.uint64), right.column("value").to_numpy()
         run_of, word_of = (_Index(key[kind == k], value[kind == k] if k == 0 else np.log10(value[kind == k] + 0.1)) for k in (0, 1))
         end = float(word_of(np.array([_END], np.uint64))[0])
+        del key, value, kind, right
         buf, offsets = C.text_bytes(left.column("text"))
+        left = left.drop_columns(["text"])
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
         for i, j in C.pieces(offsets, 1 << 19):
             runs, off, keys, first = _spell(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
@@ -290,6 +293,8 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
             out["base"].append(sums + end)
             out["score"].append(np.add.reduceat(run_of(runs), off[:-1]))
         done = {c: pa.array(np.concatenate(v)) for c, v in out.items()}
+        del run_of, word_of, buf
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": left.column("doc_id"), "learn": left.column("learn")} | done | {c: pa.nulls(left.num_rows, pa.int64()) for c in ("tokens", "distinct")}).select(list(names)).cast(schema)
 
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, tokens long, distinct long")
