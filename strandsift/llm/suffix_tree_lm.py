@@ -178,7 +178,7 @@ def run_probabilities(runs: np.ndarray, n: np.ndarray, base: np.ndarray, levels,
     return p if p is not None else _low(base, levels, runs, LOW)
 
 
-def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 20 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 28 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; ``learn`` says which rows teach."""
     if not LOW < depth < 8:
         raise ValueError("depth is from 3 to 7")
