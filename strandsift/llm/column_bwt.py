@@ -11,10 +11,10 @@ reads and rewrites from front to back; rounds are as many as the longest documen
 
 Whole documents would need as many rounds as the longest one has bytes, each over the whole collection. So the
 collection is cut at content-defined places first: all strings of ``size`` bytes whose least
-``gram``-byte hash agrees meet under that hash, in segments of consecutive strings (about 70
+``gram``-byte hash agrees meet under that hash, in segments of consecutive strings (about 65
 bytes). Equal strings always share the hash, so nothing is lost; hashes that only one text holds are
-left out. Equal segments are one, with the places they occur at. Shards of about ``shard_segments``
-segments then go through ``collection_bwt``; suffixes whose common prefix reaches ``size`` bytes are
+left out. Equal segments are one, with the places they occur at, and a hash with one segment has nothing
+to compare. Shards of about ``shard_segments`` segments then go through ``collection_bwt``; suffixes whose common prefix reaches ``size`` bytes are
 equal strings, and the least doc_id among them tells which of their places are removed.
 
 Texts that repeat whole are handled once: the copy with the least doc_id counts, the others are
@@ -35,135 +35,136 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, GRAM = 50, 16
+SIZE, GRAM = 50, 24
 BROADCAST_KEYS = 8_000_000  # so many shared hashes are sent to all tasks; beyond, segments are joined with them
 BROADCAST_ROWS = 500_000
 _LAST = (1 << 63) - 1
 
 
 # ---------------------------------------------------------------- external files
-class _File:
-    """A column of numbers in an unlinked temporary file of the task, read and rewritten from front to back."""
+#: A suffix: the symbol in front of it, its common prefix with the suffix before, its length, its document.
+SUFFIX = np.dtype([("bwt", "u1"), ("lcp", "u1"), ("size", "<u2"), ("doc", "<u4")])
+BLOCK = 1 << 19
+
 
-    def __init__(self, dtype):
-        self.dtype, self.n, self.file = np.dtype(dtype), 0, tempfile.TemporaryFile()
+class _File:
+    """Suffixes in an unlinked temporary file of the task, read and rewritten from front to back."""
 
-    def append(self, values: np.ndarray) -> None:
-        self.file.write(np.ascontiguousarray(values, self.dtype).data)
-        self.n += len(values)
+    def __init__(self, rows: np.ndarray):
+        self.n = len(rows)
+        self.file, self.spare = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.file.write(rows.data)
 
-    def blocks(self, size: int = 1 << 20):
-        self.file.flush()
+    def blocks(self):
         self.file.seek(0)
-        at = 0
-        while at < self.n:
-            part = np.frombuffer(self.file.read(self.dtype.itemsize * min(size, self.n - at)), self.dtype)
-            yield at, part
-            at += len(part)
+        for at in range(0, self.n, BLOCK):
+            yield at, np.frombuffer(self.file.read(SUFFIX.itemsize * min(BLOCK, self.n - at)), SUFFIX)
 
-    def whole(self, mode: str = "r") -> np.ndarray:
+    def whole(self) -> np.ndarray:
         self.file.flush()
-        return np.memmap(self.file, self.dtype, mode, shape=(self.n,)) if self.n else np.zeros(0, self.dtype)
+        return np.memmap(self.file, SUFFIX, "r+", shape=(self.n,)) if self.n else np.zeros(0, SUFFIX)
 
-    def insert(self, places: np.ndarray, values: np.ndarray) -> _File:
-        """A new file with ``values`` at ``places`` (ascending, counted in the new file)."""
-        out, done = _File(self.dtype), 0
+    def insert(self, places: np.ndarray, rows: np.ndarray) -> None:
+        """Rewrite with ``rows`` at ``places`` (ascending, counted in the new file)."""
+        done, total = 0, self.n + len(rows)
+        before = places - np.arange(len(places))  # old rows in front of each new one
+        self.spare.seek(0)
         for at, part in self.blocks():
             # the new file's range that this block fills, with what is put between
-            last = at + len(part) == self.n
-            end = len(places) if last else int(np.searchsorted(places - np.arange(len(places)), at + len(part), side="left"))
+            end = len(places) if at + len(part) == self.n else int(np.searchsorted(before, at + len(part), side="left"))
             mine = places[done:end] - at - done
-            block = np.empty(len(part) + len(mine), self.dtype)
+            block = np.empty(len(part) + len(mine), np.uint64)
             old = np.ones(len(block), bool)
             old[mine] = False
-            block[mine] = values[done:end]
-            block[old] = part
-            out.append(block)
+            block[mine] = rows[done:end].view(np.uint64)
+            block[old] = part.view(np.uint64)
+            self.spare.write(block.data)
             done = end
         if not self.n:
-            out.append(values)
-        self.file.close()
-        return out
+            self.spare.write(rows.data)
+        self.file, self.spare, self.n = self.spare, self.file, total
 
 
-def collection_bwt(text: np.ndarray, offsets: np.ndarray, longest: int = 255) -> tuple[_File, _File, _File, _File]:
-    """Transform (0 marks a document's front), common prefix with the suffix before (at most ``longest``),
-    document and length of every suffix, in suffix order; ends of documents come in document order."""
+def collection_bwt(text: np.ndarray, offsets: np.ndarray, longest: int = 255) -> _File:
+    """All suffixes in order: the symbol in front (0 at a document's front, else 1.. by byte), the common prefix with
+    the suffix before (at most ``longest``), length and document; ends of documents come in document order."""
     m = len(offsets) - 1
     lengths = np.diff(offsets)
     used = np.unique(text)
-    code = np.zeros(256, np.uint8)
     if len(used) > 255:
         raise ValueError("at most 255 different bytes")  # UTF-8 never holds them all
+    code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
     symbols = len(used) + 1
     text = code[text]
-    padded = np.concatenate([text, np.zeros(longest + 1, np.uint8)])
+    padded = np.concatenate([text, np.zeros(longest + 8, np.uint8)])
+    eight = np.zeros(len(padded) - 7, np.uint64)  # the eight symbols from each place on, the first one lowest
+    for k in range(8):
+        eight |= padded[k : k + len(eight)].astype(np.uint64) << np.uint64(8 * k)
 
-    def before(docs, length):  # the symbol in front of the suffix of that length
+    def suffixes(docs, length):
+        rows = np.zeros(len(docs), SUFFIX)
         front = lengths[docs] - length
-        return np.where(front > 0, text[np.maximum(0, offsets[docs] + front - 1)] if len(text) else 0, 0).astype(np.uint8)
+        if len(text):
+            rows["bwt"] = np.where(front > 0, text[np.maximum(0, offsets[docs] + front - 1)], 0)
+        rows["size"], rows["doc"] = length, docs
+        return rows
 
-    bwt, lcp, doc, size = _File("u1"), _File("u1"), _File("u4"), _File("u2")
     docs = np.arange(m)
-    bwt.append(before(docs, 0))
-    lcp.append(np.zeros(m, np.uint8))
-    doc.append(docs)
-    size.append(np.zeros(m, np.int64))
-    at = np.arange(m)  # where each document's last suffix is
-    step = 256
+    out = _File(suffixes(docs, 0))
+    at = np.arange(m)  # where each document's last suffix is, ascending
+    step = 128
+    base = (np.arange(BLOCK) // step) * symbols
     for length in range(1, int(lengths.max(initial=0)) + 1):
         go = lengths[docs] >= length
         docs, at = docs[go], at[go]
         first = text[offsets[docs] + lengths[docs] - length].astype(np.int64)
-        # ranks: how often a symbol occurs before each place, counted in one pass
+        # ranks: how often a symbol occurs before each place, counted in one pass over the last round's file
         rank, counts = np.zeros(len(docs), np.int64), np.zeros(symbols, np.int64)
-        for start, part in bwt.blocks():
-            i, j = np.searchsorted(at, [start, start + len(part)])  # ``at`` is ascending
+        for start, part in out.blocks():
+            i, j = np.searchsorted(at, [start, start + len(part)])
             rows = -(-len(part) // step)
-            table = np.bincount((np.arange(len(part)) // step) * symbols + part, minlength=rows * symbols).reshape(rows, symbols)
-            sums = np.zeros((rows + 1, symbols), np.int64)
-            np.cumsum(table, 0, out=sums[1:])
+            bwt = np.zeros(rows * step, np.uint8)
+            bwt[: len(part)] = part["bwt"]
+            table = np.bincount(base[: len(part)] + bwt[: len(part)], minlength=rows * symbols).reshape(rows, symbols)
+            sums = np.zeros((rows + 1, symbols), np.int32)
+            np.cumsum(table, 0, dtype=np.int32, out=sums[1:])
             local, c = at[i:j] - start, first[i:j]
             cell = local // step
-            fill = np.concatenate([part, np.zeros(step, np.uint8)])
             near = np.empty(j - i, np.int64)
+            cells = bwt.reshape(rows, step)
             for a in range(0, j - i, 1 << 14):
                 s = slice(a, a + (1 << 14))
-                window = fill[(cell[s] * step)[:, None] + np.arange(step)]
-                near[s] = ((window == c[s, None]) & (np.arange(step) < (local[s] - cell[s] * step)[:, None])).sum(1)
+                same = cells[cell[s]] == c[s, None].astype(np.uint8)
+                near[s] = (same & (np.arange(step) < (local[s] - cell[s] * step)[:, None])).sum(1)
             rank[i:j] = counts[c] + sums[cell, c] + near
             counts += sums[-1]
         begin = m + np.concatenate([[0, 0], np.cumsum(counts[1:])])[:symbols]
         place = begin[first] + rank
         order = np.argsort(place)
         docs, at = docs[order], place[order]
-        bwt = bwt.insert(at, before(docs, length))
-        doc = doc.insert(at, docs)
-        size = size.insert(at, np.full(len(docs), length))
-        lcp = lcp.insert(at, np.zeros(len(docs), np.uint8))
+        out.insert(at, suffixes(docs, length))
         # new suffixes, and old ones just behind them, have a new neighbour in front
-        pairs = np.unique(np.concatenate([at, at[at + 1 < doc.n] + 1]))
-        names, sizes = doc.whole(), size.whole()
-        x, y = pairs, pairs - 1
-        sx, sy = sizes[x].astype(np.int64), sizes[y].astype(np.int64)
-        dx, dy = names[x].astype(np.int64), names[y].astype(np.int64)
+        lone = np.append(at[1:] != at[:-1] + 1, True)[: len(at)]
+        behind = at[lone] + 1
+        pairs = np.concatenate([at, behind[behind < out.n]])
+        rows = out.whole()
+        x, y = rows[pairs], rows[pairs - 1]
+        sx, sy, dx, dy = (v.astype(np.int64) for v in (x["size"], y["size"], x["doc"], y["doc"]))
         px, py = offsets[dx] + lengths[dx] - sx, offsets[dy] + lengths[dy] - sy
         most = np.minimum(np.minimum(sx, sy), longest)
         common = np.zeros(len(pairs), np.int64)
         live = np.arange(len(pairs))
-        for k in range(0, longest, 8):  # eight bytes at a time, for those that agree so far
-            a = padded[(px[live] + k)[:, None] + np.arange(8)] == padded[(py[live] + k)[:, None] + np.arange(8)]
-            run = np.cumprod(a, 1).sum(1)
+        for k in range(0, longest, 8):  # eight symbols at a time, for those that agree so far
+            d = eight[px[live] + k] ^ eight[py[live] + k]
+            run = np.bitwise_count((d & (~d + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8  # equal ones in front: 8 if d is 0
             common[live] += run
             live = live[(run == 8) & (common[live] < most[live])]
             if not len(live):
                 break
-        marks = lcp.whole("r+")
-        marks[pairs] = np.minimum(common, most)
-        marks.flush()
-        del names, sizes, marks
-    return bwt, lcp, doc, size
+        rows["lcp"][pairs] = np.minimum(common, most)
+        del rows
+    return out
 
 
 # ---------------------------------------------------------------- segments
@@ -287,41 +288,55 @@ def removed_spans(found: DataFrame, size: int, shard_segments: int) -> DataFrame
         # equal segments of several tasks become one
         index: dict[bytes, int] = {}
         of = np.array([index.setdefault(x.as_py(), len(index)) for x in table.column("segment")], np.int64)
-        places = [np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 3) for x in table.column("places")]
+        parts = [np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 3) for x in table.column("places")]
+        where, seg = np.concatenate(parts), np.repeat(of, [len(p) for p in parts])
+        who, start = where[:, 0], where[:, 2]
         least = np.full(len(index), _LAST)
-        np.minimum.at(least, of, np.array([p[:, 0].min() for p in places], np.int64))
+        np.minimum.at(least, seg, who)
         names = list(index)
-        text = np.frombuffer(b"".join(names), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64)
-        _, lcp, doc, left = collection_bwt(text, offsets, size)
+        sizes = np.array([len(x) for x in names], np.int64)
+        key = np.zeros(len(names), np.int64)
+        key[of] = table.column("key").to_numpy()
+        _, same, count = np.unique(key, return_inverse=True, return_counts=True)
+        # a hash with one segment has nothing to compare; all others go through the transform
+        many = np.flatnonzero(count[same] > 1)
+        text = np.frombuffer(b"".join(names[k] for k in many.tolist()), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(sizes[many])])
+        order = np.array(collection_bwt(text, offsets, size).whole())
         # consecutive suffixes that share ``size`` bytes are one string: its least doc_id
         first = np.full(int(offsets[-1]) + 1, _LAST)  # by place of the string in ``text``
-        d, n, c = np.asarray(doc.whole()).astype(np.int64), np.asarray(left.whole()).astype(np.int64), np.asarray(lcp.whole())
-        whole = np.flatnonzero(n >= size)
-        group = np.flatnonzero(c[whole] < size)
-        owner = np.minimum.reduceat(least[d[whole]], group) if len(group) else np.zeros(0, np.int64)
-        first[offsets[d[whole]] + (np.diff(offsets)[d[whole]] - n[whole])] = np.repeat(owner, np.diff(np.append(group, len(whole))))
-        out: dict[tuple[int, int], list[np.ndarray]] = {}
-        for s, where in zip(of.tolist(), places, strict=True):
-            a, b = offsets[s], offsets[s + 1] - size + 1
-            by = first[a:b]
-            lowest = int(by.min())
-            for who, key, start in where.tolist():
-                if lowest < who:
-                    hit = np.flatnonzero(by < who)
-                    out.setdefault((who, key), []).append(hit + start)
-        ids, keys, spans = [], [], []
-        for (who, key), starts in out.items():
-            p = np.unique(np.concatenate(starts))
-            cut = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + size]))
-            ends = np.append(p[cut[1:] - 1], p[-1]) + size
-            ids.append(who)
-            keys.append(key)
-            spans.append(np.stack([p[cut], ends], 1).astype("<i8").tobytes())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "key1": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        order = order[order["size"] >= size]  # a shorter suffix between two of them would cut their common prefix
+        d, n, c = order["doc"].astype(np.int64), order["size"].astype(np.int64), order["lcp"]
+        group = np.flatnonzero(c < size)
+        owner = np.minimum.reduceat(least[many[d]], group) if len(group) else np.zeros(0, np.int64)
+        first[offsets[d] + sizes[many[d]] - n] = np.repeat(owner, np.diff(np.append(group, len(d))))
+        # segments whose strings have one owner give whole stretches; in the others each string decides
+        low, high = least.copy(), least.copy()
+        if len(many):
+            cuts = np.stack([offsets[:-1], offsets[1:] - size + 1], 1).ravel()
+            low[many], high[many] = np.minimum.reduceat(first, cuts)[::2], np.maximum.reduceat(first, cuts)[::2]
+        place = np.full(len(names), -1)
+        place[many] = np.arange(len(many))
+        even = (low == high)[seg]
+        pick = np.flatnonzero(even & (low[seg] < who))
+        spots, begins, ends = [pick], [start[pick]], [start[pick] + sizes[seg[pick]]]
+        for k in np.flatnonzero(~even & (low[seg] < who)).tolist():
+            g = place[seg[k]]
+            hit = np.flatnonzero(first[offsets[g] : offsets[g + 1] - size + 1] < who[k])
+            cut = np.flatnonzero(np.concatenate([[True], hit[1:] > hit[:-1] + 1]))
+            spots.append(np.full(len(cut), k))
+            begins.append(hit[cut] + start[k])
+            ends.append(np.append(hit[cut[1:] - 1], hit[-1]) + size + start[k])
+        k, a, b = (np.concatenate(x) for x in (spots, begins, ends))
+        rows = np.lexsort((a, where[k, 1], where[k, 0]))
+        k, a, b = k[rows], a[rows], b[rows]
+        new = np.flatnonzero(np.concatenate([[True], (where[k[1:], :2] != where[k[:-1], :2]).any(1)])) if len(k) else np.zeros(0, np.int64)
+        stops = np.append(new[1:], len(k))
+        spans = np.stack([a, b], 1).astype("<i8")
+        return pa.table({"doc_id": pa.array(where[k[new], 0], pa.int64()), "key1": pa.array(where[k[new], 1], pa.int64()), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(new.tolist(), stops.tolist(), strict=True)], pa.binary())})
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    return found.select(shard.alias("shard"), "segment", "places").groupBy("shard").applyInArrow(run, "doc_id long, key1 long, spans binary")
+    return found.select(shard.alias("shard"), "key", "segment", "places").groupBy("shard").applyInArrow(run, "doc_id long, key1 long, spans binary")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, gram: int = GRAM, shard_segments: int = 80_000) -> DataFrame:

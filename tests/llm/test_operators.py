@@ -305,7 +305,8 @@ def test_collection_bwt():
     rng = np.random.default_rng(0)
     docs = [bytes(rng.integers(97, 100, int(rng.integers(1, 60)), dtype=np.uint8)) for _ in range(30)] + [b"abcabc", b"abcabc", b"a"]
     off = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    bwt, lcp, doc, size = (np.asarray(x.whole()).tolist() for x in column_bwt.collection_bwt(np.frombuffer(b"".join(docs), np.uint8), off, 50))
+    rows = column_bwt.collection_bwt(np.frombuffer(b"".join(docs), np.uint8), off, 50).whole()
+    bwt, lcp, doc, size = (rows[c].tolist() for c in ("bwt", "lcp", "doc", "size"))
     got = [docs[i][len(docs[i]) - k :] for i, k in zip(doc, size, strict=True)]
     assert got == sorted(got) and len(got) == sum(len(d) + 1 for d in docs)
 
