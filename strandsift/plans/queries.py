@@ -200,17 +200,10 @@ matched AS (SELECT mm.ag_no, CASE WHEN i.virus_type = mm.virus_type AND (mm.line
   CASE WHEN i.virus_type = mm.virus_type AND (mm.lineage = '' OR mm.lineage = i.lineage) THEN mm.m.seq_no END AS matched_no FROM mm LEFT JOIN info i ON i.name = mm.m.name)"""
 
 
-def _unique_seqs(s: DataFrame) -> DataFrame:
-    """One sequence for each (name, seq_no): the test tables repeat such pairs."""
-    return s.dropDuplicates(["name", "seq_no"])
-
-
 @query("match_priority", f"WITH {_MATCH} SELECT ag_no, matched_name, matched_no FROM matched")
 def _match(spark, d):
     s = seqs(spark, d)
-    hi = lookups.hi_index(s)
     whole = s.groupBy("name", "seq_no").agg(F.first("virus_type").alias("virus_type"), F.first("lineage").alias("lineage"), F.flatten(F.collect_list("hi_names")).alias("hi_names"), F.flatten(F.collect_list("reassortants")).alias("reassortants"))
-    del hi
     return lookups.match_antigens(whole, antigens(spark, d)).select("ag_no", "matched_name", "matched_no")
 
 
