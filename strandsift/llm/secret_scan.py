@@ -9,8 +9,8 @@ Labelled findings are a DataFrame (value, path, before, after, label). Without o
 corpus are labelled by rule where the rule is sure: issuer formats and values assigned to a
 credential's name are secrets; pure numbers, dates, web paths and values that dictionary words cover
 by half are not. Fitting takes at most ``max_labelled`` of each label, by hash order (a documented
-bound); dictionary words come from ``dictionary_docs`` documents, at most ``dictionary_words`` of
-them. Both bounds concern the model only: every candidate of every whole text is scored.
+bound that concerns the model only): every candidate of every whole text is scored. Dictionary words are
+counted over all documents; how often a word must occur is relative to their number.
 
 Defined cases: a null text has no findings; a null path is an empty one; rows that repeat report
 their findings each; if one label is missing nothing can be learned and the rule's label decides
@@ -19,8 +19,6 @@ their findings each; if one label is missing nothing can be learned and the rule
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -57,23 +55,35 @@ def candidates(docs: DataFrame, text: str = "text", id: str = "doc_id", path: st
     return t.select("doc_id", "text_key", "path", F.posexplode(around).alias("nth", "x")).select("doc_id", "text_key", "path", "nth", "x.*")
 
 
-def dictionary(docs: DataFrame, text: str = "text", id: str = "doc_id", dictionary_docs: int = 1000, dictionary_words: int = 400) -> list[str]:
-    """The words of four letters or more that most of the sampled documents hold (a bounded list)."""
-    rows = docs.select(F.xxhash64(F.col(id), F.lit(9)).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL")
-    sample = C.smallest(rows, F.col("h"), dictionary_docs).orderBy("h", "t").limit(dictionary_docs)
-    found = sample.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(?<![\w])\p{L}{4,12}(?![\w])"), 0))).alias("w")).groupBy("w").count()
-    return [r["w"] for r in found.where("count > 2").orderBy(F.desc("count"), "w").limit(dictionary_words).collect()]
+def dictionary(docs: DataFrame, text: str = "text", min_docs: int = 3, word_share: float = 0.001) -> DataFrame:
+    """Written table ``w``: the words of 4 to 12 letters that at least ``word_share`` of all documents hold, and at least ``min_docs``."""
+    rows = docs.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    found = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(?<![\w])\p{L}{4,12}(?![\w])"), 0))).alias("w")).groupBy("w").count()
+    return C.materialize(found.where(F.col("count") >= max(min_docs, rows.count() * word_share)).select("w"), "dictionary")
+
+
+def _value_key(value: Column) -> tuple[Column, Column]:
+    return F.xxhash64(value).alias("v1"), F.xxhash64(value, F.lit(1)).alias("v2")
+
+
+def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """v1, v2 (hashes of a value), n_covered: characters of the value that lie in a dictionary word; values without one are left out."""
+    values = found.select("value").distinct().select(*_value_key(F.col("value")), F.lower("value").alias("v"))
+    # the letters that begin at each position, by length: one pass over the value each, no matter how long it is
+    runs = F.array(*(F.struct(F.lit(k).alias("k"), F.regexp_extract_all("v", F.lit(r"(?=(\p{L}{%d})?)" % k), 1).alias("ws")) for k in range(4, 13)))
+    parts = values.select("v1", "v2", F.explode(runs).alias("r")).select("v1", "v2", "r.k", F.posexplode("r.ws").alias("pos", "w")).where("w <> ''")
+    hits = parts.join(words, "w").select("v1", "v2", F.explode(F.sequence("pos", F.col("pos") + F.col("k") - 1)).alias("at"))
+    return hits.groupBy("v1", "v2").agg(F.countDistinct("at").alias("n_covered"))
 
 
 def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
-def features(found: DataFrame, words: list[str]) -> DataFrame:
-    """``found`` with the columns of FEATURES."""
+def features(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with the columns of FEATURES; ``words`` is a dictionary."""
     v, before = F.col("value"), F.col("before")
-    alt = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-    covered = (1 - F.length(F.regexp_replace(F.lower(v), alt, "")) / F.length(v)) if alt else F.lit(0.0)
+    covered = F.least(F.lit(1.0), F.coalesce("n_covered", F.lit(0)) / F.length(v))
     flag = lambda c: c.cast("double")
     made = {
         "length": F.length(v).cast("double"),
@@ -83,7 +93,9 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "path_code": flag(F.col("path").rlike(r"(?i)(\.env|\.ya?ml|\.json|\.ini|\.cfg|\.conf|\.properties|\.py|\.js|\.sh|secret|credential)")), "path_sample": flag(F.col("path").rlike(r"(?i)(test|example|sample|mock|fixture|docs?/)")),
         "named": flag(before.rlike(_NAMES)), "assigned": flag(before.rlike(_ASSIGNED)), "quoted": flag(before.rlike("[\"'`]$")), "after_space": flag(F.col("after").rlike(r"^(\s|$)")), "before_words": F.regexp_count(before, F.lit(r"\p{L}{2,}")).cast("double"),
     }
-    return found.withColumns(made)
+    columns = found.columns
+    found = found.select("*", *_value_key(v)).join(coverage(found, words), ["v1", "v2"], "left")
+    return found.withColumns(made).select(*columns, *FEATURES)
 
 
 def kind(value: Column, before: Column) -> Column:
@@ -119,8 +131,9 @@ def fit(labelled: DataFrame, max_labelled: int = 5000, trees: int = 20, depth: i
 
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5, **how) -> DataFrame:
     """Every finding: doc_id, text_key, nth, start (character, from 0), value, kind, score, is_secret."""
-    words = dictionary(docs, text, id)
-    found = C.materialize(rule_label(features(candidates(docs, text, id, path), words)), "findings")
+    words = dictionary(docs, text)
+    found = C.materialize(candidates(docs, text, id, path), "candidates")
+    found = C.materialize(rule_label(features(found, words)), "findings")
     model = fit(features(labelled, words) if labelled is not None else found, **how)
     if model is None:
         scored = found.withColumn("score", F.coalesce("label", F.lit(0.5)))

@@ -358,6 +358,20 @@ def test_secrets(spark, odd, none):
     assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(none).count() == 0 and secret_scan.scan(none).count() == 0
 
 
+def test_secret_dictionary_counts_all_documents(spark):
+    alphabet = "abcdefghij"
+    rare = ["".join(alphabet[int(d)] for d in f"{k:05d}") for k in range(600)]  # more words than the 400 of a fixed list, each in 4 of 2400 documents
+    docs = spark.createDataFrame([(i, f"{rare[i % 600]} and 7{rare[i % 600]}{rare[(i + 1) % 600]}8 end", "a") for i in range(2400)], "doc_id long, text string, source string")
+    words = secret_scan.dictionary(docs)
+    assert {r["w"] for r in words.collect()} == set(rare)
+    found = secret_scan.features(secret_scan.candidates(docs), words)
+    assert found.count() == 2400 and {round(r["covered"], 6) for r in found.select("covered").collect()} == {round(10 / 12, 6)}
+    # overlapping words count each character once; unknown letters, digits and short values count none
+    own = spark.createDataFrame([("abcabcdX1",), ("zzzz9999",), ("ab1",)], "value string")
+    got = {r["n_covered"] for r in secret_scan.coverage(own, spark.createDataFrame([("abca",), ("cabc",), ("abcd",)], "w string")).collect()}
+    assert got == {7}
+
+
 # ---------------------------------------------------------------- 10 Jaccard join
 def jaccard_brute(rows):
     def shingles(t):
