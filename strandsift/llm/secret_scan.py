@@ -1,13 +1,15 @@
 """Secret scans with a random forest against false positives (operator 9, DataFrame functions only).
 
 A candidate is a run of 12 or more of ``[A-Za-z0-9+/_-]`` (with up to two closing ``=``) that holds a
-digit, begins like an issuer's format or follows an equals sign. The forest sees its length, its character classes and the transitions between them, the share
+digit, begins like an issuer's format or follows an equals sign; and whatever follows a credential's name and a
+separator, of any length and any characters but blanks: to the closing quote, or else up to a next ``&name=``, a tag or
+closing punctuation. The forest sees its length, its character classes and the transitions between them, the share
 that dictionary words cover, its path (the source column) and the neighbouring words; it learns from labelled
 findings and removes false positives: candidates scored under ``threshold`` are no secrets.
 
 Labelled findings are a DataFrame (value, path, before, after, label). Without one, findings of the
-corpus are labelled by rule where the rule is sure: issuer formats and values assigned to a
-credential's name are secrets; pure numbers, dates, web paths and values that dictionary words cover
+corpus are labelled by rule where the rule is sure: issuer formats and values of 8 or more characters assigned to a
+credential's name (letters alone only behind ``:`` or ``=``) are secrets; pure numbers, dates, web paths and values that dictionary words cover
 by half are not. Fitting takes at most ``max_labelled`` of each label, by hash order (a documented
 bound that concerns the model only): every candidate of every whole text is scored. Dictionary words are
 counted over all documents; how often a word must occur is relative to their number.
@@ -37,21 +39,40 @@ ISSUERS = {
     "google_api_key": r"^AIza[A-Za-z0-9_\-]{35}$",
     "stripe_key": r"^(sk|rk)_(live|test)_[A-Za-z0-9]{16,}$",
 }
-_NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)s?"
+_WORDS = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)s?"
+_NAMES = rf"(?i){_WORDS}"
 _ASSIGNED = _NAMES + r"""["']?\s*(:=|=>|=|:|\s)\s*["']?$"""
+_SEPARATED = _NAMES + r"""["']?\s*(:=|=>|=|:)\s*["']?$"""
+# What comes before an assigned value; \\G: the name may have been the end of the last candidate, with the equals signs.
+_PREFIX = rf"""(?:(?:(?i:{_WORDS})|\G(?<=(?i:{_WORDS})))["']?(?:\s*(?::=|=>|=|:)\s*|\s+)|\G(?<=(?i:{_WORDS})={{1,2}})\s*)["']?"""
+_QUOTED = r"""(?<=")(?:(?!(?<!\\)")\S)+(?=")|(?<=')(?:(?!(?<!\\)')\S)+(?=')"""
+_STOP = r"""["'`](?:[\s,;:)\]}&]|\z)|[&,;]["']?[\w.\-]{1,64}["']?\s{0,8}[=:]|</?[A-Za-z]"""
+_BARE = rf"""(?!["'`]|[=:>]+(?:\s|\z))(?:(?!{_STOP})\S)+(?<![.,;:?)\]}}>"'`])"""
+# Group 1 is the name and separator in front of an assigned value; the rest of the match is the value.
+FINDING = rf"({_PREFIX})(?:{_QUOTED}|{_BARE})|{CANDIDATE}"
 _WEB = r"(?i)(https?:|www\.|@|\.)[^\s]*$"
 FEATURES = (
-    "length", "runs", "lower_digit", "upper_digit", "digit_letter", "case_changes", "digits", "uppers", "hex", "distinct", "covered",
-    "path_code", "path_sample", "named", "assigned", "quoted", "after_space", "before_words",
+    "length", "runs", "lower_digit", "upper_digit", "digit_letter", "case_changes", "digits", "uppers", "hex", "symbols", "distinct", "covered",
+    "path_code", "path_sample", "named", "assigned", "separated", "quoted", "after_space", "before_words",
 )
 
 
+def _cut(text: str) -> tuple[Column, Column]:
+    """``values`` of a text, and ``gaps`` around them (one more)."""
+    whole, prefix = F.regexp_extract_all(F.col(text), F.lit(FINDING), 0), F.regexp_extract_all(F.col(text), F.lit(FINDING), 1)
+    values = F.zip_with(whole, prefix, lambda w, p: F.substr(w, F.length(p) + 1))
+    gaps = F.zip_with(F.split(F.col(text), FINDING, -1), prefix, lambda g, p: F.concat(g, F.coalesce(p, F.lit(""))))
+    return values.alias("values"), gaps.alias("gaps")
+
+
 def candidates(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str = "source") -> DataFrame:
     """doc_id, text_key, path, nth (from 0), value, before (up to 48 characters), after (up to 24), skip (characters since the last candidate)."""
     t = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).cast("string").alias("t"))
-    t = t.withColumn("values", F.regexp_extract_all("t", F.lit(CANDIDATE), 0)).where(F.size("values") > 0)
-    t = t.withColumn("gaps", F.split("t", CANDIDATE, -1)).drop("t")
-    around = F.transform("values", lambda v, i: F.struct(v.alias("value"), F.right(F.get("gaps", i), F.lit(48)).alias("before"), F.substring(F.get("gaps", i + 1), 1, 24).alias("after"), F.length(F.get("gaps", i)).alias("skip")))
+    t = t.withColumn("whole", F.regexp_extract_all("t", F.lit(FINDING), 0)).where(F.size("whole") > 0)
+    t = t.select("doc_id", "text_key", "path", *_cut("t"))
+    # the last value counts as context too: a name may be its end
+    last = lambda i: F.concat(F.when(i > 0, F.get("values", i - 1)).otherwise(F.lit("")), F.get("gaps", i))
+    around = F.transform("values", lambda v, i: F.struct(v.alias("value"), F.right(last(i), F.lit(48)).alias("before"), F.substring(F.get("gaps", i + 1), 1, 24).alias("after"), F.length(F.get("gaps", i)).alias("skip")))
     return t.select("doc_id", "text_key", "path", F.posexplode(around).alias("nth", "x")).select("doc_id", "text_key", "path", "nth", "x.*")
 
 
@@ -89,20 +110,26 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "length": F.length(v).cast("double"),
         "runs": F.regexp_count(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / F.length(v),
         "lower_digit": _share(v, "(?<=[a-z])(?=[0-9])"), "upper_digit": _share(v, "(?<=[A-Z])(?=[0-9])"), "digit_letter": _share(v, "(?<=[0-9])(?=[A-Za-z])"), "case_changes": _share(v, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        "digits": _share(v, "[0-9]"), "uppers": _share(v, "[A-Z]"), "hex": _share(v, "[0-9a-f]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v), "covered": covered,
+        "digits": _share(v, "[0-9]"), "uppers": _share(v, "[A-Z]"), "hex": _share(v, "[0-9a-f]"), "symbols": _share(v, "[^A-Za-z0-9]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v), "covered": covered,
         "path_code": flag(F.col("path").rlike(r"(?i)(\.env|\.ya?ml|\.json|\.ini|\.cfg|\.conf|\.properties|\.py|\.js|\.sh|secret|credential)")), "path_sample": flag(F.col("path").rlike(r"(?i)(test|example|sample|mock|fixture|docs?/)")),
-        "named": flag(before.rlike(_NAMES)), "assigned": flag(before.rlike(_ASSIGNED)), "quoted": flag(before.rlike("[\"'`]$")), "after_space": flag(F.col("after").rlike(r"^(\s|$)")), "before_words": F.regexp_count(before, F.lit(r"\p{L}{2,}")).cast("double"),
+        "named": flag(before.rlike(_NAMES)), "assigned": flag(before.rlike(_ASSIGNED)), "separated": flag(before.rlike(_SEPARATED)), "quoted": flag(before.rlike("[\"'`]$")), "after_space": flag(F.col("after").rlike(r"^(\s|$)")), "before_words": F.regexp_count(before, F.lit(r"\p{L}{2,}")).cast("double"),
     }
     columns = found.columns
     found = found.select("*", *_value_key(v)).join(coverage(found, words), ["v1", "v2"], "left")
     return found.withColumns(made).select(*columns, *FEATURES)
 
 
+def _issued(value: Column, pattern: str) -> Column:
+    """A value, or a run inside of it, that has the issuer's format."""
+    edge = "[^A-Za-z0-9+/_-]"
+    return value.rlike(f"(?:^|{edge}){pattern[1:-1]}(?:$|{edge})")
+
+
 def kind(value: Column, before: Column) -> Column:
     out = F.when(before.rlike(_ASSIGNED), "assigned_value")
     case = None
     for name, pattern in ISSUERS.items():
-        case = F.when(value.rlike(pattern), name) if case is None else case.when(value.rlike(pattern), name)
+        case = F.when(_issued(value, pattern), name) if case is None else case.when(_issued(value, pattern), name)
     return F.coalesce(case, out, F.lit("unknown"))
 
 
@@ -110,9 +137,9 @@ def rule_label(found: DataFrame) -> DataFrame:
     """``found`` (with features) and ``label``: 1 or 0 where the rule is sure, else null."""
     issued = F.lit(False)
     for pattern in ISSUERS.values():
-        issued = issued | F.col("value").rlike(pattern)
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    yes = issued | ((F.col("assigned") == 1) & mixed & (F.col("covered") < 0.5))
+        issued = issued | _issued(F.col("value"), pattern)
+    digit, letter = F.col("value").rlike("[0-9]"), F.col("value").rlike("[A-Za-z]")
+    yes = issued | ((F.col("assigned") == 1) & (F.length("value") >= 8) & letter & (digit | (F.col("separated") == 1)) & (F.col("covered") < 0.5))
     no = F.col("value").rlike("^[0-9+/_-]+=*$") | F.col("before").rlike(_WEB) | (F.col("covered") >= 0.5)
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
 
@@ -152,7 +179,7 @@ def redact(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str =
     hits = scan(docs, text, id, path, **how).where("is_secret").groupBy("doc_id", "text_key").agg(F.collect_set("nth").alias("nths"))
     d, k, n = C.free_name(docs, "_id", "_key", "_nths")
     hits = C.materialize(hits.toDF(d, k, n), "secret-hits")
-    gaps, values = F.split(F.col(text), CANDIDATE, -1), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), 0)
+    values, gaps = _cut(text)
     cleaned = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(F.array_contains(F.col(n), i), F.lit(MARK)).otherwise(F.coalesce(F.get(values, i), F.lit(""))))), "")
     same = F.col(id).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(k))
     return docs.join(hits, same, "left").select(*(F.when(F.col(n).isNotNull(), cleaned).otherwise(F.col(c)).alias(c) if c == text else docs[c] for c in docs.columns))
