@@ -442,6 +442,39 @@ def test_jaccard(spark):
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_other_ways(spark, docs, monkeypatch):
+    """Every way a plan can take gives the same components: joined instead of sent lists, many deals and slices, few frequent shingles."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):  # copies of one text with edits around the limit: many components under shared keys
+        w = list(base if k % 3 else words(rows[int(rng.integers(0, k))][1]))
+        for _ in range(int(rng.integers(1, 5))):
+            w[int(rng.integers(0, len(w)))] = f"w{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_brute(rows)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 64)
+    monkeypatch.setattr(jaccard_join, "ASKED", 1)
+    near = jaccard_join.near_pairs
+    monkeypatch.setattr(jaccard_join, "near_pairs", lambda *a, **b: near(*a, **b, deal_rows=100))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, shard_keys=500).collect()} == want
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == jaccard_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_jaccard_long_text(spark):
+    rng = np.random.default_rng(6)
+    w = [f"w{x}" for x in rng.integers(0, 10**9, 300_000)]
+    v = list(w)
+    for k in rng.integers(0, len(v), 8000).tolist():
+        v[k] = "other"
+    rows = [(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(w[: len(w) // 2]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in jaccard_brute(rows).items()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_bands_never_miss():
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -451,7 +484,8 @@ def test_bands_never_miss():
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 12))).astype(np.uint64)]))
         inter = len(np.intersect1d(a, b))
         if 100 * inter >= 75 * (len(a) + len(b) - inter):
-            keys, rows = jaccard_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 75, np.sort(a[: len(a) // 2]) if rng.random() < 0.5 else None)
+            often = np.unique(a[: len(a) // 2] & ~np.uint64(0xFFFF)) if rng.random() < 0.5 else None
+            keys, rows = jaccard_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 75, often, None if often is None else rng.integers(1, 9, len(often)).astype(np.uint8))
             assert np.intersect1d(keys[rows == 0], keys[rows == 1]).size
 
 
