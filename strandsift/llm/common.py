@@ -156,6 +156,19 @@ class PrefixHash:
         return mix(raw + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hashes of all stretches of ``gram`` bytes; the high bits are the good ones."""
+    up, down = _powers(len(buf))
+    sums = np.zeros(len(buf) + 1, U64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+    out = (sums[gram:] - sums[:-gram]) * down[: len(buf) - gram + 1]
+    out ^= out >> U64(32)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(29)
+    out *= U64(0x94D049BB133111EB)
+    return out
+
+
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive values."""
     if len(hashes) < n:
