@@ -126,7 +126,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
-_POWERS = {"n": 0}
+_POWERS = {"n": -1}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,9 +11,9 @@ log-likelihood gains at least ``cut`` nats over its parent (n(s) times the diver
 its parent's distribution stands in, so every byte is scored by its longest retained suffix.
 
 How it is spread: texts fall into blocks of about ``block_bytes`` by hash. Each block sends the
-distinct byte runs and words it holds, with training counts; these meet partitioned by run (by the
+distinct byte runs and words it holds, with training counts, packed; these meet in shards of runs (by the
 last three context bytes, so that a state's relatives are together), get their probabilities, and
-each block gets back the values it asked for. No table of the model is whole anywhere but contexts
+each block gets back the values it asked for, in the order it asked. No table of the model is whole anywhere but contexts
 of up to two bytes (at most 2**24 counts, a bound of the alphabet); counts cover all training texts.
 
 Defined cases: a null text is empty (one token, the end); a null doc_id is learned from; repeated
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 5
+DEPTH = 7  # bytes of context at most: with its symbol a run fills 64 bits
 _END = 1  # the key of the end token
 LOW = 2  # contexts up to this many bytes are known to all tasks
 
@@ -63,6 +63,17 @@ def _spell(buf: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
     return runs, off, keys, first
 
 
+def _sums(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, n = np.concatenate(keys), np.concatenate(n).astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
 class _Counts:
     """Distinct keys with counts, merged as they come."""
 
@@ -71,23 +82,19 @@ class _Counts:
 
     def add(self, values: np.ndarray, learn: bool) -> None:
         if len(values):
-            k, n = np.unique(values, return_counts=True)
-            self.keys.append(k)
-            self.n.append(n if learn else np.zeros(len(k), np.int64))
-            self.held += len(k)
-            if self.held > 1_500_000 and len(self.keys) > 1:
+            values = np.sort(values)
+            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(at, len(values))) if learn else np.zeros(len(at), np.int64)
+            self.keys.append(values[at])
+            self.n.append(n.astype(np.int32))
+            self.held += len(at)
+            if self.held > 2_000_000 and len(self.keys) > 1:
                 self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.keys, self.n = [keys[at]], [np.add.reduceat(n, at)]
-        self.held = 0
-        return self.keys[0], self.n[0]
+        keys, n = _sums(self.keys, self.n)
+        self.keys, self.n, self.held = [keys], [n], 0
+        return keys, n
 
 
 class _Index:
@@ -101,7 +108,7 @@ class _Index:
         k = np.arange(len(keys))
         place = np.maximum.accumulate(slot[order] - k) + k if len(keys) else slot
         size = (1 << bits) + len(keys) + 1
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)  # no key is 0
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, values.dtype)  # no key is 0
         self.keys[place], self.values[place] = keys[order], values[order]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -178,11 +185,51 @@ def run_probabilities(runs: np.ndarray, n: np.ndarray, base: np.ndarray, levels,
     return p if p is not None else _low(base, levels, runs, LOW)
 
 
-def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 28 << 20) -> DataFrame:
+def _near(runs: np.ndarray) -> np.ndarray:
+    """The last three context bytes: a run's relatives share them."""
+    return (runs >> np.uint64(8)) & np.uint64(0xFFFFFF)
+
+
+def _dealt(keys: np.ndarray, by: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys' order by shard, and where each shard begins."""
+    shard = (C.mix(by) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _narrow(keys: np.ndarray, width: int) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(data, n: int, at: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+    return out.view("<u8").ravel()
+
+
+def _contents(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs and words of a block's texts, sorted, with their training counts (the end token is always asked for)."""
+    buf, offsets = C.text_bytes(table.column("text"))
+    teach = np.asarray(table.column("learn"))
+    r, w = _Counts(), _Counts()
+    for i, j in C.pieces(offsets, 1 << 19):
+        runs, off, keys, first = _spell(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
+        for learn in (True, False):
+            mine = teach[i:j] == learn
+            if mine.any():
+                whole = mine.all()
+                r.add(runs if whole else runs[np.repeat(mine, np.diff(off))], learn)
+                w.add(keys if whole else keys[np.repeat(mine, np.diff(first))], learn)
+    w.add(np.array([_END], np.uint64), False)
+    words, n = w.merge()
+    return *r.merge(), words, n + (words == _END) * int(teach.sum())
+
+
+def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str = "doc_id", depth: int = DEPTH, min_count: int = 3, cut: float = 4.0, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; ``learn`` says which rows teach."""
     if not LOW < depth < 8:
         raise ValueError("depth is from 3 to 7")
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, depth + 1
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col(text).cast("string").alias("text"))
     three = np.uint64(0xFFFFFF)
 
@@ -192,7 +239,7 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
             buf, offsets = C.text_bytes(batch.column("text"))
             teach = np.asarray(batch.column("learn"))
             total += len(buf)
-            for i, j in C.pieces(offsets):
+            for i, j in C.pieces(offsets, 1 << 19):
                 runs, off, _, _ = _spell(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
                 counts.add((runs & three)[np.repeat(teach[i:j], np.diff(off))], True)
         keys, n = counts.merge()
@@ -200,89 +247,64 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
 
     low = rows.select("learn", "text").mapInArrow(sizes, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
     run, n = low.column("run").to_numpy(), low.column("n").to_numpy()
-    blocks = max(1, -(-int(n[run < 0].sum()) // block_bytes))
+    total = int(n[run < 0].sum())
+    blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // shard_bytes))
     order = np.argsort(run[run >= 0])
     base, levels = low_model(run[run >= 0][order].astype(np.uint64), n[run >= 0][order].astype(np.int64), min_count, cut)
     shared = spark.sparkContext.broadcast((base, levels))
-
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def ask(batches):
-        tables: dict[int, tuple[_Counts, _Counts]] = {}
-        ends: dict[int, int] = {}
-        for batch in batches:
-            buf, offsets = C.text_bytes(batch.column("text"))
-            block, teach = np.asarray(batch.column("block")), np.asarray(batch.column("learn"))
-            for i, j in C.pieces(offsets):
-                runs, off, keys, first = _spell(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
-                for b in np.unique(block[i:j]).tolist():
-                    for learn in (True, False):
-                        mine = (block[i:j] == b) & (teach[i:j] == learn)
-                        if not mine.any():
-                            continue
-                        r, w = tables.setdefault(b, (_Counts(), _Counts()))
-                        whole = mine.all()
-                        r.add(runs if whole else runs[np.repeat(mine, np.diff(off))], learn)
-                        w.add(keys if whole else keys[np.repeat(mine, np.diff(first))], learn)
-                        ends[b] = ends.get(b, 0) + int(mine.sum()) * learn
-        for b, (r, w) in tables.items():
-            w.add(np.array([_END], np.uint64), False)
-            for kind, c in ((0, r), (1, w)):
-                keys, n = c.merge()
-                if kind:
-                    n = n + (keys == _END) * ends[b]
-                for i in range(0, len(keys), 65536):
-                    s = slice(i, i + 65536)
-                    m = len(keys[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b, np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array(keys[s].view(np.int64)), pa.array(n[s])], names=["block", "kind", "key", "n"])
-        tables.clear()
-        pa.default_memory_pool().release_unused()
-
-    asked = dealt.repartition(blocks, "block").mapInArrow(ask, "block int, kind byte, key long, n long")
-
-    def answer(batches):
-        t = [b.select(["block", "kind", "key", "n"]) for b in batches]
-        if not t:
-            return
-        block, kind, key, n = (np.concatenate([np.asarray(b.column(c)) for b in t]) for c in ("block", "kind", "key", "n"))
+    def ask(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        runs, n, words, m = _contents(table.drop_columns(["block"]), depth)
+        (a, a_at), (b, b_at) = _dealt(runs, _near(runs), shards), _dealt(words, words, shards)
+        out = []
+        for s in range(shards):
+            x, y = a[a_at[s] : a_at[s + 1]], b[b_at[s] : b_at[s + 1]]
+            head = np.array([len(x), len(y)], "<i8").tobytes()
+            out.append(b"".join([head, _narrow(runs[x], width), n[x].astype("<u4").tobytes(), words[y].astype("<u8").tobytes(), m[y].astype("<u4").tobytes()]))
+        return pa.table({"shard": pa.array(range(shards), pa.int32()), "block": pa.array([block] * shards, pa.int32()), "asked": pa.array(out, pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = []
+        for x in table.column("asked"):
+            data = x.as_buffer()
+            i, j = np.frombuffer(data, "<i8", 2).tolist()
+            at = 16 + i * width
+            asked.append((_wide(data, i, 16, width), np.frombuffer(data, "<u4", i, at), np.frombuffer(data, "<u8", j, at + 4 * i), np.frombuffer(data, "<u4", j, at + 4 * i + 8 * j)))
         base, levels = shared.value
-        tokens = distinct = 0
-        for k in (0, 1):
-            mine = kind == k
-            if not mine.any():
-                continue
-            u, inv = np.unique(key[mine].view(np.uint64), return_inverse=True)
-            m = np.bincount(inv, n[mine], minlength=len(u)).astype(np.int64)
-            if k == 0:
-                value = np.log10(run_probabilities(u, m, base, levels, depth, min_count, cut)).astype(np.float32).astype(np.float64)
-            else:
-                value = m.astype(np.float64)  # the count
-                tokens, distinct = int(m.sum()), int((m > 0).sum())
-            value = value[inv]
-            for i in range(0, len(inv), 65536):
-                s = slice(i, i + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(block[mine][s]), pa.array(kind[mine][s]), pa.array(key[mine][s]), pa.array(value[s])], names=["block", "kind", "key", "value"])
-        # this partition's part of N and V, for block -1
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([2], pa.int8()), pa.array([tokens]), pa.array([float(distinct)])], names=["block", "kind", "key", "value"])
-
-    # a run's relatives share the three bytes before its symbol
-    near = F.when(F.col("kind") == 0, F.shiftright("key", 8).bitwiseAND(0xFFFFFF)).otherwise(F.col("key"))
-    answers = asked.repartition("kind", near).mapInArrow(answer, "block int, kind byte, key long, value double")
+        runs, n = _sums([x[0] for x in asked], [x[1] for x in asked])
+        p = np.log10(run_probabilities(runs, n, base, levels, depth, min_count, cut)).astype("<f4") if len(runs) else np.zeros(0, "<f4")
+        words, m = _sums([x[2] for x in asked], [x[3] for x in asked])
+        out = [p[np.searchsorted(runs, x[0])].tobytes() + m[np.searchsorted(words, x[2])].astype("<i8").tobytes() for x in asked]
+        # the shard's part of N and V, for block -1
+        out.append(np.array([m.sum(), (m > 0).sum()], "<i8").tobytes())
+        block = [*table.column("block").to_pylist(), -1]
+        return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array(table.column("shard").to_pylist()[:1] * len(out), pa.int32()), "answer": pa.array(out, pa.binary())})
+
     names = ("doc_id", "learn", "n_tokens", "n_known", "base", "score", "tokens", "distinct")
     kinds = {"doc_id": pa.int64(), "learn": pa.bool_(), "base": pa.float64(), "score": pa.float64()}
     schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in names])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:  # the partitions' totals
-            none = {c: pa.nulls(right.num_rows, schema.field(c).type) for c in names if c not in ("tokens", "distinct")}
-            return pa.table(none | {"tokens": right.column("key"), "distinct": right.column("value")}).select(list(names)).cast(schema)
-        kind = right.column("kind").to_numpy()
-        key, value = right.column("key").to_numpy().view(np.uint64), right.column("value").to_numpy()
-        run_of, word_of = (_Index(key[kind == k], value[kind == k] if k == 0 else np.log10(value[kind == k] + 0.1)) for k in (0, 1))
+        if not left.num_rows:  # the shards' totals
+            both = np.array([np.frombuffer(x.as_buffer(), "<i8") for x in right.column("answer")]).reshape(-1, 2).sum(0)
+            none = {c: pa.nulls(1, schema.field(c).type) for c in names}
+            return pa.table(none | {"tokens": pa.array(both[:1]), "distinct": pa.array(both[1:])}).select(list(names)).cast(schema)
+        left = left.drop_columns(["block"])
+        answers = dict(zip(right.column("shard").to_pylist(), right.column("answer"), strict=True))
+        runs, _, words, _ = _contents(left, depth)  # in the order they were asked for
+        (a, a_at), (b, b_at) = _dealt(runs, _near(runs), shards), _dealt(words, words, shards)
+        p, m = np.zeros(len(runs), np.float32), np.zeros(len(words), np.int64)
+        for s, x in answers.items():
+            data, i = x.as_buffer(), int(a_at[s + 1] - a_at[s])
+            p[a[a_at[s] : a_at[s + 1]]] = np.frombuffer(data, "<f4", i)
+            m[b[b_at[s] : b_at[s + 1]]] = np.frombuffer(data, "<i8", offset=4 * i)
+        del answers, right, a, b
+        run_of, word_of = _Index(runs, p), _Index(words, np.log10(m + 0.1))
         end = float(word_of(np.array([_END], np.uint64))[0])
-        del key, value, kind, right
+        del runs, words, p, m
         buf, offsets = C.text_bytes(left.column("text"))
-        left = left.drop_columns(["text"])
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
         for i, j in C.pieces(offsets, 1 << 19):
             runs, off, keys, first = _spell(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
@@ -291,12 +313,11 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
             out["n_tokens"].append(np.diff(first) + 1)
             out["n_known"].append(C.per_row(w > -0.5, first) + (end > -0.5))
             out["base"].append(sums + end)
-            out["score"].append(np.add.reduceat(run_of(runs), off[:-1]))
+            out["score"].append(np.add.reduceat(run_of(runs).astype(np.float64), off[:-1]))
         done = {c: pa.array(np.concatenate(v)) for c, v in out.items()}
-        del run_of, word_of, buf
-        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": left.column("doc_id"), "learn": left.column("learn")} | done | {c: pa.nulls(left.num_rows, pa.int64()) for c in ("tokens", "distinct")}).select(list(names)).cast(schema)
 
+    answers = dealt.select("block", "learn", "text").groupBy("block").applyInArrow(ask, "shard int, block int, asked binary").groupBy("shard").applyInArrow(answer, "block int, shard int, answer binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, learn boolean, n_tokens long, n_known long, base double, score double, tokens long, distinct long")
     scored = C.materialize(scored, "lm-scores")
     total = scored.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("all_distinct"))

@@ -133,6 +133,48 @@ def test_base_scores(spark, docs):
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want)) and r["score"] < 0
 
 
+def suffix_tree_brute(texts, learn, depth, min_count, cut):
+    """Scores from dictionaries of contexts, straight from the definition."""
+    spelled = [b"\n" * depth + "".join(w + " " for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))).encode() + b"\n" for t in texts]
+    seen = defaultdict(Counter)
+    for raw, teach in zip(spelled, learn, strict=True):
+        for i in range(depth, len(raw)) if teach else ():
+            for k in range(depth + 1):
+                seen[raw[i - k : i]][raw[i]] += 1
+    kinds = max(1, len(seen[b""]))
+    states = {b"": {c: (seen[b""][c] + kinds / 256) / (seen[b""].total() + kinds) for c in range(256)}}
+
+    def state(ctx):
+        """Distribution of the longest retained suffix of a context."""
+        if ctx not in states:
+            parent, n = state(ctx[1:]), seen.get(ctx, Counter())
+            total, t = n.total(), len(n)
+            own = {c: (n[c] + t * parent[c]) / (total + t) for c in range(256)} if total else parent
+            gain = sum(m * math.log(own[c] / parent[c]) for c, m in n.items())
+            states[ctx] = own if total >= min_count and gain >= cut else parent
+        return states[ctx]
+
+    return [sum(math.log10(state(raw[i - depth : i])[raw[i]]) for i in range(depth, len(raw))) for raw in spelled]
+
+
+@pytest.mark.parametrize("depth,min_count,cut", [(3, 1, 0.0), (5, 2, 2.0), (7, 3, 4.0)])
+def test_suffix_tree_scores(spark, docs, depth, min_count, cut):
+    texts = [r["text"][:3000] for r in docs.orderBy("doc_id").limit(50).collect()] + ["", None, "Zq zq ZQ été", "the the the"]
+    learn = [k % 3 != 0 for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, learn, strict=True)), "doc_id long, text string, teach boolean")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score_documents(df, F.col("teach"), depth=depth, min_count=min_count, cut=cut, block_bytes=20_000, shard_bytes=10_000).collect()}
+    want = suffix_tree_brute(texts, learn, depth, min_count, cut)
+    assert len(got) == len(texts) and all(abs(got[k] - w) <= 1e-5 * abs(w) for k, w in enumerate(want))
+
+
+def test_suffix_tree_long_text(spark):
+    rng = np.random.default_rng(8)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 600_000))
+    rows = suffix_tree_lm.score_documents(spark.createDataFrame([(1, text), (2, "alpha beta")], "doc_id long, text string"), F.col("doc_id") == 1, block_bytes=1 << 20).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert got[1]["n_tokens"] == 600_001 and got[2]["n_known"] == 3 and -0.75 < got[1]["score"] / 600_001 < -0.55
+
+
 def test_suffix_tree_odd(odd, none):
     rows = suffix_tree_lm.score_documents(odd, F.lit(True)).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r["score"]) for r in rows)
@@ -337,6 +379,24 @@ def test_deduplication(spark, docs, none):
     assert column_bwt.deduplicate(none).count() == 0
 
 
+def test_deduplication_other_ways(spark, docs, monkeypatch):
+    """Shared hashes joined instead of sent, many shards and buckets, copies joined: the same rows."""
+    monkeypatch.setattr(column_bwt, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(column_bwt, "BROADCAST_ROWS", 0)
+    whole = column_bwt.deduplicate
+    monkeypatch.setattr(column_bwt, "deduplicate", lambda df: whole(df, shard_keys=200, bucket_bytes=20_000))
+    check_removed(docs, [(r["doc_id"], r["text"].encode()) for r in docs.collect()])
+
+
+def test_deduplication_long_text(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    rows = [(1, long), (2, "x" * 60 + long[1_000_000:1_000_200] + "y" * 60), (3, long[2_000_000:]), (4, "z" * 4_000_000)]
+    got = {r["doc_id"]: r for r in column_bwt.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k]["n_removed"], got[k]["n_spans"]) for k in (1, 2, 3, 4)] == [(0, 0), (200, 1), (1_000_000, 1), (0, 0)]
+    assert bytes(got[2]["kept"]) == b"x" * 60 + b"y" * 60
+
+
 def test_deduplication_odd(odd):
     rows = column_bwt.deduplicate(odd).collect()
     assert len(rows) == len(ODD) and sum(r["n_removed"] for r in rows) == 0
