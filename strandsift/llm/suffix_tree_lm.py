@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH = 7  # bytes of context at most: with its symbol a run fills 64 bits
+DEPTH = 6  # bytes of context at most in the query (the operator takes up to 7: with its symbol a run fills 64 bits then)
 _END = 1  # the key of the end token
 LOW = 2  # contexts up to this many bytes are known to all tasks
 
@@ -197,14 +197,16 @@ def _dealt(keys: np.ndarray, by: np.ndarray, shards: int) -> tuple[np.ndarray, n
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _narrow(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value, all first bytes before all second ones: of sorted keys, small counts and
+    probabilities that lets a shuffle's compression leave little."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
 
 
-def _wide(data, n: int, at: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
-    return out.view("<u8").ravel()
+def _from_planes(data, n: int, at: int, width: int, kind: str) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view(kind).ravel()
 
 
 def _contents(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +264,7 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
         for s in range(shards):
             x, y = a[a_at[s] : a_at[s + 1]], b[b_at[s] : b_at[s + 1]]
             head = np.array([len(x), len(y)], "<i8").tobytes()
-            out.append(b"".join([head, _narrow(runs[x], width), n[x].astype("<u4").tobytes(), words[y].astype("<u8").tobytes(), m[y].astype("<u4").tobytes()]))
+            out.append(b"".join([head, _planes(runs[x], width), _planes(n[x].astype("<u4"), 4), _planes(words[y], 8), _planes(m[y].astype("<u4"), 4)]))
         return pa.table({"shard": pa.array(range(shards), pa.int32()), "block": pa.array([block] * shards, pa.int32()), "asked": pa.array(out, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
@@ -271,12 +273,12 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
             data = x.as_buffer()
             i, j = np.frombuffer(data, "<i8", 2).tolist()
             at = 16 + i * width
-            asked.append((_wide(data, i, 16, width), np.frombuffer(data, "<u4", i, at), np.frombuffer(data, "<u8", j, at + 4 * i), np.frombuffer(data, "<u4", j, at + 4 * i + 8 * j)))
+            asked.append((_from_planes(data, i, 16, width, "<u8"), _from_planes(data, i, at, 4, "<u4"), _from_planes(data, j, at + 4 * i, 8, "<u8"), _from_planes(data, j, at + 4 * i + 8 * j, 4, "<u4")))
         base, levels = shared.value
         runs, n = _sums([x[0] for x in asked], [x[1] for x in asked])
         p = np.log10(run_probabilities(runs, n, base, levels, depth, min_count, cut)).astype("<f4") if len(runs) else np.zeros(0, "<f4")
         words, m = _sums([x[2] for x in asked], [x[3] for x in asked])
-        out = [p[np.searchsorted(runs, x[0])].tobytes() + m[np.searchsorted(words, x[2])].astype("<i8").tobytes() for x in asked]
+        out = [_planes(p[np.searchsorted(runs, x[0])], 4) + _planes(m[np.searchsorted(words, x[2])].astype("<i8"), 8) for x in asked]
         # the shard's part of N and V, for block -1
         out.append(np.array([m.sum(), (m > 0).sum()], "<i8").tobytes())
         block = [*table.column("block").to_pylist(), -1]
@@ -297,9 +299,9 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id: str
         (a, a_at), (b, b_at) = _dealt(runs, _near(runs), shards), _dealt(words, words, shards)
         p, m = np.zeros(len(runs), np.float32), np.zeros(len(words), np.int64)
         for s, x in answers.items():
-            data, i = x.as_buffer(), int(a_at[s + 1] - a_at[s])
-            p[a[a_at[s] : a_at[s + 1]]] = np.frombuffer(data, "<f4", i)
-            m[b[b_at[s] : b_at[s + 1]]] = np.frombuffer(data, "<i8", offset=4 * i)
+            data, i, j = x.as_buffer(), int(a_at[s + 1] - a_at[s]), int(b_at[s + 1] - b_at[s])
+            p[a[a_at[s] : a_at[s + 1]]] = _from_planes(data, i, 0, 4, "<f4")
+            m[b[b_at[s] : b_at[s + 1]]] = _from_planes(data, j, 4 * i, 8, "<i8")
         del answers, right, a, b
         run_of, word_of = _Index(runs, p), _Index(words, np.log10(m + 0.1))
         end = float(word_of(np.array([_END], np.uint64))[0])
