@@ -384,19 +384,20 @@ def _bucket(doc: np.ndarray, key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _pack_spans(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, end: np.ndarray, buckets: int) -> pa.Table:
     """A row for each bucket: number of documents and spans, the documents (doc_id, key1), spans of each, and the spans' ends."""
+    if not len(doc):
+        return pa.table({"bucket": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
     bucket = _bucket(doc, key, buckets)
     order = np.lexsort((begin, key, doc, bucket))
     bucket, doc, key, begin, end = bucket[order], doc[order], key[order], begin[order], end[order]
     # spans that touch become one
-    if len(doc):
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        group = np.cumsum(new)
-        reach = np.maximum.accumulate(end + (group << 40)) - (group << 40)
-        new[1:] |= begin[1:] > reach[:-1]
-        first = np.flatnonzero(new)
-        end = reach[np.append(first[1:] - 1, len(doc) - 1)]
-        bucket, doc, key, begin = bucket[first], doc[first], key[first], begin[first]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    group = np.cumsum(new)
+    reach = np.maximum.accumulate(end + (group << 40)) - (group << 40)
+    new[1:] |= begin[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    end = reach[np.append(first[1:] - 1, len(doc) - 1)]
+    bucket, doc, key, begin = bucket[first], doc[first], key[first], begin[first]
     some, at = np.unique(bucket, return_index=True)
     blobs = []
     for i, j in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):

@@ -10,7 +10,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,12 +26,21 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """A folder of this application in the cluster's shared folder, gone when the application ends. Only a local master may do
+    without ``spark.checkpoint.dir``: a folder of one machine is no use to other machines."""
+    at = getattr(spark, "_strandsift_scratch", None)
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if at and (not path or at.startswith(path.rstrip("/"))):
+        return at
     if not path:
-        path = getattr(spark, "_strandsift_scratch", None) or tempfile.mkdtemp(prefix="strandsift-")
-        spark._strandsift_scratch = path
-    return path.rstrip("/")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="strandsift-")
+    at = f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    spark._strandsift_scratch = at
+    return at
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

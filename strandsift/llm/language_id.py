@@ -161,20 +161,23 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of each row with lang_pred, score and rejected (score under the calibrated bound)."""
+    """Columns ``keep`` of each row with lang_pred, score and rejected (score under the calibrated bound); where one of
+    ``keep`` has such a name, the new column's gets underscores in front."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x languages floats: bounded by parameters
-    rows = docs.select(*keep, F.col(text).cast("string").alias("text_"))
+    kept = docs.select(*keep)
+    t, *names = C.free_name(kept, "text", "lang_pred", "score", "rejected")
+    rows = docs.select(*keep, F.col(text).cast("string").alias(t))
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            lang, score = predict_column(model, batch.column("text_"))
+            lang, score = predict_column(model, batch.column(t))
             low = score < (model.reject_below if model else 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, ", ".join([schema] * bool(keep) + [f"`{c}` {k}" for c, k in zip(names, ("string", "double", "boolean"), strict=True)]))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

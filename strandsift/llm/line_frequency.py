@@ -116,7 +116,7 @@ def line_profile(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
 _KEY = ("doc_id", "host", "key1", "key2")
 
 
-def line_verdicts(profile: DataFrame, min_docs: int = 50, share: float = 0.05, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+def line_verdicts(profile: DataFrame, many: int = 50, few: int = 3, share: float = 0.05, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """A row for each row of ``profile``: the base counts, removed_lines (positions), removed_words, base_failed, kept."""
     texts = profile.groupBy("host", "key1", "key2").agg(F.min("doc_id").alias("owner"), F.first("line_hash").alias("lines"))
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
@@ -124,9 +124,9 @@ def line_verdicts(profile: DataFrame, min_docs: int = 50, share: float = 0.05, m
     lines = (
         texts.select("host", "owner", F.explode(F.array_distinct("lines")).alias("line")).where("line != 0")
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("owner").alias("owner"))
-        .where(F.col("n_docs") > min_docs)
+        .where(F.col("n_docs") > few)
     )
-    often = lines.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where(F.col("n_docs") > F.col("n_texts") * share).select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "owner")
+    often = lines.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where((F.col("n_docs") > many) | (F.col("n_docs") > F.col("n_texts") * share)).select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "owner")
     each = profile.dropDuplicates(list(_KEY)).select(*_KEY, F.posexplode(F.arrays_zip("line_hash", "line_words")).alias("pos", "x")).select(*_KEY, "pos", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
     removed = (
         each.join(often, (F.col("line") == F.col("o_line")) & F.col("host").eqNullSafe(F.col("o_host")) & ~F.col("doc_id").eqNullSafe(F.col("owner")))
@@ -148,13 +148,13 @@ def clean_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", hos
     """The rows of ``docs`` that are kept, all their columns, the text without its removed lines."""
     verdicts = line_verdicts(C.materialize(line_profile(docs, text, id, host), "line-profile"), **limits)
     verdicts = verdicts.where("kept").dropDuplicates(list(_KEY)).select(*_KEY, "removed_lines")
-    v = verdicts.select(*(F.col(c).alias(f"__{c}") for c in verdicts.columns))
+    d, h, k1, k2, lines = C.free_name(docs, "_doc_id", "_host", "_key1", "_key2", "_removed_lines")
     same = (
-        F.col(id).cast("long").eqNullSafe(F.col("__doc_id")) & F.col(host).cast("string").eqNullSafe(F.col("__host"))
-        & (F.xxhash64(F.col(text)) == F.col("__key1")) & (F.xxhash64(F.col(text), F.lit(1)) == F.col("__key2"))
+        F.col(id).cast("long").eqNullSafe(F.col(d)) & F.col(host).cast("string").eqNullSafe(F.col(h))
+        & (F.xxhash64(F.col(text)) == F.col(k1)) & (F.xxhash64(F.col(text), F.lit(1)) == F.col(k2))
     )
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("__removed_lines"), i)), "\n")
-    return docs.join(v, same).select(*(F.when(F.size("__removed_lines") == 0, F.col(c)).otherwise(left).alias(c) if c == text else docs[c] for c in docs.columns))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
+    return docs.join(verdicts.toDF(d, h, k1, k2, lines), same).select(*(F.when(F.size(lines) == 0, F.col(c)).otherwise(left).alias(c) if c == text else docs[c] for c in docs.columns))
 
 
 def op1_line_frequency(spark, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ texts AS (SELECT source, text, min(doc_id) AS owner FROM d GROUP BY ALL),
 hosts AS (SELECT source, count(*) AS n_texts FROM texts GROUP BY 1),
 held AS (SELECT t.source, l, count(*) AS n_docs, min(owner) AS owner FROM texts t
   JOIN (SELECT DISTINCT source, text, l FROM ln WHERE len(l) > 0) USING (source, text) GROUP BY ALL),
-often AS (SELECT h.* FROM held h JOIN hosts USING (source) WHERE n_docs > 50 AND n_docs > n_texts * 0.05),
+often AS (SELECT h.* FROM held h JOIN hosts USING (source) WHERE n_docs > 50 OR (n_docs > 3 AND n_docs > n_texts * 0.05)),
 rem AS (SELECT doc_id, sum(len(l)) AS n FROM ln JOIN often USING (source, l) WHERE doc_id <> owner GROUP BY 1),
 v AS (SELECT base.*, coalesce(rem.n, 0)::BIGINT AS removed_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM base LEFT JOIN rem USING (doc_id))

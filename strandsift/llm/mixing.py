@@ -77,7 +77,7 @@ def mix_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", sourc
     n = C.materialize(n.toDF(d, s, k, a, r), "mix-copies")
     same = F.col(id).cast("long").eqNullSafe(F.col(d)) & F.col(source).cast("string").eqNullSafe(F.col(s)) & (F.xxhash64(F.col(text)) == F.col(k))
     single = docs.join(n.where(F.col(r) == 1), same).withColumn(t, F.col(a))
-    nth = F.row_number().over(Window.partitionBy(d, s, k).orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy(d, s, k).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
     many = docs.join(n.where(F.col(r) > 1), same).withColumn(t, F.floor(F.col(a) / F.col(r)) + (nth <= F.col(a) % F.col(r)).cast("long"))
     return _repeat(single.unionByName(many), t).select(*docs.columns)
 

@@ -10,8 +10,8 @@ shortest permitted length that holds its contents.
 Pieces are dealt by hash into shards of about ``shard_rows`` pieces that are packed independently,
 so no task sees more than a bounded number of pieces and a rerun gives the same bins.
 
-Defined cases: null and empty texts have no words and get no piece (they are returned with n_words 0
-and no bin by ``pack_documents``); equal rows are separate pieces; an empty table gives an empty table.
+Defined cases: null and empty texts have no words, so they get no piece and no row; equal rows are separate pieces, dealt
+to shards like others; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -66,11 +66,12 @@ def pack_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", capa
     """A row for each piece: doc_id, piece, from_word, n_words, shard, bin, at (its start in the bin), bin_words, capacity."""
     longest = max(capacities)
     sizes = C.materialize(docs.select(F.col(id).cast("long").alias("doc_id"), C.n_words(text).alias("words"), F.xxhash64(F.col(text)).alias("key")), "pack-sizes")
-    rows = sizes.where("words > 0").select("doc_id", "key", F.posexplode(F.sequence(F.lit(0), F.col("words") - 1, F.lit(longest))).alias("piece", "from_word"), "words")
-    rows = rows.select("doc_id", "key", "piece", "from_word", F.least(F.lit(longest), F.col("words") - F.col("from_word")).alias("n_words"))
+    each = sizes.where("words > 0").groupBy("doc_id", "key", "words").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = each.select("doc_id", "key", "copy", F.posexplode(F.sequence(F.lit(0), F.col("words") - 1, F.lit(longest))).alias("piece", "from_word"), "words")
+    rows = rows.select("doc_id", "key", "copy", "piece", "from_word", F.least(F.lit(longest), F.col("words") - F.col("from_word")).alias("n_words"))
     n = int(sizes.agg(F.sum(F.ceil(F.col("words") / longest))).first()[0] or 0)
     shards = max(1, -(-n // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece", "copy"), F.lit(shards)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_words", "doc_id", "piece", "key"], ascending=[False, True, True, True], na_position="last").reset_index(drop=True)

@@ -33,6 +33,7 @@ from . import common as C
 
 SKIPPABLE = 0x184D2A5D  # the skippable frame that carries a dictionary
 FRAME = 0xFD2FB528
+BROADCAST_ROWS = 500_000  # so many digests of repeated pages are sent to all tasks; more are joined
 PROFILE_URI = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,6 +93,8 @@ def read_frames(data: bytes, max_record: int = 1 << 30):
     while at < len(data):
         if len(data) >= at + 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise WarcError("skippable frame is cut off")
             continue
         end = frame_end(data, at)
         try:
@@ -170,11 +173,13 @@ def read_page(raw: bytes) -> dict:
 
 # ---------------------------------------------------------------- Spark
 def record_types(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """page_id, url, html, sha1, record_type, refers_to. The join on digests carries no html where payloads are alone."""
+    """page_id, url, html, sha1, record_type, refers_to. Digests that several large pages share are
+    sent to all tasks up to BROADCAST_ROWS of them, so no html is shuffled; more are joined."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
     shared = p.where(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
-    s = shared.select(F.col("sha1").alias("s_sha1"), F.col("size").alias("s_size"), "keeper")
+    s = C.materialize(shared.select(F.col("sha1").alias("s_sha1"), F.col("size").alias("s_size"), "keeper"), "shared-digests")
+    s = F.broadcast(s) if s.count() <= BROADCAST_ROWS else s
     out = p.join(s, (F.col("sha1") == F.col("s_sha1")) & (F.col("size") == F.col("s_size")), "left")
     visits = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return out.select("page_id", "url", "html", "sha1", F.when(visits, "revisit").otherwise("response").alias("record_type"), F.when(visits, F.col("keeper")).alias("refers_to"))

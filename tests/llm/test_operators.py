@@ -94,6 +94,15 @@ def test_boilerplate_is_removed_once(spark):
     assert "SHARED" in kept[0] and "SHARED" not in kept[7] and 300 not in kept
 
 
+def test_limits_of_hot_and_small_hosts(spark):
+    """A line of 60 among 2000 documents of a hot host goes (under 5 %, but over 50); of a host of 10, one of 4 goes and one of 3 stays."""
+    own = lambda h, k: f"{h} words of document {k} which nobody else has at all here"
+    rows = [(k, own("hot", k) + ("\nmenu of the hot host" if k < 60 else "\nrare line of it" if k < 110 else ""), "hot") for k in range(2000)]
+    rows += [(5000 + k, own("small", k) + ("\nfour have this" if k < 4 else "\nthree have this" if k < 7 else ""), "small") for k in range(10)]
+    v = {r["doc_id"]: r["removed_words"] for r in line_frequency.line_verdicts(line_frequency.line_profile(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert [v[k] for k in (0, 1, 59, 60, 109)] == [0, 5, 5, 0, 0] and [v[5000 + k] for k in range(7)] == [0, 3, 3, 3, 0, 0, 0]
+
+
 def test_line_frequency_odd(odd, none):
     v = line_frequency.line_verdicts(line_frequency.line_profile(odd)).collect()
     assert len(v) == len(ODD) and sum(r["kept"] for r in v) == 1
@@ -300,7 +309,7 @@ def test_warc_dictionary_and_errors():
     again = b"\x5d\x2a\x4d\x18" + len(packed).to_bytes(4, "little") + packed + data[8 + len(dictionary) :]
     assert list(warc.read_frames(again)) == records
     assert warc.read_page(records[3])["page_id"] == 3
-    for bad in (data[:-3], data[:20]):
+    for bad in (data[:-3], data[:20], data + b"\x50\x2a\x4d\x18" + (9).to_bytes(4, "little") + b"short"):
         with pytest.raises(warc.WarcError):
             list(warc.read_frames(bad))
     r = records[0]
@@ -558,6 +567,33 @@ def test_jaccard_odd(odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 2 and jaccard_join.keep_one(none).count() == 0
 
 
+# ---------------------------------------------------------------- names that clash
+def test_clashing_names(spark, tmp_path):
+    """Operators that keep a table's columns keep those that have the names they use themselves."""
+    names = ["_doc_id", "_host", "_key1", "_key2", "_removed_lines", "__doc_id", "__host", "_id", "_key", "_rows", "_source", "_all", "_times", "_nths", "copy", "node", "bucket", "score", "rejected", "lang_pred", "text_", "n_words", "key1", "value"]
+    rows = [(k, f"document {k} has words enough to stay and token = \"0123456789abcdef012345678{k}\" in it", "en", "a", 9, *range(len(names))) for k in range(12)]
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names))
+    for kept in (line_frequency.clean_documents(df), jaccard_join.keep_one(df), secret_scan.redact(df), mixing.mix_documents(df)):
+        assert kept.columns == df.columns and kept.count() > 0
+        assert {tuple(r[c] for c in names) for r in kept.collect()} == {tuple(range(len(names)))}
+    assert packing.pack_documents(df).count() == 14 and column_bwt.deduplicate(df).count() == 14 and webp.store(df).count() == 14
+    assert suffix_tree_lm.score_documents(df, F.lit(True)).count() == 14
+    got = language_id.predict(df, None, keep=("doc_id", "score", "text_", "lang_pred"))
+    assert got.columns == ["doc_id", "score", "text_", "lang_pred", "_lang_pred", "_score", "rejected"] and got.count() == 14
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *names, F.lit(1).alias("sha1"), F.lit(2).alias("keeper"))
+    assert warc.read_warc(warc.write_warc(pages)).count() == 14
+
+
+def test_scratch_folder_is_shared(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.scratch_dir(Cluster())
+    assert common.scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline
