@@ -88,15 +88,21 @@ def common(a: Column, b: Column) -> Column:
     return _count(a, b, lambda x, y: (x == y) & ~x.isin("X", "-"))
 
 
+def code_points(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and the n+1 offsets (null: empty)."""
+    plain = texts.fillna("")
+    return np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(plain.str.len().to_numpy(np.int64))])
+
+
 @F.pandas_udf(T.IntegerType())
 def hamming_bulk(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``hamming`` for long strings, in Arrow batches (ASCII)."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        n = min(len(x), len(y))
-        u, v = (np.frombuffer(s[:n].encode("latin-1", "replace"), np.uint8) for s in (x, y))
-        out.append(int((u != v).sum()))
-    return pd.Series(out, dtype="int32")
+    """``hamming`` for long strings, a batch at a time; null where either is null."""
+    (x, x_at), (y, y_at) = code_points(a), code_points(b)
+    n = np.minimum(np.diff(x_at), np.diff(y_at))
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    far = np.bincount(row[x[x_at[row] + inner] != y[y_at[row] + inner]], minlength=len(n))
+    return pd.Series(far, dtype="Int32").mask(a.isna().to_numpy() | b.isna().to_numpy())
 
 
 def translate_text(nuc: str, offset: int = 0) -> str:
@@ -112,10 +118,32 @@ def translate(nuc: Column, offset: int = 0) -> Column:
     return F.array_join(F.transform(positions(n), lambda i: F.coalesce(F.try_element_at(table, codon(i)), F.lit("X"))), "")
 
 
+def _codon_table() -> tuple[np.ndarray, np.ndarray]:
+    """A small number for each code point (0: no letter of a codon), and the residue of three such numbers."""
+    letters = sorted({x for codon in CODONS for x in codon})
+    number = np.zeros(256, np.int64)
+    for k, x in enumerate(letters, 1):
+        number[ord(x)] = k
+    n = len(letters) + 1
+    residue = np.full(n**3, ord("X"), np.uint8)
+    for (x, y, z), aa in CODONS.items():
+        residue[(number[ord(x)] * n + number[ord(y)]) * n + number[ord(z)]] = ord(aa)
+    return number, residue
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("frame", T.IntegerType()), T.StructField("aa", T.StringType())])))
 def translate_frames(nuc: pd.Series) -> pd.Series:
-    """All three frames in Arrow batches; the expression looks its codons up one by one, this is for bulk."""
-    return nuc.map(lambda s: [{"frame": k, "aa": translate_text(s, k)} for k in range(3)])
+    """All three frames, a batch at a time; null for null."""
+    number, residue = _codon_table()
+    n = round(len(residue) ** (1 / 3))
+    points, at = code_points(nuc)
+    small = np.concatenate([np.where(points < 256, number[np.minimum(points, 255)], 0), np.zeros(2, np.int64)])
+    coded = residue[(small[:-2] * n + small[1:-1]) * n + small[2:]]  # of the codon that begins at each place
+    ends = np.repeat(at[1:], np.diff(at))
+    coded[np.arange(len(coded)) + 3 > ends] = ord("X")  # not a whole one
+    text = coded.tobytes().decode("latin-1")
+    rows = [[{"frame": k, "aa": text[i + k : j : 3]} for k in range(3)] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pd.Series(rows, dtype=object).mask(nuc.isna().to_numpy(), None)
 
 
 def insert_gaps(c: Column, gaps: Column, width: int = 1) -> Column:
@@ -142,6 +170,17 @@ def mask_damaged_end(nuc: Column, base: Column, codons: int = 13) -> Column:
     return F.when(k.isNull() | (n < codons * 3), nuc).otherwise(F.concat(F.substr(nuc, F.lit(1), n - k * 3), F.repeat(F.lit("-"), k * 3)))
 
 
+def residues_from(aa: Column, shift: Column, pos: int, n: int | None = None) -> Column:
+    """The aligned residues from a position (from 1) on, all or n of them."""
+    at = F.greatest(F.lit(1), F.lit(pos) - shift).cast("int")
+    return F.substr(aa, at, F.lit(n)) if n is not None else F.substr(aa, at)
+
+
+def residues_before(aa: Column, shift: Column, pos: int) -> Column:
+    """The aligned residues in front of a position."""
+    return F.substr(aa, F.lit(1), F.greatest(F.lit(0), F.lit(pos - 1) - shift).cast("int"))
+
+
 def name_from_template(template: str, fields: dict[str, Column]) -> Column:
     """``{field}`` placeholders filled from columns."""
     import string

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import CODONS, code_points
+
 
 def entry_flags(seqs: DataFrame) -> DataFrame:
     """Per virus type: entries, and those with an aligned, matched, dated, clade sequence."""
@@ -38,6 +42,11 @@ def identical(df: DataFrame, key: Column, item: Column) -> DataFrame:
     return df.where(key != "").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items")).where("n > 1")
 
 
+def identical_first(df: DataFrame, key: Column, item: Column) -> DataFrame:
+    """Like ``identical``, with the first item only, so groups of any size fit: key, n, first."""
+    return df.where(key != "").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first")).where("n > 1")
+
+
 def prefixes(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.select(F.substring(column, 1, size).alias("prefix")).distinct().orderBy("prefix")
 
@@ -53,8 +62,16 @@ def residues(df: DataFrame, column: str) -> DataFrame:
 
 
 def composition(df: DataFrame, column: str) -> DataFrame:
-    """pos, aa, n: residue counts at each position."""
-    return residues(df.select(column), column).groupBy("pos", "aa").agg(F.count(F.lit(1)).alias("n"))
+    """pos, aa, n: residue counts at each position. Batches count what they hold, so a few rows each are shuffled."""
+
+    def count(batches):
+        for batch in batches:
+            points, at = code_points(batch[column])
+            pos = np.arange(1, len(points) + 1) - np.repeat(at[:-1], np.diff(at))
+            key, n = np.unique(pos << 21 | points, return_counts=True)
+            yield pd.DataFrame({"pos": (key >> 21).astype("int32"), "aa": [chr(k) for k in (key & 0x1FFFFF).tolist()], "n": n})
+
+    return df.select(column).mapInPandas(count, "pos int, aa string, n long").groupBy("pos", "aa").agg(F.sum("n").alias("n"))
 
 
 def profile(counts: DataFrame) -> DataFrame:
@@ -98,9 +115,22 @@ def variable_codons(df: DataFrame, column: str = "nuc") -> DataFrame:
     return codons(df.select(column), column).groupBy("pos").agg(F.countDistinct("codon").alias("kinds"), F.count(F.lit(1)).alias("n")).where("kinds > 1")
 
 
-def weak_positions(profiles: DataFrame, entries: int, percent: float = 95.0) -> DataFrame:
-    """Variable positions whose top residue is in less than ``percent`` of all entries."""
-    return profiles.where(F.col("kinds") > 1).withColumn("share", F.col("top_n") * 100.0 / entries).where(F.col("share") < percent)
+def weak_positions(df: DataFrame, column: str, percent: float = 95.0) -> DataFrame:
+    """Variable positions, X aside, whose top residue is in less than ``percent`` of all rows."""
+    counts = composition(df, column).where("aa <> 'X'")
+    total = df.agg(F.count(F.lit(1)).alias("entries"))
+    rows = profile(counts).where("kinds > 1").crossJoin(F.broadcast(total))
+    return rows.withColumn("share", F.col("top_n") * 100.0 / F.col("entries")).where(F.col("share") < percent).drop("entries")
+
+
+def codon_report(df: DataFrame, column: str = "nuc") -> DataFrame:
+    """pos, codons and amino acids with their counts, most frequent first, at positions with more than one codon."""
+    counts = codons(df.select(column), column).groupBy("pos", "codon").agg(F.count(F.lit(1)).alias("n"))
+    table = F.create_map(*(F.lit(x) for kv in CODONS.items() for x in kv))
+    counts = counts.withColumn("aa", F.coalesce(F.try_element_at(table, F.col("codon")), F.lit("X")))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(c).alias("x")))), lambda i: F.concat(i["x"], F.lit(":"), (-i["m"]).cast("string"))), " ")
+    acids = counts.groupBy("pos", "aa").agg(F.sum("n").alias("n")).groupBy(F.col("pos").alias("aa_pos")).agg(listed("aa").alias("aas"))
+    return counts.groupBy("pos").agg(listed("codon").alias("codons"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").join(acids, F.col("pos") == F.col("aa_pos")).select("pos", "codons", "aas")
 
 
 def residues_to_indexes(df: DataFrame, aa: Column, index: str) -> DataFrame:
@@ -108,23 +138,55 @@ def residues_to_indexes(df: DataFrame, aa: Column, index: str) -> DataFrame:
     return df.groupBy(aa.alias("residues")).agg(F.sort_array(F.collect_list(index)).alias("indexes"))
 
 
-def clades_of_name(seqs: DataFrame, name: str, inclusive: bool) -> DataFrame:
-    """Union of an entry's clades; not inclusive: those of each sequence kept only where the next one has them too, so
-    a sequence without clades leaves none."""
-    own = seqs.where(F.col("name") == name).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq_no", "clades"))).alias("s"))
+def clades_of_names(seqs: DataFrame, inclusive: bool) -> DataFrame:
+    """name, clades of each entry: the union of its sequences'; not inclusive: those of each sequence kept only where the next
+    one has them too, so a sequence without clades leaves none."""
+    own = seqs.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq_no", "clades"))).alias("s"))
     each = F.transform("s", lambda x: x["clades"])
     union = F.array_sort(F.array_distinct(F.flatten(each)))
     both = F.aggregate(F.slice(each, F.lit(2), F.size(each)), F.get(each, F.lit(0)), lambda a, c: F.array_intersect(a, c))
     return own.select("name", (union if inclusive else F.array_sort(both)).alias("clades"))
 
 
-def conserved(df: DataFrame, column: str) -> DataFrame:
-    """Positions with a single residue, X and gaps aside."""
-    return residues(df.select(column), column).where(~F.col("aa").isin("X", "-")).groupBy("pos").agg(F.collect_set("aa").alias("s")).where(F.size("s") == 1).select("pos", F.get("s", F.lit(0)).alias("aa"))
+def clades_of_name(seqs: DataFrame, name: str, inclusive: bool) -> DataFrame:
+    return clades_of_names(seqs.where(F.col("name") == name), inclusive)
+
 
+def conserved(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """Positions with a single residue, X and gaps aside; within each group of ``by``."""
+    rows = residues(df.select(*by, column), column).where(~F.col("aa").isin("X", "-"))
+    return rows.groupBy(*by, "pos").agg(F.min("aa").alias("aa"), F.max("aa").alias("_z")).where(F.col("aa") == F.col("_z")).drop("_z")
 
-def class_regex(df: DataFrame, column: str) -> DataFrame:
-    """A regex that fits all strings: the letter, or the sorted class, at each position."""
-    per = residues(df.select(column), column).groupBy("pos").agg(F.array_sort(F.collect_set("aa")).alias("s"))
+
+def class_regex(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """A regex that fits all strings (of each group of ``by``): the letter, or the sorted class, at each position."""
+    per = residues(df.select(*by, column), column).groupBy(*by, "pos").agg(F.array_sort(F.collect_set("aa")).alias("s"))
     part = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("s", ""), F.lit("]")))
-    return per.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("r")))), lambda x: x["r"]), "").alias("regex"))
+    return per.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("r")))), lambda x: x["r"]), "").alias("regex"))
+
+
+# ---------------------------------------------------------------- the whole info report
+def labelled(seqs: DataFrame) -> DataFrame:
+    """A row of each sequence for everything it counts in: ``Total``, its type, and a B type with its lineage."""
+    labels = F.array_compact(F.array(F.lit("Total"), F.col("virus_type"), F.when((F.col("virus_type") == "B") & (F.col("lineage") != ""), F.concat("virus_type", "lineage"))))
+    return seqs.select(F.explode(labels).alias("label"), *seqs.columns)
+
+
+def info_periods(seqs: DataFrame, date: Column) -> DataFrame:
+    """label, period (a month, or a year and ``all``): sequences and matched ones; undated ones are left out."""
+    rows = labelled(seqs).where(date != "").select("label", (F.size("hi_names") > 0).alias("hit"), F.explode(F.array(F.substring(date, 1, 7), F.concat(F.substring(date, 1, 4), F.lit("all")))).alias("period"))
+    return rows.groupBy("label", "period").agg(F.count(F.lit(1)).alias("seqs"), F.count_if("hit").alias("matched"))
+
+
+def info_clades(seqs: DataFrame) -> DataFrame:
+    """label, kind (``clade`` or ``set``), value: sequences of each clade, and of each set of clades."""
+    each = F.transform("clades", lambda c: F.struct(F.lit("clade").alias("kind"), c.alias("value")))
+    whole = F.array(F.struct(F.lit("set").alias("kind"), F.array_join("clades", " ").alias("value")))
+    rows = labelled(seqs).where(F.size("clades") > 0).select("label", F.explode(F.concat(each, whole)).alias("x"))
+    return rows.groupBy("label", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("seqs"))
+
+
+def clade_report(seqs: DataFrame, clade: str, date: Column, lab: Column, name: Column) -> DataFrame:
+    """name, date, lab of the sequences of a clade (``all``: of every one), by date."""
+    rows = seqs if clade == "all" else seqs.where(F.array_contains("clades", clade))
+    return rows.select(name.alias("name"), date.alias("date"), lab.alias("lab")).orderBy("date", "name")

@@ -85,32 +85,38 @@ def _gaps(master: pd.Series, own: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _switching(part: pd.DataFrame) -> pd.DataFrame:
-    """A type without a sequence of normal length: a bad fit that is long enough may become the master, and all start again."""
-    part = part.sort_values(["name", "seq_no"]).reset_index(drop=True)
-    master = part["aligned_aa"].iloc[0]
-    again = True
-    while again:
-        again = False
-        gaps = []
-        for own, kind in zip(part["aligned_aa"], part["virus_type"], strict=True):
-            g = place_gaps(master, own, kind)
-            if g is None and len(own) > round(len(master) * 0.9) and own != master and place_gaps(own, master, kind) is not None:
-                master, again = own, True
-                break
-            gaps.append([{"pos": p, "n": n} for p, n in g or []])
-    return part[["name", "seq_no"]].assign(gaps=gaps)
+@F.pandas_udf(T.BooleanType())
+def _takes_over(master: pd.Series, own: pd.Series, kind: pd.Series) -> pd.Series:
+    """Whether a row fits the master badly, is long enough, and fits well the other way round."""
+    rows = zip(master, own, kind, strict=True)
+    return pd.Series([bool(m and o and o != m and len(o) > round(len(m) * 0.9) and place_gaps(m, o, k) is None and place_gaps(o, m, k) is not None) for m, o, k in rows])
+
+
+def settled_masters(seqs: DataFrame) -> DataFrame:
+    """virus_type, master of all types. In a type without a sequence of normal length the first row that takes over becomes the
+    master, and all rows are looked at again, until none does; a master that was replaced never comes back. Each turn
+    is one pass over the rows of those types; only one row for each type is held by the driver."""
+    spark = seqs.sparkSession
+    rows = masters(seqs).collect()
+    now, loose, gone = {r["virus_type"]: r["master"] for r in rows}, {r["virus_type"] for r in rows if not r["fixed"]}, set()
+    pool = seqs.where("align_status = 'aligned'").select("virus_type", "name", "seq_no", "aligned_aa")
+    while loose:
+        table = spark.createDataFrame([(k, now[k]) for k in sorted(loose)], "virus_type string, master string")
+        hits = pool.join(F.broadcast(table), "virus_type").where(_takes_over("master", "aligned_aa", "virus_type"))
+        if gone:
+            hits = hits.where(~F.struct("virus_type", "aligned_aa").isin([F.struct(F.lit(k), F.lit(m)) for k, m in sorted(gone)]))
+        first = hits.groupBy("virus_type").agg(F.min_by("aligned_aa", F.struct("name", "seq_no")).alias("master")).collect()
+        loose = {r["virus_type"] for r in first}
+        gone |= {(k, now[k]) for k in loose}
+        now |= {r["virus_type"]: r["master"] for r in first}
+    return spark.createDataFrame(sorted(now.items()), "virus_type string, master string")
 
 
 def detect(seqs: DataFrame) -> DataFrame:
-    """``seqs`` (with ``aligned_aa``) and ``gaps``: types with a fixed master need no shuffle, the few others go by type."""
-    m = masters(seqs)
-    rows = seqs.join(F.broadcast(m), "virus_type", "left")  # a row for each virus type
-    fixed = rows.where(F.coalesce("fixed", F.lit(True))).withColumn("gaps", F.when(F.col("align_status") == "aligned", _gaps("master", "aligned_aa", "virus_type")))
-    loose = rows.where(~F.coalesce("fixed", F.lit(True)))
-    found = loose.where("align_status = 'aligned'").select("virus_type", "name", "seq_no", "aligned_aa").groupBy("virus_type").applyInPandas(_switching, f"name string, seq_no int, gaps {GAPS}")
-    both = fixed.unionByName(loose.join(found, ["name", "seq_no"], "left").select(*fixed.columns))
-    return both.drop("master", "fixed").withColumn("gaps", F.coalesce("gaps", F.array().cast(GAPS)))
+    """``seqs`` (with ``aligned_aa``) and ``gaps`` of each row against its type's master, without a shuffle."""
+    rows = seqs.join(F.broadcast(settled_masters(seqs)), "virus_type", "left")  # a row for each virus type
+    gaps = F.when(F.col("align_status") == "aligned", _gaps("master", "aligned_aa", "virus_type"))
+    return rows.withColumn("gaps", F.coalesce(gaps, F.array().cast(GAPS))).drop("master")
 
 
 def apply(seqs: DataFrame) -> DataFrame:

@@ -51,14 +51,13 @@ def match_antigens(seqs: DataFrame, antigens: DataFrame) -> DataFrame:
     """One row for each antigen (ag_no, full_name, alt_name, name, passage, reassortant, virus_type, lineage) with name and
     seq_no of its sequence: by full name, by the alternative, or, without passage, by name and reassortant (the
     last one); a match of another virus type, or of another known lineage, is none."""
-    index = hi_index(seqs)
-    one = index.select(F.col("hi_name").alias("h1"), F.struct("name", "seq_no").alias("m1"))
-    two = index.select(F.col("hi_name").alias("h2"), F.struct("name", "seq_no").alias("m2"))
-    bare = antigens.where("passage = ''").select(F.col("ag_no").alias("a3"), F.col("name").alias("n3"), F.col("reassortant").alias("r3"))
+    keys = antigens.select(F.col("ag_no").alias("a_no"), F.posexplode(F.array("full_name", "alt_name")).alias("way", "hi_name"))
+    by_key = keys.join(hi_index(seqs), "hi_name").select("a_no", "way", F.struct("name", "seq_no").alias("m"))
+    bare = antigens.where("passage = ''").select(F.col("ag_no").alias("a_no"), F.col("name").alias("n3"), F.col("reassortant").alias("r3"))
     same = F.when(F.size("reassortants") == 0, F.col("r3") == "").otherwise(F.array_contains(F.col("reassortants"), F.col("r3")))
-    three = bare.join(seqs.select("name", "seq_no", "reassortants"), F.col("n3") == F.col("name")).where(same).groupBy("a3").agg(F.max(F.struct("name", "seq_no")).alias("m3"))
-    found = antigens.join(one, F.col("full_name") == F.col("h1"), "left").join(two, F.col("alt_name") == F.col("h2"), "left").join(three, F.col("ag_no") == F.col("a3"), "left")
-    found = found.select(*(antigens[c] for c in antigens.columns), F.coalesce("m1", "m2", "m3").alias("m"))
+    by_name = bare.join(seqs.select("name", "seq_no", "reassortants"), F.col("n3") == F.col("name")).where(same).groupBy("a_no").agg(F.max(F.struct("name", "seq_no")).alias("m")).select("a_no", F.lit(2).alias("way"), "m")
+    first = by_key.unionByName(by_name).groupBy("a_no").agg(F.min_by("m", "way").alias("m"))
+    found = antigens.join(first, F.col("ag_no") == F.col("a_no"), "left").select(*(antigens[c] for c in antigens.columns), "m")
     info = seqs.select(F.col("name").alias("s_name"), F.col("seq_no").alias("s_no"), F.col("virus_type").alias("s_type"), F.col("lineage").alias("s_lineage"))
     joined = found.join(info, (F.col("m.name") == F.col("s_name")) & (F.col("m.seq_no") == F.col("s_no")), "left")
     good = (F.col("virus_type") == F.col("s_type")) & ((F.col("lineage") == "") | (F.col("lineage") == F.col("s_lineage")))
@@ -108,9 +107,10 @@ def match_score(a: Column, b: Column) -> Column:
 
 
 def fallback_name(name: Column) -> Column:
-    """With exactly four slashes, parts two and three joined by a hyphen; else the name."""
+    """With exactly four slashes (an isolation written with a slash), parts three and four joined by a hyphen; else the name."""
     p = F.split(name, "/", -1)
-    return F.when(F.size(p) == 5, F.concat_ws("/", F.get(p, F.lit(0)), F.concat_ws("-", F.get(p, F.lit(1)), F.get(p, F.lit(2))), F.get(p, F.lit(3)), F.get(p, F.lit(4)))).otherwise(name)
+    part = lambda k: F.get(p, F.lit(k))
+    return F.when(F.size(p) == 5, F.concat_ws("/", part(0), part(1), F.concat_ws("-", part(2), part(3)), part(4))).otherwise(name)
 
 
 def entry_antigens(entries: DataFrame, hi: DataFrame) -> DataFrame:

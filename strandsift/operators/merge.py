@@ -104,7 +104,9 @@ def merge(records: DataFrame) -> DataFrame:
 
 
 def not_aligned(records: DataFrame) -> DataFrame:
-    return records.where("align_status <> 'aligned'").select("name", "aa", "nuc", "file_no", "record_no")
+    """Records without alignment that are long enough to have one."""
+    long = (F.length("aa") > MINIMUM_AA) | (F.length("nuc") > 3 * MINIMUM_AA)
+    return records.where((F.col("align_status") != "aligned") & long).select("virus_type", F.concat_ws(" ", "name", "passage").alias("name"), "nuc", "aa", "file_no", "record_no")
 
 
 def remove_hi_names(seqs: DataFrame) -> DataFrame:

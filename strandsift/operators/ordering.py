@@ -24,8 +24,8 @@ def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row for each key, the first in the order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    least = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_x"))
+    return least.select(*(F.col("_x")[c].alias(c) for c in df.columns))
 
 
 def walk_recent(df: DataFrame, keep: Column, n: int, date: str = "date", key: str = "seq_id") -> DataFrame:

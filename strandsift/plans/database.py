@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import clades, derived, sequence
+from ..functions import clades, derived, sequence, text
 from ..operators import aggregates, filters, indels, lookups, merge, ordering
 from ..sources import database, fasta
 
@@ -35,6 +35,9 @@ class SequenceDB:
     def save(self, path: str, mode: str = "errorifexists") -> None:
         database.write_database(schema.nest(self.seqs), path, mode)
 
+    def export_database(self, path: str, mode: str = "errorifexists") -> None:
+        database.export_database(schema.nest(self.seqs), path, mode)
+
     def entries(self) -> DataFrame:
         return schema.nest(self.seqs)
 
@@ -116,6 +119,16 @@ class SequenceDB:
     def info(self) -> DataFrame:
         return aggregates.info(self.seqs)
 
+    def info_periods(self) -> DataFrame:
+        return aggregates.info_periods(self.seqs, derived.latest_date(F.col("dates")))
+
+    def info_clades(self) -> DataFrame:
+        return aggregates.info_clades(self.seqs)
+
+    def report_clade(self, clade: str = "all") -> DataFrame:
+        name = derived.make_name(F.col("name"), F.col("passages"), F.col("hi_names"))
+        return aggregates.clade_report(self.seqs, clade, derived.latest_date(F.col("dates")), derived.lab(F.col("lab_ids")), name)
+
     def report_identical(self, column: str = "aa") -> DataFrame:
         made = sequence.amino_acids(F.col("aa"), F.col("aa_shift")) if column == "aa" else sequence.nucleotides(F.col("nuc"), F.col("nuc_shift"))
         return aggregates.identical(self.seqs.where("align_status = 'aligned'"), made, derived.seq_id(F.col("name"), F.col("passages")))
@@ -152,13 +165,18 @@ class SequenceDB:
         return SequenceDB(merge.remove_hi_names(self.seqs))
 
     def match_hidb(self, hi: DataFrame) -> SequenceDB:
-        """Laboratory names from HI antigens (full_name, name, passage, reassortant, hi_ids)."""
+        """Laboratory names from HI antigens (full_name, name, passage, reassortant, hi_ids, and if there are such columns lineage and
+        date): entries that have a match also take its dates, and a B entry without lineage the first one's."""
         entries = self.seqs.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(derived.ids_of(F.col("lab_ids"), "CDC")))).alias("cdc_ids"))
         pairs = lookups.entry_antigens(entries, hi)
         ags = pairs.join(hi.select("full_name", "passage", "reassortant"), "full_name")
         scored = lookups.best_by_antigen(self.seqs, ags)
         found = lookups.assign_antigens(scored).groupBy("name", "seq_no").agg(F.array_sort(F.collect_set("full_name")).alias("_h"))
         rows = self.seqs.join(found, ["name", "seq_no"], "left").withColumn("hi_names", F.coalesce("_h", "hi_names"))
+        if {"lineage", "date"} <= set(hi.columns):
+            more = pairs.join(hi.select("full_name", F.col("lineage").alias("_l"), F.col("date").alias("_d")), "full_name").groupBy("name").agg(F.min_by("_l", "full_name").alias("_l"), F.collect_set("_d").alias("_d"))
+            rows = rows.join(more, "name", "left").withColumn("dates", text.add_dates(F.col("dates"), F.coalesce("_d", F.array().cast("array<string>"))))
+            rows = rows.withColumn("lineage", F.when((F.col("virus_type") == "B") & (F.col("lineage") == ""), F.coalesce("_l", F.lit(""))).otherwise(F.col("lineage")))
         return SequenceDB(rows.select(*self.seqs.columns))
 
     # ------------------------------------------------------------ export

@@ -85,8 +85,8 @@ def query(name: str, sql: str | None = None):
 @query("isolates_by_year", f"WITH {ISO} SELECT continent, substr(iso_date, 1, 4) AS year, count(*) AS n FROM iso WHERE iso_date >= '1996-01-01' AND iso_date < '2000-01-01' GROUP BY ALL ORDER BY year DESC, continent")
 def _by_year(spark, d):
     """Sequences per continent and year, latest first."""
-    rows = filters.select(seqs(spark, d), begin="1996-01-01", end="2000-01-01")
-    return rows.groupBy("continent", F.substring(derived.latest_date(F.col("dates")), 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("year"), "continent")
+    rows = isolates(spark, d).where((F.col("iso_date") >= "1996-01-01") & (F.col("iso_date") < "2000-01-01"))  # a plain column, so it is filtered before the joins
+    return rows.groupBy("continent", F.substring("iso_date", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("year"), "continent")
 
 
 _SHOW = ("name", "seq_no", "nuc")
@@ -98,7 +98,7 @@ def _filter(name: str, where: str, **how):
 
 _filter("filter_type", "virus_type = 'B'", virus_type="B")
 _filter("filter_lineage", "lineage = 'YAMAGATA'", lineage="YAMAGATA")
-_filter("filter_continent_country", "continent = 'ASIA' AND country = 'CHINA'", continent="ASIA", country="CHINA")
+_filter("filter_continent_country", "continent = 'ASIA' AND country = 'NATION_2'", continent="ASIA", country="NATION_2")
 _filter("filter_date_range", "iso_date >= '1996-03-01' AND iso_date < '1997-01-01'", begin="1996-03-01", end="1997-01-01")
 _filter("filter_lab", "lab = 'CDC'", lab="CDC")
 _filter("filter_lab_id", "lab = 'NIMR' AND lab_id = '100'", lab_id=("NIMR", "100"))
@@ -232,13 +232,15 @@ def _empty_entries(spark, d):
     return lookups.without_present(o.select(F.col("o_orderkey").alias("name")), l.select(F.col("l_orderkey").alias("name"))).select(F.col("name").alias("o_orderkey"))
 
 
-@query("fallback_names", "SELECT c_custkey, concat('A/', 'B-C', '/', cast(c_custkey AS varchar(20)), '/2009') AS name FROM customer")
+@query("fallback_names", "SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN concat('A/', n_name, '/', c_mktsegment, '-', cast(c_custkey AS varchar(20)), '/2009') ELSE concat('A/', n_name, '/', cast(c_custkey AS varchar(20)), '/2009') END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _fallback(spark, d):
-    c = _tables(spark, d, "customer")[0]
-    return c.select("c_custkey", lookups.fallback_name(F.concat(F.lit("A/B/C/"), F.col("c_custkey").cast("string"), F.lit("/2009"))).alias("name"))
+    c, n = _tables(spark, d, "customer", "nation")
+    number = F.when(F.col("c_custkey") % 2 == 0, F.concat_ws("/", F.col("c_mktsegment"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    return rows.select("c_custkey", lookups.fallback_name(F.concat(F.lit("A/"), "n_name", F.lit("/"), number, F.lit("/2009"))).alias("name"))
 
 
-@query("greedy_match")
+@query("greedy_match", f"WITH {SEQS}, a AS (SELECT DISTINCT name, passage, full_name FROM seqs WHERE has_hi) SELECT a.name, min(s.seq_no)::INT AS seq_no, a.full_name, 100 AS score FROM a JOIN seqs s ON s.name = a.name AND s.passage = a.passage GROUP BY ALL")
 def _greedy(spark, d):
     s = seqs(spark, d)
     ags = s.where(F.size("hi_names") > 0).select("name", F.col("hi_names")[0].alias("full_name"), derived.first(F.col("passages")).alias("passage"), F.lit("").alias("reassortant")).distinct()
@@ -261,6 +263,25 @@ def _months(spark, d):
     return aggregates.by_month(seqs(spark, d), derived.latest_date(F.col("dates")))
 
 
+_LABELS = "lab AS (SELECT unnest(list_filter(['Total', virus_type, CASE WHEN virus_type = 'B' AND lineage <> '' THEN concat(virus_type, lineage) END], lambda x: x IS NOT NULL)) AS label, * FROM seqs)"
+
+
+@query("info_periods", f"WITH {SEQS}, {_LABELS}, p AS (SELECT label, has_hi, unnest([substr(iso_date, 1, 7), concat(substr(iso_date, 1, 4), 'all')]) AS period FROM lab) SELECT label, period, count(*) AS seqs, count(*) FILTER (has_hi) AS matched FROM p GROUP BY ALL")
+def _info_periods(spark, d):
+    return aggregates.info_periods(seqs(spark, d), derived.latest_date(F.col("dates")))
+
+
+@query("info_clades", f"WITH {SEQS}, {_LABELS}, c AS (SELECT label, 'clade' AS kind, unnest(list_distinct([substr(passage, 1, 1), substr(passage, 2, 1)])) AS value FROM lab UNION ALL SELECT label, 'set', concat(substr(passage, 1, 1), ' ', substr(passage, 2, 1)) FROM lab) SELECT label, kind, value, count(*) AS seqs FROM c GROUP BY ALL")
+def _info_clades(spark, d):
+    return aggregates.info_clades(seqs(spark, d))
+
+
+@query("clade_report", f"WITH {SEQS} SELECT CASE WHEN has_hi THEN full_name ELSE concat(name, ' ', passage) END AS name, iso_date AS date, lab FROM seqs WHERE contains(passage, 'R') ORDER BY date, name")
+def _clade_report(spark, d):
+    s = seqs(spark, d)
+    return aggregates.clade_report(s, "R", derived.latest_date(F.col("dates")), derived.lab(F.col("lab_ids")), derived.make_name(F.col("name"), F.col("passages"), F.col("hi_names")))
+
+
 @query("clade_counts", f"WITH {ISO} SELECT clade, count(*) AS seqs FROM (SELECT unnest(list_distinct([substr(passage, 1, 1), substr(passage, 2, 1)])) AS clade FROM iso) GROUP BY 1")
 def _clade_counts(spark, d):
     return aggregates.clade_counts(seqs(spark, d))
@@ -274,13 +295,13 @@ def _clade_sets(spark, d):
 @query("clades_of_name", f"WITH {SEQS}, f AS (SELECT min(name) AS name FROM seqs) SELECT name, array_to_string(list_sort(list(DISTINCT c)), ' ') AS clades FROM (SELECT name, unnest([substr(passage, 1, 1), substr(passage, 2, 1)]) AS c FROM seqs JOIN f USING (name)) GROUP BY 1")
 def _clades_of(spark, d):
     s = seqs(spark, d)
-    first = s.agg(F.min("name").alias("n")).first()["n"] or ""
-    return aggregates.clades_of_name(s, first, True).select("name", F.array_join("clades", " ").alias("clades"))
+    own = s.join(F.broadcast(s.agg(F.min("name").alias("name"))), "name")
+    return aggregates.clades_of_names(own, True).select("name", F.array_join("clades", " ").alias("clades"))
 
 
 @query("identical_sequences", f"WITH {ISO} SELECT nuc AS key, count(*) AS n, min(name) AS first FROM iso GROUP BY 1 HAVING count(*) > 1")
 def _identical(spark, d):
-    return aggregates.identical(isolates(spark, d), F.col("nuc"), F.col("name")).select("key", "n", F.get("items", F.lit(0)).alias("first"))
+    return aggregates.identical_first(isolates(spark, d), F.col("nuc"), F.col("name"))
 
 
 @query("distinct_passages", f"WITH {ISO} SELECT DISTINCT passage AS item FROM iso ORDER BY 1")
@@ -329,16 +350,22 @@ def _codons(spark, d):
     return aggregates.variable_codons(isolates(spark, d))
 
 
-@query("separating_codons", f"WITH {ISO}, {_CODONS.format(g='suppkey')}, s AS (SELECT pos, list(DISTINCT codon) FILTER (suppkey = 1) AS a, list(DISTINCT codon) FILTER (suppkey = 2) AS b FROM cod GROUP BY 1) SELECT pos, array_to_string(list_sort(a), ' ') AS codons_1, array_to_string(list_sort(b), ' ') AS codons_2 FROM s WHERE len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b)")
+@query("separating_codons", f"WITH {ISO}, x AS (SELECT suppkey % 2 AS g, concat(CASE suppkey % 2 WHEN 0 THEN 'AAACCG' ELSE 'CCCAAG' END, nuc) AS nuc FROM iso), c AS (SELECT g, p::INT AS pos, substr(nuc, (p - 1) * 3 + 1, 3) AS codon FROM x, (SELECT unnest(range(1, 24)) AS p)), s AS (SELECT pos, list(DISTINCT codon) FILTER (g = 0) AS a, list(DISTINCT codon) FILTER (g = 1) AS b FROM c GROUP BY 1) SELECT pos, array_to_string(list_sort(a), ' ') AS codons_1, array_to_string(list_sort(b), ' ') AS codons_2 FROM s WHERE len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b)")
 def _separating(spark, d):
-    rows = isolates(spark, d).where("suppkey IN (1, 2)").withColumn("g", F.col("suppkey").cast("string"))
-    return aggregates.separating(rows, "g", "1", "2").select("pos", F.array_join("codons_1", " ").alias("codons_1"), F.array_join("codons_2", " ").alias("codons_2"))
+    even = F.col("suppkey") % 2 == 0
+    rows = isolates(spark, d).select(F.when(even, "0").otherwise("1").alias("g"), F.concat(F.when(even, "AAACCG").otherwise("CCCAAG"), "nuc").alias("nuc"))
+    return aggregates.separating(rows, "g", "0", "1").select("pos", F.array_join("codons_1", " ").alias("codons_1"), F.array_join("codons_2", " ").alias("codons_2"))
+
 
+@query("codon_report", f"WITH {ISO}, {_CODONS.format(g='name')}, n AS (SELECT pos, codon, count(*) AS n FROM cod GROUP BY ALL), t(codon, aa) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in sequence.CODONS.items())}), a AS (SELECT pos, aa, sum(n)::BIGINT AS n FROM n JOIN t USING (codon) GROUP BY ALL), l AS (SELECT pos, string_agg(concat(aa, ':', cast(n AS varchar(20))), ' ' ORDER BY n DESC, aa) AS aas FROM a GROUP BY 1) SELECT pos, string_agg(concat(codon, ':', cast(n AS varchar(20))), ' ' ORDER BY n DESC, codon) AS codons, any_value(aas) AS aas FROM n JOIN l USING (pos) GROUP BY 1 HAVING count(*) > 1")
+def _codon_report(spark, d):
+    return aggregates.codon_report(isolates(spark, d))
 
-@query("weak_positions", f"WITH {ISO}, {_COMP.format(src='iso')}, t AS (SELECT pos, count(*) AS kinds, max(n) AS top_n, sum(n) AS total FROM comp GROUP BY 1) SELECT pos, top_n FROM t WHERE kinds > 1 AND top_n * 100.0 / total < 26")
+
+@query("weak_positions", f"WITH {ISO}, x AS (SELECT translate(nuc, 'T', 'X') AS nuc FROM iso), {_COMP.format(src='x')}, t AS (SELECT pos, count(*) AS kinds, max(n) AS top_n FROM comp WHERE aa <> 'X' GROUP BY 1) SELECT pos, top_n FROM t WHERE kinds > 1 AND top_n * 100.0 / (SELECT count(*) FROM iso) < 26")
 def _weak(spark, d):
-    i = isolates(spark, d)
-    return aggregates.weak_positions(aggregates.profile(aggregates.composition(i, "nuc")), i.count(), 26.0).select("pos", "top_n")
+    """Every fourth residue is an X, which is in no count but in the number of entries."""
+    return aggregates.weak_positions(isolates(spark, d).select(F.translate("nuc", "T", "X").alias("nuc")), "nuc", 26.0).select("pos", "top_n")
 
 
 @query("mode_length", "WITH c AS (SELECT length(text) AS n, count(*) AS k FROM documents GROUP BY 1) SELECT min(n)::INT AS n FROM c WHERE k = (SELECT max(k) FROM c)")
@@ -353,14 +380,14 @@ def _indexes(spark, d):
     return aggregates.residues_to_indexes(rows, aa, "id").select("residues", F.size("indexes").cast("long").alias("n"), F.col("indexes")[0].alias("first"))
 
 
-@query("conserved_positions", f"WITH {ISO}, x AS (SELECT p::INT AS pos, substr(nuc, p, 1) AS aa FROM iso, (SELECT unnest(range(1, 65)) AS p) WHERE partkey = 7) SELECT pos, min(aa) AS aa FROM x GROUP BY 1 HAVING count(DISTINCT aa) = 1")
+@query("conserved_positions", f"WITH {ISO}, x AS (SELECT partkey, p::INT AS pos, substr(nuc, p, 1) AS aa FROM iso, (SELECT unnest(range(1, 65)) AS p)) SELECT partkey, pos, min(aa) AS aa FROM x WHERE aa NOT IN ('X', '-') GROUP BY 1, 2 HAVING count(DISTINCT aa) = 1")
 def _conserved(spark, d):
-    return aggregates.conserved(isolates(spark, d).where("partkey = 7"), "nuc")
+    return aggregates.conserved(isolates(spark, d), "nuc", "partkey")
 
 
-@query("class_regex", f"WITH {ISO}, x AS (SELECT p AS pos, list_sort(list(DISTINCT substr(nuc, p, 1))) AS s FROM iso, (SELECT unnest(range(1, 65)) AS p) WHERE partkey = 7 GROUP BY 1) SELECT string_agg(CASE WHEN len(s) = 1 THEN s[1] ELSE concat('[', array_to_string(s, ''), ']') END, '' ORDER BY pos) AS regex FROM x")
+@query("class_regex", f"WITH {ISO}, x AS (SELECT partkey, p AS pos, list_sort(list(DISTINCT substr(nuc, p, 1))) AS s FROM iso, (SELECT unnest(range(1, 65)) AS p) GROUP BY 1, 2) SELECT partkey, string_agg(CASE WHEN len(s) = 1 THEN s[1] ELSE concat('[', array_to_string(s, ''), ']') END, '' ORDER BY pos) AS regex FROM x GROUP BY 1")
 def _class_regex(spark, d):
-    return aggregates.class_regex(isolates(spark, d).where("partkey = 7"), "nuc")
+    return aggregates.class_regex(isolates(spark, d), "nuc", "partkey")
 
 
 # ---------------------------------------------------------------- projections, order, sets
@@ -379,10 +406,9 @@ def _open(spark, d):
     return proteins(spark, d).select("id", sequence.longest_open_part(F.replace("aa", F.lit("K"), F.lit("*"))).alias("aa"))
 
 
-@query("unique_names", f"WITH {ISO}, c AS (SELECT country, partkey, suppkey, seq_no, entry_id FROM iso WHERE partkey < 50), k AS (SELECT *, count(*) OVER (PARTITION BY country) AS n, row_number() OVER (PARTITION BY country ORDER BY entry_id, seq_no, partkey, suppkey) AS r FROM c) SELECT CASE WHEN n > 1 THEN concat(country, '__', cast(r AS varchar(20))) ELSE country END AS country, entry_id FROM k")
+@query("unique_names", f"WITH {ISO}, k AS (SELECT name, entry_id, seq_no, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY seq_no, partkey, suppkey) AS r FROM iso) SELECT CASE WHEN n > 1 THEN concat(name, '__', cast(r AS varchar(20))) ELSE name END AS name, entry_id, seq_no FROM k")
 def _unique(spark, d):
-    rows = isolates(spark, d).where("partkey < 50")
-    return ordering.unique_names(rows, "country", "entry_id", "seq_no", "partkey", "suppkey").select("country", "entry_id")
+    return ordering.unique_names(isolates(spark, d), "name", "seq_no", "partkey", "suppkey").select("name", "entry_id", "seq_no")
 
 
 @query("recent_n", f"WITH {ISO}, e AS (SELECT DISTINCT name, iso_date FROM iso) SELECT * FROM e ORDER BY iso_date DESC, name DESC LIMIT 500")
@@ -403,11 +429,11 @@ def _dedup(spark, d):
     return ordering.first_of(s, "seq_id", "nuc")
 
 
-@query("base_and_included", "SELECT n_name AS name, CASE WHEN n_nationkey = 3 THEN 0 WHEN n_nationkey < 10 THEN 1 ELSE 2 END AS part FROM nation WHERE n_nationkey < 15")
+@query("base_and_included", f"WITH {ISO}, e AS (SELECT DISTINCT name, continent, iso_date FROM iso), b AS (SELECT min(name) AS name FROM e) SELECT name, CASE WHEN name = (SELECT name FROM b) THEN 0 WHEN continent = 'ASIA' THEN 1 ELSE 2 END AS part FROM e WHERE continent = 'ASIA' OR iso_date LIKE '1997%' OR name = (SELECT name FROM b)")
 def _base(spark, d):
-    n = _tables(spark, d, "nation")[0]
-    pick = lambda w: n.where(w).select(F.col("n_name").alias("name"))
-    return ordering.with_base(pick("n_nationkey = 3"), pick("n_nationkey < 10"), pick("n_nationkey < 15")).select("name", "part")
+    e = isolates(spark, d).select("name", "continent", "iso_date").distinct()
+    base = e.agg(F.min("name").alias("name"))
+    return ordering.with_base(base, e.where("continent = 'ASIA'").select("name"), e.where("iso_date LIKE '1997%'").select("name")).select("name", "part")
 
 
 @query("gaps_inserted", f"WITH {PROT} SELECT id, concat(substr(aa, 1, 10), '--', substr(aa, 11, 88), '-', substr(aa, 99)) AS aa FROM prot")
@@ -416,9 +442,9 @@ def _gaps(spark, d):
     return proteins(spark, d).select("id", sequence.insert_gaps(F.col("aa"), gaps).alias("aa"))
 
 
-@query("master_rows", f"WITH {PROT}, m AS (SELECT min(substr(aa, 1, 40)) AS m FROM prot) SELECT id, array_to_string(list_transform(range(1, 41), lambda k: CASE WHEN substr(aa, k, 1) = substr(m, k, 1) THEN '·' ELSE substr(aa, k, 1) END), '') AS aa FROM prot, m")
+@query("master_rows", f"WITH {PROT}, m AS (SELECT min(aa) AS m FROM prot) SELECT id, array_to_string(list_transform(range(1, 513), lambda k: CASE WHEN substr(aa, k, 1) = substr(m, k, 1) THEN '·' ELSE substr(aa, k, 1) END), '') AS aa FROM prot, m")
 def _master(spark, d):
-    p = proteins(spark, d).select("id", F.substring("aa", 1, 40).alias("aa"))
+    p = proteins(spark, d)
     return p.crossJoin(F.broadcast(p.agg(F.min("aa").alias("m")))).select("id", sequence.against_master(F.col("aa"), F.col("m")).alias("aa"))
 
 
@@ -496,7 +522,7 @@ def _records(spark, d) -> DataFrame:
     """Made-up FASTA records of parts: a motif in front of the protein, several records for each name."""
     p = proteins(spark, d).withColumn("aa", F.translate("aa", "-*", "GG"))
     motif = F.when(F.col("id") % 3 == 0, "QKIPGNDNSTATLCLGHHAVPNGTIVKTI").when(F.col("id") % 3 == 1, "DTLCIGYHANNSTDTV").otherwise("CTDLDVALGRP")
-    name = F.concat(F.lit("A/PLACE/"), (F.col("id") % 500).cast("string"), F.lit("/2015"))
+    name = F.concat(F.lit("A/PLACE/"), F.expr("id div 4").cast("string"), F.lit("/2015"))
     return p.select(
         name.alias("name"), F.concat(motif, F.when(F.col("id") > 1000, F.substring("aa", 1, 440)).otherwise(F.col("aa"))).alias("sequence"), F.lit("2015").alias("date"), F.lit("C1").alias("passage"), F.lit("").alias("reassortant"),
         F.lit("CDC").alias("lab"), F.col("id").cast("string").alias("lab_id"), F.lit("").alias("virus_type"), F.lit("").alias("lineage"), F.lit("HA").alias("gene"), F.lit(0).alias("file_no"), F.col("id").alias("record_no"),
@@ -515,9 +541,12 @@ def _merge(spark, d):
 
 @query("indels")
 def _indels(spark, d):
-    rows = proteins(spark, d).select(F.lit("A(H3N2)").alias("virus_type"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("name"), F.lit(0).alias("seq_no"), F.lit("aligned").alias("align_status"), F.translate("aa", "-", "G").alias("aa"))
-    first = rows.agg(F.min("aa").alias("m"))
-    # every protein is the first one's with its own residues at the end, and three residues cut out at 100 for half of them
-    cut = F.when(F.ascii(F.right("name", F.lit(1))) % 2 == 0, F.concat(F.substring("m", 1, 100), F.substring("m", 104, 350))).otherwise(F.substring("m", 1, 450))
-    rows = rows.crossJoin(F.broadcast(first)).withColumn("aligned_aa", F.concat(cut, F.substring("aa", 1, 30))).drop("m", "aa")
+    """Three types; the first two have rows of normal length, B has none. Every protein is the least one's with its own residues at
+    the end, and three residues cut out at 100 for half of them."""
+    p = proteins(spark, d).select("id", F.translate("aa", "-", "G").alias("aa"))
+    kind = F.when(F.col("id") % 3 == 0, "A(H3N2)").when(F.col("id") % 3 == 1, "A(H1N1)").otherwise("B")
+    size = F.when(F.col("id") % 3 == 0, 520).when(F.col("id") % 3 == 1, 519).otherwise(450)
+    long = F.concat("m", "m")
+    cut = F.when(F.col("id") % 2 == 0, F.concat(F.substring("m", 1, 100), F.substr(long, F.lit(104), size - 103))).otherwise(F.substr(long, F.lit(1), size))
+    rows = p.crossJoin(F.broadcast(p.agg(F.min("aa").alias("m")))).select(kind.alias("virus_type"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("name"), F.lit(0).alias("seq_no"), F.lit("aligned").alias("align_status"), F.concat(cut, F.substring("aa", 1, 30)).alias("aligned_aa"))
     return indels.detect(rows).select("name", "aligned_aa", F.to_json("gaps").alias("gaps"))

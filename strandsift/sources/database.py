@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,43 @@ def write_database(entries: DataFrame, path: str, mode: str = "errorifexists") -
     rows.repartitionByRange("name").sortWithinPartitions("name").select("value").write.mode(mode).option("compression", "gzip").text(path)
 
 
+def export_database(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Database files for exchange, each an object with version, date and entries in name order (as many files as partitions; ``coalesce(1)``
+    before makes one). Shifts are written where aligned; ``read_database`` reads them."""
+    spark = entries.sparkSession
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        some = lambda c: F.when(F.size(c) > 0, c)
+        said = lambda c: F.nullif(c, F.lit(""))
+        aligned = lambda s, c: F.when(s["align_status"] == "aligned", s[c])
+        seq = lambda s: F.struct(
+            some(s["passages"]).alias("p"), said(s["nuc"]).alias("n"), said(s["aa"]).alias("a"), aligned(s, "nuc_shift").alias("t"), aligned(s, "aa_shift").alias("s"), some(s["lab_ids"]).alias("l"),
+            said(s["gene"]).alias("g"), some(s["hi_names"]).alias("h"), some(s["reassortants"]).alias("r"), some(s["clades"]).alias("c"),
+        )
+        line = F.to_json(F.struct(
+            F.col("name").alias("N"), said(F.col("continent")).alias("C"), said(F.col("country")).alias("c"), some(F.col("dates")).alias("d"), said(F.col("lineage")).alias("l"),
+            said(F.col("virus_type")).alias("v"), F.transform("seqs", seq).alias("s"),
+        ), {"ignoreNullFields": "true"})
+        rows = entries.select("name", line.alias("value")).repartitionByRange("name").sortWithinPartitions("name").select("value")
+        head = f'{{"  version": "{VERSION}", "  date": "{datetime.now():%Y-%m-%d %H:%M:%S}", "data": ['
+
+        def wrap(batches):
+            last = None
+            for batch in batches:
+                lines = batch["value"].tolist()
+                if lines:
+                    opened = [head] if last is None else [last + ","]
+                    yield pd.DataFrame({"value": [*opened, *(x + "," for x in lines[:-1])]})
+                    last = lines[-1]
+            if last is not None:
+                yield pd.DataFrame({"value": [last, "]}"]})
+
+        rows.mapInPandas(wrap, "value string").write.mode(mode).text(path)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
 def read_database_lines(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_database`` wrote."""
     seq = "struct<a:string,A:string,c:array<string>,g:string,h:array<string>,l:map<string,array<string>>,n:string,p:array<string>,r:array<string>,s:int,t:int,st:string,gi:array<string>>"

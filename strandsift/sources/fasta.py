@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,33 +13,42 @@ _LETTERS = r"^[A-Za-z\-~:*.]+$"
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
-    """file_no, record_no, line_no (of the header), name, sequence of each record.
+    """file_no (of the path in ``paths``), record_no, line_no (of the header), name, sequence of each record.
 
-    Files are read line by line by Spark's text reader (any store, any compression it knows); blank lines and ``;``
-    comments are skipped, sequence lines joined, upper-cased, ``/`` becomes ``-``. A record without name or sequence, or
-    with other characters, is an error that names file and line; with ``strict=False`` it gets an ``error`` text.
+    A record is a row of Spark's text reader, which splits plain files at ``>`` (any store, any compression it knows); blank
+    lines and ``;`` comments are skipped, sequence lines joined, upper-cased, ``/`` becomes ``-``. Records are numbered within
+    the reader's blocks, and the blocks' totals add up, so a large file is read by many tasks. A record without name or
+    sequence, or with other characters, is an error that names file and line; with ``strict=False`` it gets an ``error`` text.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "t")).withColumn("t", F.trim("t")).where("t <> '' AND NOT startswith(t, ';')")
-    # within a file the n-th header begins the n-th record: files are the unit of work, as in the reader above
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy("line")
-    rows = lines.withColumn("head", F.col("t").startswith(">")).withColumn("record_no", F.sum(F.col("head").cast("long")).over(w))
-    made = rows.groupBy("file", "record_no").agg(
-        F.max(F.when(F.col("head"), F.trim(F.substr("t", F.lit(2))))).alias("name"), (F.min("line") + 1).cast("long").alias("line_no"),
-        F.upper(F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line", "t")))), lambda x: x["t"]), ""), F.lit("/"), F.lit("-"))).alias("sequence"),
+    parts = [paths] if isinstance(paths, str) else list(paths)
+    raw = reduce(DataFrame.unionByName, [spark.read.option("lineSep", "\n>").text(p).select(F.lit(k).alias("file_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value") for k, p in enumerate(parts)])
+    raw = raw.withColumn("nth", F.monotonically_increasing_id())
+    own = ["file_no", "file", "block"]
+    w = Window.partitionBy(*own).orderBy("nth")
+    rows = raw.withColumn("row", F.row_number().over(w)).withColumn("opens", (F.col("block") > 0) | (F.col("row") > 1) | F.ltrim("value").startswith(">"))
+    # what comes before the first header holds comments, or is a record without a name
+    rows = rows.withColumn("lines", F.transform(F.split("value", "\n", -1), lambda t: F.trim(F.rtrim(t, F.lit("\r")))))
+    rows = rows.withColumn("skip", F.when(F.col("opens"), F.lit(0)).otherwise(F.size(F.filter("lines", lambda t: (t == "") | t.startswith(";")))))
+    rows = rows.withColumn("is_record", F.col("opens") | (F.col("skip") < F.size("lines")))
+    rows = rows.withColumns({"k": F.sum(F.col("is_record").cast("long")).over(w), "upto": F.sum(F.size("lines").cast("long")).over(w) - F.size("lines")})
+    blocks = rows.groupBy(*own).agg(F.sum(F.col("is_record").cast("long")).alias("n"), F.sum(F.size("lines").cast("long")).alias("m"))
+    before = Window.partitionBy("file_no", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in own), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"))
+    rows = rows.where("is_record").join(blocks, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"b_{c}") for c in own]))
+    # a header after the first line of its text: comments of the file's beginning
+    at = F.array_position(F.transform("lines", lambda t: t.startswith(">")), True)
+    head_at = F.when((F.col("block") == 0) & (F.col("row") == 1), at).otherwise(F.lit(1)).cast("int")
+    name = F.when(F.col("opens") & (head_at > 0), F.trim(F.regexp_replace(F.element_at("lines", F.greatest(head_at, F.lit(1))), "^>", ""))).otherwise("")
+    body = F.filter(F.slice("lines", head_at + 1, F.size("lines")), lambda t: (t != "") & ~t.startswith(";"))
+    made = rows.select(
+        "file_no", "file", (F.col("n0") + F.col("k")).alias("record_no"), (F.col("m0") + F.col("upto") + F.greatest(head_at, F.lit(1))).cast("long").alias("line_no"),
+        name.alias("name"), F.upper(F.replace(F.array_join(body, ""), F.lit("/"), F.lit("-"))).alias("sequence"),
     )
-    error = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no name").when(F.col("sequence") == "", "no sequence").when(~F.col("sequence").rlike(_LETTERS), "invalid characters")
+    error = F.when(F.col("name") == "", "no name").when(F.col("sequence") == "", "no sequence").when(~F.col("sequence").rlike(_LETTERS), "invalid characters")
     made = made.withColumn("error", F.when(error.isNotNull(), F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), error)))
     if strict:
         made = made.withColumn("sequence", F.when(F.col("error").isNull(), F.col("sequence")).otherwise(F.raise_error(F.col("error"))))
-    numbers = {p: k for k, p in enumerate(paths)}
-    no = F.lit(0)
-    for p, k in numbers.items():
-        no = F.when(F.col("file").endswith(p.rsplit("/", 1)[-1]), k).otherwise(no)
-    return made.select(no.alias("file_no"), F.col("record_no"), "line_no", "name", "sequence", *([] if strict else ["error"]))
+    return made.select("file_no", "record_no", "line_no", "name", "sequence", *([] if strict else ["error"]))
 
 
 def with_reassortants(records: DataFrame) -> DataFrame:

@@ -52,9 +52,12 @@ def positions_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def alignment_html(df: DataFrame, master: str, rows: int = 500) -> str:
-    """An HTML table of at most ``rows`` (name, sequence) rows, a middle dot where the residue is the master's."""
+    """An HTML table of at most ``rows`` (name, sequence) rows, a middle dot where the residue is the master's; more rows are an error."""
+    found = df.select("name", "sequence").orderBy("name").limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows: a page is for few")
     out = ["<table class='alignment'>", f"<tr><th>master</th><td>{html.escape(master)}</td></tr>"]
-    for r in df.select("name", "sequence").orderBy("name").limit(rows).collect():
+    for r in found:
         cells = "".join("&middot;" if k < len(master) and c == master[k] else html.escape(c) for k, c in enumerate(r["sequence"]))
         out.append(f"<tr><th>{html.escape(r['name'])}</th><td>{cells}</td></tr>")
     return "\n".join([*out, "</table>"])

@@ -146,3 +146,108 @@ def test_entry_and_queries(spark):
     bad = compare(spark, queries.QUERIES, queries.ORACLES, "/root/testdata/sf0.001")
     assert not bad, bad
 
+
+
+# ---------------------------------------------------------------- FASTA files, bulk functions, exchange
+def test_fasta_numbers_of_paths_and_records(spark, tmp_path):
+    """Paths that end alike keep their numbers; a file read in many blocks numbers its records and lines as in one."""
+    for k, (folder, name) in enumerate([("1", "x.fas"), ("2", "x.fas"), ("1", "ax.fas")]):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(f"; comment {k}\n\n" + "".join(f">r{k}.{i}\r\nACGT\r\n; note\r\nAC/T\r\n\r\n" for i in range(300)))
+    paths = [str(tmp_path / p) for p in ("1/x.fas", "2/x.fas", "1/ax.fas")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        rows = fasta.read_fasta(spark, paths).orderBy("file_no", "record_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["file_no"], r["record_no"], r["line_no"], r["name"], r["sequence"]) for r in rows] == [(k, i + 1, 3 + 5 * i, f"r{k}.{i}", "ACGTAC-T") for k in range(3) for i in range(300)]
+    (tmp_path / "bad.fas").write_text("ACGT\n>\nAC\n>only name\n>ok\nAC\n")
+    got = {r["line_no"]: (r["name"], (r["error"] or "").rpartition(": ")[2]) for r in fasta.read_fasta(spark, str(tmp_path / "bad.fas"), strict=False).collect()}
+    assert got == {1: ("", "no name"), 2: ("", "no name"), 4: ("only name", "no sequence"), 5: ("ok", "")}
+
+
+def test_bulk_functions(spark):
+    from strandsift.functions import sequence
+
+    rows = [("ACGT", "ACCTT"), (None, "A"), ("A", None), ("", ""), ("Aé漢", "Aè字"), ("TARUARTT", "TARUARTT")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(sequence.hamming_bulk("a", "b").alias("d"), sequence.translate_frames("a").alias("f")).collect()
+    assert [r["d"] for r in got] == [1, None, None, 0, 2, 0]
+    assert [r["f"] if r["f"] is None else [x["aa"] for x in r["f"]] for r in got] == [[sequence.translate_text(a, k) for k in range(3)] if a is not None else None for a, _ in rows]
+    one = spark.createDataFrame([("QKABCDEF", 2)], "aa string, shift int").select(*(x.alias(f"c{k}") for k, x in enumerate((sequence.residues_from(F.col("aa"), F.col("shift"), 5), sequence.residues_from(F.col("aa"), F.col("shift"), 5, 2), sequence.residues_before(F.col("aa"), F.col("shift"), 5))))).first()
+    assert list(one) == ["ABCDEF", "AB", "QK"]
+
+
+def test_exchange_files(spark, tmp_path):
+    """Written, read and written again: the same files but for their date."""
+    db = SequenceDB(schema.flatten(db_rows(spark).withColumn("seqs", F.transform("seqs", lambda s: s.withField("gene", F.lit("HA"))))))
+    db.export_database(str(tmp_path / "a"))
+    again = SequenceDB.load(spark, str(tmp_path / "a"))
+    again.export_database(str(tmp_path / "b"))
+    read = lambda d: sorted((json.loads(p.read_text()) for p in (tmp_path / d).glob("part-*") if p.stat().st_size), key=lambda x: x["data"][0]["N"])
+    a, b = read("a"), read("b")
+    for doc in (*a, *b):
+        assert doc["  version"] == "sequence-database-v2" and doc.pop("  date")
+    assert a == b and [e["N"] for doc in a for e in doc["data"]] == ["A/X/1/2015", "B/Y/2/2016"]
+    first = a[0]["data"][0]
+    assert (first["C"], first["c"], first["s"][0]["s"], "s" in first["s"][1]) == ("ASIA", "C", 0, False)
+    with pytest.raises(Exception, match="(?i)exist"):
+        db.export_database(str(tmp_path / "a"))
+
+
+# ---------------------------------------------------------------- insertions, matching
+def switching(rows):
+    """The definition, row by row: gaps of each row, with the master that is left when no row takes over."""
+    rows = sorted(rows)
+    normal = [s for k, _, s in rows if len(s) == indels.NORMAL_LENGTH.get(k, 0)]
+    master, fixed, gone = (normal or [rows[0][2]])[0], bool(normal), set()
+    while not fixed:
+        fixed = True
+        for k, _, s in rows:
+            if s != master and s not in gone and len(s) > round(len(master) * 0.9) and indels.place_gaps(master, s, k) is None and indels.place_gaps(s, master, k) is not None:
+                gone.add(master)
+                master, fixed = s, False
+                break
+    return {n: [(p, m) for p, m in indels.place_gaps(master, s, k) or []] for k, n, s in rows}
+
+
+def test_indels_of_all_types(spark):
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    base = "".join(letters[(k * 7 + k // 20) % 20] for k in range(570))
+    other = "".join(letters[(k * 11 + k // 7 + 3) % 20] for k in range(500))
+    rows = [("A(H3N2)", "a", base[:550]), ("A(H3N2)", "b", base[:99] + base[102:550]), ("A(H3N2)", "c", "W" * 300)]
+    rows += [("X", "d", "W" * 20 + other[60:400]), ("X", "e", other[:480]), ("X", "f", other[:200] + other[203:480]), ("X", "g", other[:90] + other[91:])]
+    df = spark.createDataFrame([(k, n, 0, s, "aligned") for k, n, s in rows] + [("X", "z", 0, "", "failed")], "virus_type string, name string, seq_no int, aligned_aa string, align_status string")
+    got = {r["name"]: [(g["pos"], g["n"]) for g in r["gaps"]] for r in indels.detect(df).collect()}
+    want = {}
+    for kind in ("A(H3N2)", "X"):
+        want |= switching([r for r in rows if r[0] == kind])
+    assert got == want | {"z": []} and got["b"] == [(99, 3)]
+    moved = indels.apply(df.withColumns({"gaps": F.when(F.col("name") == "b", F.expr("array(named_struct('pos', 99, 'n', 3))")).otherwise(F.expr("cast(array() as array<struct<pos:int,n:int>>)")), "aa": F.col("aligned_aa"), "nuc": F.lit(""), "aa_shift": F.lit(0)})).where("name = 'b'").first()
+    assert moved["aa"] == base[:99] + "---" + base[102:550]
+
+
+def test_antigens_of_entries(spark):
+    seqs = spark.createDataFrame([("N", 0, ["E3"], []), ("N", 1, ["MDCK2"], []), ("N", 2, ["MDCK1"], []), ("N", 3, ["E3"], ["R1"])], "name string, seq_no int, passages array<string>, reassortants array<string>")
+    ags = spark.createDataFrame([("N", "f1", "MDCK2", ""), ("N", "f2", "E2", ""), ("N", "f3", "E3", "R1"), ("N", "f4", "MDCK1", ""), ("M", "f5", "E1", "")], "name string, full_name string, passage string, reassortant string")
+    best = {r["full_name"]: (r["seq_no"], r["score"]) for r in lookups.best_by_antigen(seqs, ags).collect()}
+    assert best == {"f1": (1, 100), "f2": (0, 1), "f3": (3, 100), "f4": (2, 100)}
+    pairs = spark.createDataFrame([("N", 0, "a", 90), ("N", 0, "b", 90), ("N", 0, "c", 50), ("N", 1, "b", 95), ("N", 1, "d", 60), ("P", 0, "a", 7), ("P", 0, "b", 5)], "name string, seq_no int, full_name string, score int")
+    got = sorted((r["name"], r["seq_no"], r["full_name"]) for r in lookups.assign_antigens(pairs).collect())
+    assert got == [("N", 0, "a"), ("N", 1, "b"), ("P", 0, "a")]
+
+
+def test_match_hidb(spark):
+    db = SequenceDB(schema.flatten(db_rows(spark)))
+    hi = spark.createDataFrame([("HI full", "A/X/1/2015", "E1", "", ["9"], "", "2015-09-09"), ("B full", "B/Y/2/2016", "", "", [], "YAMAGATA", "2016-01-01")], "full_name string, name string, passage string, reassortant string, hi_ids array<string>, lineage string, date string")
+    rows = {(r["name"], r["seq_no"]): r for r in db.match_hidb(hi).seqs.collect()}
+    assert rows["A/X/1/2015", 0]["hi_names"] == ["HI full"] and rows["A/X/1/2015", 0]["dates"] == ["2015-02-03", "2015-09-09"]
+    assert rows["B/Y/2/2016", 0]["lineage"] == "VICTORIA" and rows["B/Y/2/2016", 0]["dates"] == ["2016-01-01"]
+    names = spark.createDataFrame([("A/B/C/7/2009",), ("A/B/7/2009",), ("x",)], "n string")
+    assert [r[0] for r in names.select(lookups.fallback_name(F.col("n"))).collect()] == ["A/B/C-7/2009", "A/B/7/2009", "x"]
+
+
+def test_many_rows_make_no_page(spark):
+    with pytest.raises(ValueError):
+        sinks.alignment_html(spark.createDataFrame([("a", "AC"), ("b", "AC")], "name string, sequence string"), "AC", rows=1)
