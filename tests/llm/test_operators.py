@@ -340,6 +340,152 @@ def test_webp_features(seed):
         webp.decode_many([data[: len(data) // 2]])
 
 
+class _Bits:
+    """A stream put together by hand, from the format's description."""
+
+    def __init__(self, width, height):
+        self.bits = []
+        self.put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(0, 1).put(0, 3)
+
+    def put(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n)]
+        return self
+
+    def code(self, text):
+        """A prefix code's bits as they are read."""
+        self.bits += [int(b) for b in text]
+        return self
+
+    def one(self, symbol):
+        return self.put(1, 1).put(0, 1).put(1, 1).put(symbol, 8)
+
+    def two(self, a, b):
+        return self.put(1, 1).put(1, 1).put(1, 1).put(a, 8).put(b, 8)
+
+    def file(self):
+        body = sum(b << k for k, b in enumerate(self.bits)).to_bytes(-(-len(self.bits) // 8), "little")
+        body += bytes(len(body) % 2)
+        return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def _argb(*pixels):
+    return [a << 24 | r << 16 | g << 8 | b for a, r, g, b in pixels]
+
+
+def test_webp_streams_by_hand():
+    """Bit streams assembled from the format's rules, one for each feature."""
+    decode = lambda s: webp.decode_many([s.file()])[0].ravel().tolist()
+    lone = lambda s, *v: [s.one(x) for x in v] and s
+    # two greens, the rest fixed: bits choose the pixels
+    s = _Bits(3, 1).put(0, 1).put(0, 1).put(0, 1)
+    lone(s.two(5, 9), 1, 2, 255, 0).code("011")
+    assert decode(s) == _argb((255, 1, 5, 2), (255, 1, 9, 2), (255, 1, 9, 2))
+    # subtract green: red and blue are kept less green
+    s = _Bits(2, 1).put(1, 1).put(2, 2).put(0, 1).put(0, 1).put(0, 1)
+    lone(s.two(10, 250), 3, 7, 255, 0).code("01")
+    assert decode(s) == _argb((255, 13, 10, 17), (255, 253, 250, 1))
+    # predictor 2 (above) in blocks of 512: first pixel from black, first row from the left
+    s = _Bits(2, 2).put(1, 1).put(0, 2).put(7, 3).put(0, 1)
+    lone(s, 2, 0, 0, 255, 0)
+    s.put(0, 1).put(0, 1).put(0, 1)
+    lone(s.two(1, 3), 0, 0, 0, 0).code("0111")
+    assert decode(s) == _argb((255, 0, 1, 0), (255, 0, 4, 0), (255, 0, 4, 0), (255, 0, 7, 0))
+    # cross-colour: green adds to red (element 32 is a factor of one), red then to blue
+    s = _Bits(1, 1).put(1, 1).put(1, 2).put(7, 3).put(0, 1)
+    lone(s, 0, 32, 32, 255, 0)  # green to blue 0, red to blue 32, green to red 32
+    lone(s.put(0, 1).put(0, 1).put(0, 1), 6, 1, 2, 255, 0)
+    assert decode(s) == _argb((255, 7, 6, 9))
+    # a palette of two colours, kept as steps, eight pixels in one byte
+    s = _Bits(3, 1).put(1, 1).put(3, 2).put(1, 8).put(0, 1)
+    lone(s.two(1, 4), 0, 0, 255, 0)  # alpha steps by 255 as well: 255, then 254
+    s.code("10").put(0, 1).put(0, 1).put(0, 1)
+    lone(s, 0b101, 0, 0, 255, 0)
+    assert decode(s) == _argb((254, 0, 5, 0), (255, 0, 4, 0), (254, 0, 5, 0))
+    # colour cache of two slots: what was written comes again by its slot
+    colour = _argb((255, 1, 5, 2))[0]
+    slot = (colour * 0x1E35A7BD & 0xFFFFFFFF) >> 31
+    s = _Bits(3, 1).put(0, 1).put(1, 1).put(1, 4).put(0, 1)
+    # green code by lengths: symbols 5 and 280 + slot have one bit each
+    s.put(0, 1).put(4, 4)  # eight code lengths of code lengths: 17 18 0 1 2 3 4 5
+    for n in (0, 1, 2, 2, 0, 0, 0, 0):
+        s.put(n, 3)  # canonical: 18 (a run of zeros) is 0, a zero 10, a one 11
+    s.put(0, 1)
+    lengths, at = [k in (5, 280 + slot) for k in range(282)], 0
+    while at < 282:
+        run = next((k for k in range(at, 282) if lengths[k]), 282) - at
+        if run >= 11:
+            s.code("0").put(min(run, 138) - 11, 7)
+            at += min(run, 138)
+        else:
+            s.code("10" if run else "11")
+            at += 1
+    lone(s, 1, 2, 255, 0).code("011")
+    assert decode(s) == [colour] * 3
+
+
+def feature_brute(rgba, width):
+    """The feature string, pixel by pixel."""
+    px = [rgba[k : k + 4] for k in range(0, len(rgba), 4)]
+    height = len(px) // width
+    means = [sum(p[c] for p in px) * 1000 // len(px) for c in range(4)]
+    grey = [sum(p) for p in px]
+    rows = [[grey[y * width + x] for x in range(width)] for y in range(height)]
+    if height >= 8:
+        cuts = [k * height // 8 for k in range(8)] + [height]
+        bands = [[sum(r[x] for r in rows[a:b]) for x in range(width)] for a, b in zip(cuts[:-1], cuts[1:])]
+    else:
+        bands = [r for r in rows for _ in range(-(-8 // height))][:8]
+    cells = []
+    for band in bands:
+        total = max(1, sum(band) // 8)
+        cells += [sum(band[c * width // 8 : (c + 1) * width // 8]) * 8 // total for c in range(8)]
+    bits = "".join(str(int(c >= sum(cells) / 64)) for c in cells)
+    return f"{width}x{height}:{','.join(map(str, means))}:{int(bits, 2):016x}"
+
+
+def test_webp_query_columns(spark):
+    """Every column of the query from its definition, and every way of the decoder taken by its own files."""
+    import zlib
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in webp.store(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    rows = webp.op7_webp(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        raw = (docs[r["doc_id"]]["text"] or "").encode()
+        want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        m = media[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(m), hashlib.sha256(m).hexdigest(), feature_brute(want, webp.WIDTH))
+    assert len(rows) == len(docs)
+
+
+def test_webp_writer_takes_every_way(monkeypatch):
+    seen = Counter()
+    opened = webp._open
+
+    def spy(data):
+        job, todo = opened(data)
+        seen.update(f"transform {kind}" for kind, _, _ in todo)
+        seen.update(int(m) >> 8 & 0xFF for kind, table, _ in todo if kind == 0 for m in np.unique(table))
+        seen["cache"] += job.cache_bits > 0
+        seen["groups"] += job.meta is not None
+        return job, todo
+
+    monkeypatch.setattr(webp, "_open", spy)
+    rng = np.random.default_rng(4)
+    texts = [b"".join([b"abcd", b"efgh", b"word", rng.bytes(4)][int(k)] for k in rng.integers(0, 4, int(n))) for n in rng.integers(1, 600, 400)]
+    texts += [b"a" * 5000, bytes(64), rng.bytes(64 * 256)]
+    payloads = [t + bytes(max(64, -(-len(t) // 64) * 64) - len(t)) for t in texts]
+    payloads = [p[: 64 * webp.MAX_ROWS] for p in payloads]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
+    files = webp.encode_many(np.frombuffer(b"".join(payloads), np.uint8), off)
+    assert files == webp.encode_many(np.frombuffer(b"".join(payloads), np.uint8), off)
+    for p, image in zip(payloads, webp.decode_many(files), strict=True):
+        assert np.stack([image >> np.uint32(k) for k in (16, 8, 0, 24)], -1).astype(np.uint8).tobytes() == p
+    assert {f"transform {k}" for k in range(4)} | {"cache", "groups"} | set(range(14)) <= set(seen)
+    assert len(files[-3]) < 300  # one letter: copies of copies
+
+
 def test_webp_column(spark, odd, none):
     texts = [r[1] for r in ODD] + ["z" * (64 * webp.MAX_ROWS + 5)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
