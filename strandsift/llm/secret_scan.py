@@ -7,16 +7,15 @@ closing punctuation. The forest sees its length, its character classes and the t
 that dictionary words cover, its path (the source column) and the neighbouring words; it learns from labelled
 findings and removes false positives: candidates scored under ``threshold`` are no secrets.
 
-Labelled findings are a DataFrame (value, path, before, after, label). Without one, findings of the
-corpus are labelled by rule where the rule is sure: issuer formats and values of 8 or more characters assigned to a
-credential's name (letters alone only behind ``:`` or ``=``) are secrets; pure numbers, dates, web paths and values that dictionary words cover
-by half are not. Fitting takes at most ``max_labelled`` of each label, by hash order (a documented
-bound that concerns the model only): every candidate of every whole text is scored. Dictionary words are
-counted over all documents; how often a word must occur is relative to their number.
+Labelled findings are a DataFrame (value, path, before, after, label). Without one they are made of the corpus by
+planting (``planted_findings``): labels say where a value comes from, not what it looks like. Fitting takes at
+most ``max_labelled`` of each label, by hash order (a documented bound that concerns the model only): every
+candidate of every whole text is scored. Dictionary words are counted over all documents; how often a word must
+occur is relative to their number.
 
 Defined cases: a null text has no findings; a null path is an empty one; rows that repeat report
-their findings each; if one label is missing nothing can be learned and the rule's label decides
-(unsure findings then score 0.5); an empty table gives an empty table.
+their findings each; if one label is missing nothing can be learned and all findings score 0.5; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -133,15 +132,46 @@ def kind(value: Column, before: Column) -> Column:
     return F.coalesce(case, out, F.lit("unknown"))
 
 
-def rule_label(found: DataFrame) -> DataFrame:
-    """``found`` (with features) and ``label``: 1 or 0 where the rule is sure, else null."""
-    issued = F.lit(False)
-    for pattern in ISSUERS.values():
-        issued = issued | _issued(F.col("value"), pattern)
-    digit, letter = F.col("value").rlike("[0-9]"), F.col("value").rlike("[A-Za-z]")
-    yes = issued | ((F.col("assigned") == 1) & (F.length("value") >= 8) & letter & (digit | (F.col("separated") == 1)) & (F.col("covered") < 0.5))
-    no = F.col("value").rlike("^[0-9+/_-]+=*$") | F.col("before").rlike(_WEB) | (F.col("covered") >= 0.5)
-    return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
+def planted_findings(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str = "source", documents: int = 300) -> DataFrame:
+    """value, path, before, after, label: findings of known origin, planted in the middle of up to ``documents`` texts (by hash order).
+
+    Label 1 has values nobody could guess, drawn from hashes: behind names of credentials with several separators, and in the
+    formats of issuers. Label 0 has what looks alike: numbers, dates, web paths and slugs and names made of the text's own
+    words, words behind a credential's name, and digests of commits.
+    """
+    rows = docs.select(F.xxhash64(id, text).alias("h"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    rows = C.smallest(rows, F.col("h"), documents).dropDuplicates(["h"])
+    middle = F.floor(F.length("t") / 2).cast("int")
+    rows = rows.select(
+        "h", "path", F.right(F.substr("t", F.lit(1), middle), F.lit(24)).alias("lead"), F.substr(F.col("t"), middle + 1, F.lit(20)).alias("tail"),
+        F.filter(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(?<![\w])\p{L}{4,12}(?![\w])"), 0)), lambda w: ~w.rlike(_NAMES)).alias("ws"),
+    )
+
+    def hexes(k: int) -> Column:
+        return F.sha2(F.concat(F.col("h").cast("string"), F.lit(f"/{k}")), 256)
+
+    def mixed(k: int) -> Column:
+        return F.translate(F.base64(F.unhex(hexes(k))), "+/=", "xYz")
+
+    size = lambda low, high: F.pmod(F.col("h"), F.lit(high - low + 1)).cast("int") + low
+    cut = lambda c, n: F.substr(c, F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    with_front = lambda front, c: F.concat(F.lit(front), c)
+    word = lambda k: F.get("ws", F.pmod(F.shiftright("h", k), F.greatest(F.lit(1), F.size("ws"))).cast("int"))
+    digits = lambda k: F.translate(hexes(k), "abcdef", "147258")
+    slug = F.concat_ws("-", word(1), word(9), word(17))
+    secrets = [
+        ('token = "', cut(hexes(1), size(16, 40)), '"'), ("password=", cut(mixed(2), size(8, 16)), " "), ("api_key: ", cut(mixed(3), size(20, 32)), "\n"), ('"secret": "', cut(F.translate(mixed(4), "0123456789", "bdfhjlnprt"), size(10, 20)), '"'),
+        ("pwd: ", F.concat(cut(mixed(5), 5), F.lit("!"), F.right(mixed(6), F.lit(4)), F.lit("#")), " "), ("Authorization: Bearer ", cut(mixed(7), 40), " "), ("secret => '", cut(mixed(8), size(12, 24)), "'"), ("access_key=", cut(hexes(9), 32), "&x=1"),
+        ("", with_front("AKIA", cut(F.upper(mixed(10)), 16)), " "), ("see ", with_front("ghp_", cut(mixed(11), 36)), " "), ("", with_front("xoxb-", cut(hexes(12), 24)), ","), ('"', with_front("AIza", cut(mixed(13), 35)), '"'), ("", with_front("sk_live_", cut(mixed(14), 24)), " "),
+    ]
+    others = [
+        ("order ", cut(digits(20), size(12, 19)), " "), ("", cut(digits(21), 16), "."), ("item ", F.concat(F.lit("20"), cut(digits(22), 2), F.lit("-01-02-"), cut(digits(23), 6)), " "), ("page ", F.concat(slug, F.lit("-"), cut(digits(24), 1)), " "),
+        ("https://example.org/", F.concat(word(3), F.lit("/2015/"), slug), " "), ("see ", F.concat(F.initcap(word(5)), F.initcap(word(11)), F.initcap(word(19)), cut(digits(25), 1)), " "), ("the password ", word(7), " "), ("a secret ", word(13), " "),
+        ("commit ", hexes(26).substr(1, 40), " "), ("checksum ", cut(hexes(27), 32), "\n"), ("token ", word(21), " "), ("x=", F.concat(word(2), F.lit("_"), word(10), cut(digits(28), 1)), " "), ("bearer ", word(23), ","),
+    ]
+    made = [F.struct(F.lit(front).alias("front"), value.alias("value"), F.lit(back).alias("back"), F.lit(label).alias("label")) for label, group in ((1.0, secrets), (0.0, others)) for front, value, back in group]
+    rows = rows.select("path", "lead", "tail", F.explode(F.array(*made)).alias("x")).where("length(x.value) >= 4")
+    return rows.select("x.value", "path", F.right(F.concat("lead", F.lit(" "), "x.front"), F.lit(48)).alias("before"), cut(F.concat("x.back", "tail"), 24).alias("after"), "x.label")
 
 
 def fit(labelled: DataFrame, max_labelled: int = 5000, trees: int = 20, depth: int = 6, seed: int = 7):
@@ -160,10 +190,11 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str = "s
     """Every finding: doc_id, text_key, nth, start (character, from 0), value, kind, score, is_secret."""
     words = dictionary(docs, text)
     found = C.materialize(candidates(docs, text, id, path), "candidates")
-    found = C.materialize(rule_label(features(found, words)), "findings")
-    model = fit(features(labelled, words) if labelled is not None else found, **how)
+    found = C.materialize(features(found, words), "findings")
+    labelled = C.materialize(planted_findings(docs, text, id, path) if labelled is None else labelled, "labelled")
+    model = fit(features(labelled, words), **how)
     if model is None:
-        scored = found.withColumn("score", F.coalesce("label", F.lit(0.5)))
+        scored = found.withColumn("score", F.lit(0.5))
     else:
         scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("score", vector_to_array("probability")[1])
     before = Window.partitionBy("doc_id", "text_key", "copy").orderBy("nth")

@@ -573,6 +573,34 @@ def test_secrets(spark, odd, none):
     assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(none).count() == 0 and secret_scan.scan(none).count() == 0
 
 
+def test_secret_forest_on_held_out_plants(spark):
+    """Findings planted in other documents than those it learned from, told apart by where they came from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learn, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    words = secret_scan.dictionary(docs)
+    model = secret_scan.fit(secret_scan.features(secret_scan.planted_findings(learn), words))
+    rows = secret_scan.features(secret_scan.planted_findings(test), words)
+    from pyspark.ml.feature import VectorAssembler
+
+    got = Counter((r["label"], r["prediction"]) for r in model.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(rows)).select("label", "prediction").collect())
+    recall, precision = got[1.0, 1.0] / (got[1.0, 1.0] + got[1.0, 0.0]), got[1.0, 1.0] / (got[1.0, 1.0] + got[0.0, 1.0])
+    print("secrets", got, recall, precision)
+    assert recall >= 0.97 and precision >= 0.97
+
+
+def test_secret_candidates_against_brute_force(spark, docs):
+    """Every candidate with its place, from one regular expression over each text in Python's own engine (variable look-behinds spelled out)."""
+    import regex
+
+    whole = regex.compile(secret_scan.FINDING)
+    got = defaultdict(list)
+    for r in secret_scan.scan(docs).orderBy("nth").collect():
+        got[r["doc_id"]].append((r["start"], r["value"]))
+    for r in docs.collect():
+        want = [(m.end(1) if m[1] else m.start(), m[0][len(m[1] or "") :]) for m in whole.finditer(r["text"] or "")]
+        assert got.get(r["doc_id"], []) == want
+
+
 def test_secret_dictionary_counts_all_documents(spark):
     alphabet = "abcdefghij"
     rare = ["".join(alphabet[int(d)] for d in f"{k:05d}") for k in range(600)]  # more words than the 400 of a fixed list, each in 4 of 2400 documents
