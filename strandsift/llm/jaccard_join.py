@@ -356,6 +356,10 @@ def key_groups(docs: DataFrame, text: str, size: int, percent: int, shards: int,
 # ---------------------------------------------------------------- verification
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity. AQE splits classes with very many partners."""
+    pairs = C.materialize(pairs.select("a", "b"), "pairs")
+    nodes = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("pn")).distinct(), "paired")
+    if nodes.count() <= BROADCAST_ROWS:  # the other sets need not be shuffled
+        sets = sets.join(F.broadcast(nodes), F.col("node") == F.col("pn"), "left_semi")
     left = sets.select(F.col("node").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
@@ -513,7 +517,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", siz
     comps = graph.components(links)
     ca, cb = comps.toDF("na", "ca"), comps.toDF("nb", "cb")
     rest = near.join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = C.materialize(links.unionByName(_verify(C.materialize(rest, "rest"), sets, percent)), "links")
+    links = C.materialize(links.unionByName(_verify(rest, sets, percent)), "links")
     comps = graph.components(links)
 
     least = C.materialize(comps.join(classes.select("node", "own_id"), "node").groupBy("component").agg(F.min("own_id").alias("least")), "component-ids")

@@ -772,12 +772,29 @@ def test_scratch_folder_is_shared(spark, monkeypatch):
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
+    import duckdb
+
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     start = docs
+
+    def by_sql(docs, sql):
+        con = duckdb.connect()
+        con.register("documents", docs.toPandas())
+        return con.sql(sql).df().to_dict("records")
+
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"), f"t{k}")
         if k < 4:
             assert out.columns == start.columns
+        if k == 0:  # the verdicts' SQL on the stage's own input
+            want = {r["doc_id"]: r["n_words"] - r["removed_words"] for r in by_sql(docs, line_frequency.OP1_SQL) if r["kept"]}
+            assert {r["doc_id"]: len(words(r["text"])) for r in out.collect()} == want
+        if k == 3:  # the mix's SQL on the stage's own input
+            want = {r["doc_id"]: r["taken"] for r in by_sql(docs, mixing.OP4_SQL) if r["taken"]}
+            got = defaultdict(int)
+            for r in out.collect():
+                got[r["doc_id"]] += len(words(r["text"]))
+            assert {i: n for i, n in got.items() if n} == want
         if k == 1:
             want = jaccard_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
             assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, (n, c) in want.items() if c == i)
