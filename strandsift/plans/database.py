@@ -33,6 +33,7 @@ class SequenceDB:
         return cls(merge.merge(merge.align_records(merge.normalize_records(records)))).detect_insertions_deletions().detect_b_lineage().update_clades()
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
+        """``mode`` is Spark's, or ``backup``: what is there is renamed, with the time of its last change."""
         database.write_database(schema.nest(self.seqs), path, mode)
 
     def export_database(self, path: str, mode: str = "errorifexists") -> None:
@@ -142,6 +143,21 @@ class SequenceDB:
         aa = F.concat(*(sequence.residue_at(F.col("aa"), F.col("aa_shift"), p) for p in positions))
         return aggregates.residues_to_indexes(matches.join(s, ["matched_name", "matched_no"]), aa, "ag_no")
 
+    # ------------------------------------------------------------ matched antigens
+    def antigen_sequences(self, antigens: DataFrame, amino_acids: bool = False) -> DataFrame:
+        """ag_no, full_name, seq_id, passage, date, sequence (aligned) of each antigen's sequence; antigens without one have nulls."""
+        made = sequence.amino_acids(F.col("aa"), F.col("aa_shift")) if amino_acids else sequence.nucleotides(F.col("nuc"), F.col("nuc_shift"))
+        own = self.seqs.select(F.col("name").alias("matched_name"), F.col("seq_no").alias("matched_no"), derived.seq_id(F.col("name"), F.col("passages")).alias("seq_id"), derived.first(F.col("passages")).alias("passage"), derived.latest_date(F.col("dates")).alias("date"), made.alias("sequence"))
+        return self.match_antigens(antigens).join(own, ["matched_name", "matched_no"], "left").select("ag_no", "full_name", "seq_id", "passage", "date", "sequence")
+
+    def antigen_layout(self, antigens: DataFrame, layout: DataFrame, amino_acids: bool = True) -> DataFrame:
+        """The sequences of a chart's antigens with their coordinates (``layout``: ag_no, coordinates), for ``sinks.write_csv``."""
+        return self.antigen_sequences(antigens, amino_acids).where("sequence IS NOT NULL").join(layout.select("ag_no", "coordinates"), "ag_no")
+
+    def antigen_fasta(self, antigens: DataFrame, amino_acids: bool = False) -> DataFrame:
+        """name (the antigen's), sequence of all matched antigens, for ``sinks.write_fasta``."""
+        return self.antigen_sequences(antigens, amino_acids).where("sequence IS NOT NULL").select(F.col("full_name").alias("name"), "sequence", "ag_no")
+
     # ------------------------------------------------------------ updates
     def cleanup(self) -> SequenceDB:
         return SequenceDB(filters.drop_short(self.seqs))
@@ -164,9 +180,10 @@ class SequenceDB:
     def remove_hi_names(self) -> SequenceDB:
         return SequenceDB(merge.remove_hi_names(self.seqs))
 
-    def match_hidb(self, hi: DataFrame) -> SequenceDB:
+    def match_hidb(self, hi: DataFrame, locations: DataFrame | None = None) -> SequenceDB:
         """Laboratory names from HI antigens (full_name, name, passage, reassortant, hi_ids, and if there are such columns lineage and
-        date): entries that have a match also take its dates, and a B entry without lineage the first one's."""
+        date): entries that have a match also take its dates, and a B entry without lineage the first one's. With
+        ``locations`` (location, country, continent) a matched entry without country takes those of its name's second part."""
         entries = self.seqs.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(derived.ids_of(F.col("lab_ids"), "CDC")))).alias("cdc_ids"))
         pairs = lookups.entry_antigens(entries, hi)
         ags = pairs.join(hi.select("full_name", "passage", "reassortant"), "full_name")
@@ -177,6 +194,11 @@ class SequenceDB:
             more = pairs.join(hi.select("full_name", F.col("lineage").alias("_l"), F.col("date").alias("_d")), "full_name").groupBy("name").agg(F.min_by("_l", "full_name").alias("_l"), F.collect_set("_d").alias("_d"))
             rows = rows.join(more, "name", "left").withColumn("dates", text.add_dates(F.col("dates"), F.coalesce("_d", F.array().cast("array<string>"))))
             rows = rows.withColumn("lineage", F.when((F.col("virus_type") == "B") & (F.col("lineage") == ""), F.coalesce("_l", F.lit(""))).otherwise(F.col("lineage")))
+        if locations is not None:
+            at = locations.select(F.col("location").alias("_at"), F.col("country").alias("_c"), F.col("continent").alias("_k")).dropDuplicates(["_at"])
+            hit = pairs.select("name").distinct().withColumn("_m", F.lit(True))
+            rows = rows.join(hit, "name", "left").join(at, (F.get(F.split("name", "/"), F.lit(1)) == F.col("_at")) & (F.col("country") == "") & F.col("_m"), "left")
+            rows = rows.withColumns({"country": F.coalesce("_c", "country"), "continent": F.coalesce("_k", "continent")})
         return SequenceDB(rows.select(*self.seqs.columns))
 
     # ------------------------------------------------------------ export

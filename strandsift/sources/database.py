@@ -52,8 +52,22 @@ def read_database(spark: SparkSession, path: str, ignore_errors: bool = False, c
         spark.conf.set("spark.sql.caseSensitive", before)
 
 
+def keep_backup(spark: SparkSession, path: str) -> None:
+    """Rename what is at ``path`` to ``path`` with the time of its last change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(place):
+        changed = datetime.fromtimestamp(store.getFileStatus(place).getModificationTime() / 1000)
+        if not store.rename(place, spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{changed:%Y%m%d-%H%M%S}")):
+            raise OSError(f"{path} can't be renamed")
+
+
 def write_database(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines of entries in name order under the same keys, empty values left out; ``read_database_lines`` reads them."""
+    """JSON lines of entries in name order under the same keys, empty values left out; ``read_database_lines`` reads them.
+    With ``mode`` backup what is there is renamed first."""
+    if mode == "backup":
+        keep_backup(entries.sparkSession, path)
+        mode = "errorifexists"
     empty = lambda c: F.when(F.size(c) > 0, c)
     said = lambda c: F.nullif(c, F.lit(""))
     seq = lambda s: F.struct(

@@ -56,8 +56,11 @@ def alignment_html(df: DataFrame, master: str, rows: int = 500) -> str:
     found = df.select("name", "sequence").orderBy("name").limit(rows + 1).collect()
     if len(found) > rows:
         raise ValueError(f"more than {rows} rows: a page is for few")
-    out = ["<table class='alignment'>", f"<tr><th>master</th><td>{html.escape(master)}</td></tr>"]
+    ruler = "".join(f"{k:<10}" for k in range(1, len(master) + 1, 10))[: max(len(master), 1)]
+    shown = lambda c: f"<span class='aa{ord(c)}'>{html.escape(c)}</span>"
+    colours = "".join(f".aa{ord(c)}{{color:hsl({k * 360 // 26},70%,35%)}}" for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    out = [f"<style>.alignment td{{font-family:monospace;white-space:pre}}{colours}</style>", "<table class='alignment'>", f"<tr><th></th><td>{ruler}</td></tr>", f"<tr><th>master</th><td>{''.join(map(shown, master))}</td></tr>"]
     for r in found:
-        cells = "".join("&middot;" if k < len(master) and c == master[k] else html.escape(c) for k, c in enumerate(r["sequence"]))
+        cells = "".join("&middot;" if k < len(master) and c == master[k] else shown(c) for k, c in enumerate(r["sequence"]))
         out.append(f"<tr><th>{html.escape(r['name'])}</th><td>{cells}</td></tr>")
     return "\n".join([*out, "</table>"])

@@ -251,3 +251,30 @@ def test_match_hidb(spark):
 def test_many_rows_make_no_page(spark):
     with pytest.raises(ValueError):
         sinks.alignment_html(spark.createDataFrame([("a", "AC"), ("b", "AC")], "name string, sequence string"), "AC", rows=1)
+
+
+def test_matched_antigens_and_backup(spark, tmp_path):
+    db = SequenceDB(schema.flatten(db_rows(spark)))
+    ags = spark.createDataFrame([(1, "HI 1", "", "x", "E1", "", "A(H3N2)", ""), (2, "none", "", "x", "E1", "", "A(H3N2)", "")], "ag_no int, full_name string, alt_name string, name string, passage string, reassortant string, virus_type string, lineage string")
+    got = {r["ag_no"]: (r["seq_id"], r["sequence"]) for r in db.antigen_sequences(ags).collect()}
+    assert got == {1: ("A/X/1/2015__E1", "ACGT"), 2: (None, None)}
+    layout = spark.createDataFrame([(1, [0.5, 2.0]), (2, [1.0, 1.0])], "ag_no int, coordinates array<double>")
+    sinks.write_csv(db.antigen_layout(ags, layout), str(tmp_path / "csv"), "coordinates")
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
+    assert [(r["full_name"], r["sequence"], r["coord_0"], r["coord_1"]) for r in rows] == [("HI 1", "QK", "0.5", "2.0")]
+    sinks.write_fasta(db.antigen_fasta(ags), str(tmp_path / "fas"), "ag_no")
+    assert [r["name"] for r in fasta.read_fasta(spark, str(tmp_path / "fas")).collect()] == ["HI 1"]
+    db.save(str(tmp_path / "db"))
+    db.save(str(tmp_path / "db"), mode="backup")
+    assert sum(p.name.startswith("db") for p in tmp_path.iterdir()) == 2
+    hi = spark.createDataFrame([("B full", "B/Y/2/2016", "", "", [])], "full_name string, name string, passage string, reassortant string, hi_ids array<string>")
+    where = spark.createDataFrame([("Y", "YLAND", "EUROPE"), ("X", "XLAND", "ASIA")], "location string, country string, continent string")
+    assert {r["name"]: r["country"] for r in db.match_hidb(hi, where).seqs.collect()} == {"A/X/1/2015": "C", "B/Y/2/2016": "YLAND"}
+
+
+def test_clades_kept_by_all(spark):
+    rows = spark.createDataFrame([("N", 0, ["a", "b"]), ("N", 1, ["b", "c"]), ("M", 0, ["a"]), ("M", 1, [])], "name string, seq_no int, clades array<string>")
+    from strandsift.operators import aggregates
+
+    got = {r["name"]: r["clades"] for r in aggregates.clades_of_names(rows, False).collect()}
+    assert got == {"N": ["b"], "M": []} and aggregates.clades_of_name(rows, "N", True).first()["clades"] == ["a", "b", "c"]
