@@ -403,7 +403,7 @@ def _allowed(asks: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_pairs(groups: DataFrame, comps: DataFrame, info: DataFrame, percent: int, deal_rows: int = 1 << 19) -> DataFrame:
+def near_pairs(groups: DataFrame, comps: DataFrame, info: DataFrame, percent: int, deal_rows: int = 1 << 17) -> DataFrame:
     """a, b, far: the pairs of one group in different components whose sketches allow the similarity, with the sketches' distance.
 
     In each group only the classes outside its largest component ask; each asks all others once for all its groups of a
