@@ -104,6 +104,9 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of terms: ASCII letters and digits, and every byte of a code point beyond ASCII.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -113,10 +116,10 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of words before each row (n+1 values)."""
+def words(buf: np.ndarray, offsets: np.ndarray, spells: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (a run of bytes that ``spells`` marks), and the number of words before each row (n+1 values)."""
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[buf]
+    inside[1:-1] = spells[buf]
     begins = np.zeros(len(buf) + 1, bool)
     begins[offsets] = True  # a row's first byte begins a word though the byte before it is none's end
     starts = np.flatnonzero((inside[1:-1] == 1) & ((inside[:-2] == 0) | begins[:-1]))

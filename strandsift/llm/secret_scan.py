@@ -44,9 +44,12 @@ _ASSIGNED = _NAMES + r"""["']?\s*(:=|=>|=|:|\s)\s*["']?$"""
 _SEPARATED = _NAMES + r"""["']?\s*(:=|=>|=|:)\s*["']?$"""
 # What comes before an assigned value; \\G: the name may have been the end of the last candidate, with the equals signs.
 _PREFIX = rf"""(?:(?:(?i:{_WORDS})|\G(?<=(?i:{_WORDS})))["']?(?:\s*(?::=|=>|=|:)\s*|\s+)|\G(?<=(?i:{_WORDS})={{1,2}})\s*)["']?"""
-_QUOTED = r"""(?<=")(?:(?!(?<!\\)")\S)+(?=")|(?<=')(?:(?!(?<!\\)')\S)+(?=')"""
+# Loops over whole characters are possessive: Java walks back over others by recursion, a frame a character.
+_QUOTED = r"""(?<=")(?:(?!(?<!\\)")\S)++(?=")|(?<=')(?:(?!(?<!\\)')\S)++(?=')"""
 _STOP = r"""["'`](?:[\s,;:)\]}&]|\z)|[&,;]["']?[\w.\-]{1,64}["']?\s{0,8}[=:]|</?[A-Za-z]"""
-_BARE = rf"""(?!["'`]|[=:>]+(?:\s|\z))(?:(?!{_STOP})\S)+(?<![.,;:?)\]}}>"'`])"""
+_CLOSING = r""".,;:?)\]}>"'`"""
+# Characters up to a stop; those that close a sentence or bracket belong to the value only if more of it follows.
+_BARE = rf"""(?!["'`]|[=:>]+(?:\s|\z))(?:(?:(?!{_STOP})[{_CLOSING}])*+(?!{_STOP})[^\s{_CLOSING}])++"""
 # Group 1 is the name and separator in front of an assigned value; the rest of the match is the value.
 FINDING = rf"({_PREFIX})(?:{_QUOTED}|{_BARE})|{CANDIDATE}"
 _WEB = r"(?i)(https?:|www\.|@|\.)[^\s]*$"
@@ -89,9 +92,10 @@ def _value_key(value: Column) -> tuple[Column, Column]:
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """v1, v2 (hashes of a value), n_covered: characters of the value that lie in a dictionary word; values without one are left out."""
     values = found.select("value").distinct().select(*_value_key(F.col("value")), F.lower("value").alias("v"))
-    # the letters that begin at each position, by length: one pass over the value each, no matter how long it is
-    runs = F.array(*(F.struct(F.lit(k).alias("k"), F.regexp_extract_all("v", F.lit(r"(?=(\p{L}{%d})?)" % k), 1).alias("ws")) for k in range(4, 13)))
-    parts = values.select("v1", "v2", F.explode(runs).alias("r")).select("v1", "v2", "r.k", F.posexplode("r.ws").alias("pos", "w")).where("w <> ''")
+    # the letters that begin at each position: one pass over the value for each length, no matter how long it is, one at a time
+    lengths = values.select("v1", "v2", "v", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k"))
+    begins = F.regexp_extract_all("v", F.concat(F.lit(r"(?=(\p{L}{"), F.col("k").cast("string"), F.lit("})?)")), F.lit(1))
+    parts = lengths.select("v1", "v2", "k", F.posexplode(begins).alias("pos", "w")).where("w <> ''")
     hits = parts.join(words, "w").select("v1", "v2", F.explode(F.sequence("pos", F.col("pos") + F.col("k") - 1)).alias("at"))
     return hits.groupBy("v1", "v2").agg(F.countDistinct("at").alias("n_covered"))
 
