@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HASHES = 4
+HASHES, BITS = 8, 24
 DOCUMENTS = 512
-#: Frequencies from which a level holds: 1, 2, 3, 5, 9, 17, ...
-LEVELS = np.array([1, 2, *(2**k + 1 for k in range(1, 31))], np.int64)
+#: Frequencies from which a level holds: 1 to 5, then each a quarter above the last, up to 2**38.
+LEVELS = np.unique([1, 2, 3, 4, *(int(4 * 1.25**k) for k in range(113))]).astype(np.int64)
 INDEX = "doc_id array<long>, t1 array<long>, t2 array<long>, n array<long>, bits long, levels int, slices binary, term array<long>, df array<long>"
 
 
@@ -68,7 +68,7 @@ def sign(row: np.ndarray, hashes: np.ndarray, times: np.ndarray, rows: int):
     kind = np.ceil(2 * np.log2(np.maximum(entries, 16))).astype(np.int64)
     first = np.searchsorted(row, np.arange(rows + 1))
     for k in np.unique(kind):
-        bits = int(np.ceil(16 * 2 ** (k / 2)))
+        bits = int(np.ceil(BITS * 2 ** (k / 2)))
         wide = max(8, min(DOCUMENTS, (1 << 26) // bits))
         members = np.flatnonzero(kind == k)
         for i in range(0, len(members), wide):
@@ -253,7 +253,7 @@ def item_terms(items: DataFrame, text: str = "text", id: str = "item_id") -> Dat
     return C.materialize(items.select(F.col(id).alias("item_id"), F.col(text).cast("string").alias("t")).mapInArrow(split, f"item_id {kind}, term long").distinct(), "item-terms")
 
 
-def search(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", limit: int = 50, most_terms: int = 16_384, wanted_terms: int = 1 << 22, broadcast_rows: int = 1 << 17) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", limit: int = 50, most_terms: int = 16_384, wanted_terms: int = 1 << 22, broadcast_rows: int = 1 << 18) -> DataFrame:
     """item_id, rank, doc_id, score: the ``limit`` best documents of each item. ``wanted_terms``: up to so many terms are sent to all tasks to
     count their documents; with more, all terms are counted and joined."""
     spark = docs.sparkSession
