@@ -69,7 +69,8 @@ def composition(df: DataFrame, column: str) -> DataFrame:
             points, at = code_points(batch[column])
             pos = np.arange(1, len(points) + 1) - np.repeat(at[:-1], np.diff(at))
             key, n = np.unique(pos << 21 | points, return_counts=True)
-            yield pd.DataFrame({"pos": (key >> 21).astype("int32"), "aa": [chr(k) for k in (key & 0x1FFFFF).tolist()], "n": n})
+            if len(key):  # a batch without residues has nothing to say
+                yield pd.DataFrame({"pos": (key >> 21).astype("int32"), "aa": [chr(k) for k in (key & 0x1FFFFF).tolist()], "n": n})
 
     return df.select(column).mapInPandas(count, "pos int, aa string, n long").groupBy("pos", "aa").agg(F.sum("n").alias("n"))
 
@@ -104,15 +105,42 @@ def codons(df: DataFrame, column: str = "nuc") -> DataFrame:
     return rows.select(*rest, "pos", F.substr(F.col(column), (F.col("pos") - 1) * 3 + 1, F.lit(3)).alias("codon"))
 
 
+def codon_counts(df: DataFrame, column: str = "nuc", group: str | None = None) -> DataFrame:
+    """[the group as text,] pos (from 1), codon, n: whole codons at each position. Batches count what they hold, so a few rows each are shuffled."""
+
+    def count(batches):
+        for batch in batches:
+            points, at = code_points(batch[column])
+            letters, small = np.unique(points, return_inverse=True)
+            size = np.diff(at) // 3
+            row = np.repeat(np.arange(len(size)), size)
+            if not len(row):
+                continue
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            begin, k = at[row] + 3 * pos, len(letters)
+            codes, names = pd.factorize(batch[group], use_na_sentinel=False) if group else (np.zeros(len(size), np.int64), [None])
+            key = (((codes[row] * (int(size.max()) + 1) + pos) * k + small[begin]) * k + small[begin + 1]) * k + small[begin + 2]
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            b = begin[first]
+            out = pd.DataFrame({"pos": (pos[first] + 1).astype("int32"), "codon": ["".join(map(chr, x)) for x in zip(points[b].tolist(), points[b + 1].tolist(), points[b + 2].tolist(), strict=True)], "n": n})
+            if group:
+                out.insert(0, group, pd.Series([None if names[c] is None or names[c] != names[c] else str(names[c]) for c in codes[row[first]]], dtype=object))
+            yield out
+
+    by = [group] if group else []
+    rows = df.select(*(F.col(g).cast("string").alias(g) for g in by), column)
+    return rows.mapInPandas(count, ", ".join([*(f"{g} string" for g in by), "pos int, codon string, n long"])).groupBy(*by, "pos", "codon").agg(F.sum("n").alias("n"))
+
+
 def separating(df: DataFrame, group: str, a: str, b: str, column: str = "nuc") -> DataFrame:
     """Codon positions where two groups share no codon."""
-    rows = codons(df.select(group, column), column)
+    rows = codon_counts(df.where(F.col(group).isin(a, b)), column, group)
     sets = rows.groupBy("pos").agg(*(F.array_sort(F.collect_set(F.when(F.col(group) == g, F.col("codon")))).alias(f"codons_{k}") for k, g in ((1, a), (2, b))))
     return sets.where((F.size("codons_1") > 0) & (F.size("codons_2") > 0) & ~F.arrays_overlap("codons_1", "codons_2"))
 
 
 def variable_codons(df: DataFrame, column: str = "nuc") -> DataFrame:
-    return codons(df.select(column), column).groupBy("pos").agg(F.countDistinct("codon").alias("kinds"), F.count(F.lit(1)).alias("n")).where("kinds > 1")
+    return codon_counts(df, column).groupBy("pos").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("kinds > 1")
 
 
 def weak_positions(df: DataFrame, column: str, percent: float = 95.0) -> DataFrame:
@@ -125,7 +153,7 @@ def weak_positions(df: DataFrame, column: str, percent: float = 95.0) -> DataFra
 
 def codon_report(df: DataFrame, column: str = "nuc") -> DataFrame:
     """pos, codons and amino acids with their counts, most frequent first, at positions with more than one codon."""
-    counts = codons(df.select(column), column).groupBy("pos", "codon").agg(F.count(F.lit(1)).alias("n"))
+    counts = codon_counts(df, column)
     table = F.create_map(*(F.lit(x) for kv in CODONS.items() for x in kv))
     counts = counts.withColumn("aa", F.coalesce(F.try_element_at(table, F.col("codon")), F.lit("X")))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(c).alias("x")))), lambda i: F.concat(i["x"], F.lit(":"), (-i["m"]).cast("string"))), " ")

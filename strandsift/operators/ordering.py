@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import shared
+
 
 def unique_names(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Repeated names get ``__1``, ``__2``, ... in the order given; single ones stay."""
@@ -13,6 +15,18 @@ def unique_names(df: DataFrame, name: str, *order: str) -> DataFrame:
     return df.withColumn(name, F.when(n > 1, F.concat(F.col(name), F.lit("__"), k.cast("string"))).otherwise(F.col(name)))
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "k") -> DataFrame:
+    """Rows numbered from 1 in the order given, over the whole table and without a task that sees it whole: rows are dealt by ranges of the order
+    and kept so (``checkpoint``), each range is numbered alone, and the ranges' counts add up. Equal rows of the order stay in one range."""
+    placed = shared(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts, rows = sorted(placed.groupBy("_range").count().collect()), []  # a number for each partition
+    for part, n in counts:
+        rows.append((part, rows[-1][1] + rows[-1][2] if rows else 0, n))
+    before = df.sparkSession.createDataFrame([r[:2] for r in rows], "_range int, _before long")
+    k = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return placed.join(F.broadcast(before), "_range").withColumn(name, k).drop("_range", "_before")
+
+
 def recent(df: DataFrame, n: int, date: str = "date", name: str = "name") -> DataFrame:
     """The latest n rows, in ascending order."""
     return df.orderBy(F.desc(date), F.desc(name)).limit(n).orderBy(date, name)

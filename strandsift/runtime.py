@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,3 +26,17 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._strandsift_shipped = True
     return spark
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again, below ``spark.checkpoint.dir``; only a local master may do without that setting."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="strandsift-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint()

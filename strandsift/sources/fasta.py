@@ -65,12 +65,13 @@ def with_headers(records: DataFrame, lab: str = "", virus_type: str = "", lineag
 
 
 def with_csv(records: DataFrame, table: DataFrame) -> DataFrame:
-    """Records joined to a table by fasta_id, tried as written, without ``_4``, without ``EG.[FR]?_4``, without ``[FR]_4``."""
-    keys = [F.col("name"), F.regexp_replace("name", "_4$", ""), F.regexp_replace("name", r"EG\d[FR]?_4$", ""), F.regexp_replace("name", "[FR]_4$", "")]
+    """Records joined to a table by fasta_id, tried as written, without ``_4``, without ``EG.[FR]?_4``, without ``[FR]_4``: each record once, with
+    the first of these that the table has; of the table's rows for an id the last counts."""
     rest = [c for c in table.columns if c != "fasta_id"]
-    out = records
-    for k, key in enumerate(keys):
-        t = table.select(F.col("fasta_id").alias(f"_k{k}"), F.struct(*rest).alias(f"_v{k}"))
-        out = out.join(t, key == F.col(f"_k{k}"), "left")
-    hit = F.coalesce(*(F.col(f"_v{k}") for k in range(4)))
-    return out.withColumn("_v", hit).select(*(records[c] for c in records.columns), *(F.col(f"_v.{c}").alias(c if c not in records.columns else f"csv_{c}") for c in rest))
+    values = table.select("fasta_id", F.struct(F.monotonically_increasing_id().alias("_nth"), F.struct(*rest).alias("_v")).alias("x"))
+    values = values.where("fasta_id IS NOT NULL").groupBy("fasta_id").agg(F.max_by("x._v", "x._nth").alias("_v"))
+    keys = F.array(F.col("name"), F.regexp_replace("name", "_4$", ""), F.regexp_replace("name", r"EG\d[FR]?_4$", ""), F.regexp_replace("name", "[FR]_4$", ""))
+    tried = records.select("name").distinct().select(F.col("name").alias("_name"), F.posexplode(keys).alias("_rank", "fasta_id"))
+    hits = tried.join(values, "fasta_id").groupBy("_name").agg(F.min_by("_v", "_rank").alias("_v"))
+    out = records.join(hits, F.col("name") == F.col("_name"), "left")
+    return out.select(*(records[c] for c in records.columns), *(F.col(f"_v.{c}").alias(c if c not in records.columns else f"csv_{c}") for c in rest))

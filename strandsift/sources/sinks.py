@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates
+from ..operators import aggregates, ordering
 
 
 def fasta_lines(df: DataFrame, wrap: int = 0, encode: bool = False) -> DataFrame:
@@ -31,8 +31,8 @@ def phylip_lines(df: DataFrame, *order: str) -> DataFrame:
 
 
 def bioseq_lines(df: DataFrame, *order: str) -> DataFrame:
-    """Numbered names, then numbered sequences. The numbering needs the whole order, so this is for exports of bounded size."""
-    rows = df.withColumn("k", F.row_number().over(Window.orderBy(*order)))
+    """Numbered names, then numbered sequences."""
+    rows = ordering.numbered(df, *order)
     block = lambda part, c: rows.select(F.lit(part).alias("part"), "k", F.format_string("%03d>%s", "k", F.col(c)).alias("value"))
     return block(0, "name").unionByName(block(1, "sequence")).orderBy("part", "k").select("value")
 

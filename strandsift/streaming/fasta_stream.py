@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import merge
+from ..sources import fasta_source
 
 
-def stream_records(spark: SparkSession, directory: str) -> DataFrame:
-    """A streaming frame of name, sequence from new files; ``>`` separates records."""
-    raw = spark.readStream.option("lineSep", ">").text(directory).where("trim(value) <> ''")
-    name = F.trim(F.element_at(F.split("value", "\n", 2), 1))
-    return raw.select(name.alias("name"), F.upper(F.replace(F.regexp_replace(F.element_at(F.split("value", "\n", 2), 2), r"\s", ""), F.lit("/"), F.lit("-"))).alias("sequence"))
+def stream_records(spark: SparkSession, directory: str, strict: bool = True) -> DataFrame:
+    """A streaming frame of name, sequence from new files, parsed as ``read_fasta`` does; a bad record is an error, or left out."""
+    raw = fasta_source.register(spark).readStream.format("fasta").load(directory)
+    if not strict:
+        return raw.where("error IS NULL").select("name", "sequence")
+    message = F.concat_ws(" ", "file", F.col("offset").cast("string"), "error")
+    return raw.select("name", F.when(F.col("error").isNull(), F.col("sequence")).otherwise(F.raise_error(message)).alias("sequence"))
 
 
 def ingest(records: DataFrame, table: str, checkpoint: str, lab: str = "", virus_type: str = "") -> StreamingQuery:
