@@ -73,9 +73,14 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def letters(c: Column) -> Column:
+    """The characters of a string as an array, found in one pass; empty for an empty string."""
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
 def _count(a: Column, b: Column, same) -> Column:
-    n = F.least(F.length(a), F.length(b)).cast("int")
-    return F.size(F.filter(positions(n), lambda i: same(F.substr(a, i, F.lit(1)), F.substr(b, i, F.lit(1)))))
+    # positions past the shorter end pair with null, which no comparison holds for
+    return F.size(F.filter(F.zip_with(letters(a), letters(b), same), lambda hit: hit))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -113,9 +118,8 @@ def translate_text(nuc: str, offset: int = 0) -> str:
 def translate(nuc: Column, offset: int = 0) -> Column:
     """The same as an expression."""
     table = F.create_map(*(F.lit(x) for kv in CODONS.items() for x in kv))
-    n = F.ceil((F.length(nuc) - offset) / 3).cast("int")
-    codon = lambda i: F.substr(nuc, (i - 1) * 3 + 1 + offset, F.lit(3))
-    return F.array_join(F.transform(positions(n), lambda i: F.coalesce(F.try_element_at(table, codon(i)), F.lit("X"))), "")
+    codons = F.regexp_extract_all(F.substr(nuc, F.lit(offset + 1)), F.lit("(?s).{1,3}"), F.lit(0))
+    return F.array_join(F.transform(codons, lambda x: F.coalesce(F.try_element_at(table, x), F.lit("X"))), "")
 
 
 def _codon_table() -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +160,8 @@ def insert_gaps(c: Column, gaps: Column, width: int = 1) -> Column:
 
 def against_master(c: Column, master: Column) -> Column:
     """``·`` where the residue equals the master's."""
-    one = lambda s, i: F.substr(s, i, F.lit(1))
-    return F.array_join(F.transform(positions(F.length(c)), lambda i: F.when(one(c, i) == one(master, i), F.lit("·")).otherwise(one(c, i))), "")
+    marked = F.zip_with(letters(c), letters(master), lambda x, y: F.when(x == y, F.lit("·")).otherwise(x))
+    return F.array_join(marked, "")  # past the end of ``c`` there is null, which is left out
 
 
 def mask_damaged_end(nuc: Column, base: Column, codons: int = 13) -> Column:

@@ -49,7 +49,8 @@ def residues(df: DataFrame, wanted: str) -> DataFrame:
 
 
 def hamming_below(df: DataFrame, base: str, threshold: int, column: str = "nuc") -> DataFrame:
-    return df.where(sequence.hamming(F.col(column), F.lit(base)) < threshold)
+    """Rows nearer to ``base`` than the threshold, over the shorter length."""
+    return df.where(sequence.hamming_bulk(F.col(column), F.lit(base)) < threshold)
 
 
 def select(df: DataFrame, lab: str = "", lab_id: tuple[str, str] | None = None, virus_type: str = "", lineage: str = "", continent: str = "", country: str = "", aligned: bool = False, gene: str = "", clade: str = "", begin: str = "", end: str = "", hi_name: bool = False, name_regex: str = "") -> DataFrame:
@@ -77,8 +78,52 @@ def drop_short(df: DataFrame) -> DataFrame:
     return df.where(~derived.is_short(F.col("nuc"), F.col("aa")) & (F.col("aa") != ""))
 
 
-def extract(records: DataFrame, wanted: DataFrame) -> DataFrame:
-    """FASTA records (record_no, name, sequence) whose name holds a wanted one (want_no, want): a record serves its first wanted name only, the last record wins."""
-    hits = records.join(wanted, F.col("name").contains(F.col("want")))
-    first = hits.groupBy("record_no").agg(F.min_by(F.struct("want_no", "want", "name", "sequence"), "want_no").alias("x")).select("record_no", "x.*")
-    return first.groupBy("want_no", "want").agg(F.max_by(F.struct("name", "sequence"), "record_no").alias("x")).select("want_no", "want", "x.*")
+def extract(records: DataFrame, wanted: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """FASTA records (record_no, name, sequence) whose name holds a wanted one (want_no, want): a record serves its first wanted name only, the last record wins.
+
+    The wanted names go to all tasks as one automaton, ``most`` of them at a time, and a record's name is read once for each automaton, however
+    many names it holds."""
+    kind = dict(wanted.dtypes)["want_no"]
+    asked = wanted.select(F.col("want_no").cast("long").alias("want_no"), F.col("want").cast("string").alias("want")).where("want_no IS NOT NULL AND want IS NOT NULL")
+    groups = max(1, -(-asked.count() // most))
+    schema = f"record_no {dict(records.dtypes)['record_no']}, want_no long, want string, name string, sequence string"
+    parts = []
+    for g in range(groups):
+        own = asked if groups == 1 else asked.where(F.pmod(F.xxhash64("want_no", "want"), F.lit(groups)) == g)
+        sent = records.sparkSession.sparkContext.broadcast([(r["want_no"], r["want"]) for r in own.collect()])
+        parts.append(records.select("record_no", "name", "sequence").where("name IS NOT NULL").mapInPandas(_finder(sent), schema))
+    hits = reduce(DataFrame.unionByName, parts)
+    if groups > 1:
+        hits = hits.groupBy("record_no").agg(F.min_by(F.struct("want_no", "want", "name", "sequence"), "want_no").alias("x")).select("record_no", "x.*")
+    last = hits.groupBy("want_no", "want").agg(F.max_by(F.struct("name", "sequence"), "record_no").alias("x"))
+    return last.select(F.col("want_no").cast(kind).alias("want_no"), "want", "x.*")
+
+
+def _finder(sent):
+    """The first wanted name in each record's name."""
+
+    def find(batches):
+        import ahocorasick
+
+        numbers: dict[str, int] = {}
+        for number, want in sent.value:
+            numbers[want] = min(number, numbers.get(want, number))
+        everywhere = numbers.pop("", None)  # an empty name is in every name
+        automaton = ahocorasick.Automaton()
+        for want, number in numbers.items():
+            automaton.add_word(want, (number, want))
+        if numbers:
+            automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for name in batch["name"]:
+                hits = [hit for _, hit in automaton.iter(name)] if numbers else []
+                if everywhere is not None:
+                    hits.append((everywhere, ""))
+                found.append(min(hits) if hits else None)
+            keep = [k for k, hit in enumerate(found) if hit]
+            if keep:
+                out = batch.iloc[keep]
+                yield out.assign(want_no=[found[k][0] for k in keep], want=[found[k][1] for k in keep])[["record_no", "want_no", "want", "name", "sequence"]]
+
+    return find

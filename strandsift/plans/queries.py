@@ -38,6 +38,11 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
+def _nuc():
+    text_of = lambda x: F.md5(F.col(x).cast("string").cast("binary"))
+    return F.translate(F.concat(text_of("l_partkey"), text_of("l_suppkey")), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n, r, l = _tables(spark, sf_dir, "orders", "customer", "nation", "region", "lineitem")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).join(l, l["l_orderkey"] == o["o_orderkey"])
@@ -45,7 +50,7 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("o_orderkey").alias("entry_id"), F.concat(F.lit("A(H3N2)/"), "n_name", F.lit("/"), text_of("o_orderkey"), F.lit("/"), F.year("o_orderdate").cast("string")).alias("name"),
         F.col("n_name").alias("country"), F.col("r_name").alias("continent"), F.to_date("o_orderdate").cast("string").alias("iso_date"), F.col("l_linenumber").alias("seq_no"),
-        F.concat("l_returnflag", "l_linestatus").alias("passage"), F.translate(F.concat(F.md5(text_of("l_partkey").cast("binary")), F.md5(text_of("l_suppkey").cast("binary"))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("nuc"),
+        F.concat("l_returnflag", "l_linestatus").alias("passage"), _nuc().alias("nuc"),
         F.expr(_TYPE).alias("virus_type"), F.expr(_LINEAGE).alias("lineage"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"),
     )
 
@@ -132,8 +137,8 @@ def proteins(spark, d) -> DataFrame:
 
 @query("hamming_below", f"WITH {ISO}, b AS (SELECT min(nuc) AS base FROM iso), h AS (SELECT name, seq_no, nuc, base FROM iso, b) SELECT name, seq_no, hamming(nuc, base)::INT AS hd FROM h WHERE hamming(nuc, base) < 40")
 def _hamming(spark, d):
-    i = isolates(spark, d)
-    rows = i.crossJoin(F.broadcast(i.agg(F.min("nuc").alias("base"))))
+    least = _tables(spark, d, "lineitem")[0].agg(F.min(_nuc()).alias("base"))  # every line is in the collection: no need to join for this
+    rows = isolates(spark, d).select("name", "seq_no", "nuc").crossJoin(F.broadcast(least))
     return rows.select("name", "seq_no", sequence.hamming_bulk("nuc", "base").alias("hd")).where("hd < 40")
 
 
