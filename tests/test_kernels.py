@@ -84,3 +84,12 @@ def test_many_names_to_extract(spark):
     wanted = spark.range(100_000).select(F.col("id").alias("want_no"), F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/")).alias("want"))
     records = spark.range(5000).select(F.col("id").alias("record_no"), F.concat(F.lit("A/X/"), (F.col("id") * 7).cast("string"), F.lit("/2015")).alias("name"), F.lit("").alias("sequence"))
     assert filters.extract(records, wanted).count() == 5000
+
+
+def test_sequence_of_an_entry_by_laboratory_name(spark):
+    from strandsift.operators import lookups
+
+    rows = [("a", [(0, ["h1"]), (1, ["h2", "h3"]), (2, ["h3"])]), ("b", [(0, [])]), ("c", [])]
+    df = spark.createDataFrame(rows, "name string, seqs array<struct<seq_no:int,hi_names:array<string>>>")
+    got = {r["name"]: r["s"] and r["s"]["seq_no"] for r in df.select("name", lookups.in_entry(F.col("seqs"), "h3").alias("s")).collect()}
+    assert got == {"a": 1, "b": None, "c": None}
