@@ -135,9 +135,8 @@ def _codon_table() -> tuple[np.ndarray, np.ndarray]:
     return number, residue
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("frame", T.IntegerType()), T.StructField("aa", T.StringType())])))
-def translate_frames(nuc: pd.Series) -> pd.Series:
-    """All three frames, a batch at a time; null for null."""
+def translate_three(nuc: pd.Series) -> list[tuple[str, str, str]]:
+    """All texts in the three frames, as ``translate_text`` gives them (null: empty)."""
     number, residue = _codon_table()
     n = round(len(residue) ** (1 / 3))
     points, at = code_points(nuc)
@@ -146,8 +145,21 @@ def translate_frames(nuc: pd.Series) -> pd.Series:
     ends = np.repeat(at[1:], np.diff(at))
     coded[np.arange(len(coded)) + 3 > ends] = ord("X")  # not a whole one
     text = coded.tobytes().decode("latin-1")
-    rows = [[{"frame": k, "aa": text[i + k : j : 3]} for k in range(3)] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return pd.Series(rows, dtype=object).mask(nuc.isna().to_numpy(), None)
+    return [(text[i:j:3], text[i + 1 : j : 3], text[i + 2 : j : 3]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+_THREE = T.StructType([T.StructField(f"frame_{k}", T.StringType()) for k in range(3)])
+
+
+@F.pandas_udf(_THREE)
+def _three(nuc: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(translate_three(nuc), columns=_THREE.names)
+
+
+def translate_frames(nuc: Column | str) -> Column:
+    """All three frames, a batch at a time: an array of (frame, aa); null for null."""
+    three, c = _three(nuc), F.col(nuc) if isinstance(nuc, str) else nuc
+    return F.when(c.isNotNull(), F.array(*(F.struct(F.lit(k).alias("frame"), three[f"frame_{k}"].alias("aa")) for k in range(3))))
 
 
 def insert_gaps(c: Column, gaps: Column, width: int = 1) -> Column:

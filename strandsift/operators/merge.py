@@ -30,7 +30,7 @@ def normalize_records(records: DataFrame) -> DataFrame:
 def align_records(records: DataFrame) -> DataFrame:
     """Translate and align each record's sequence; what the motif says fills virus type, lineage and gene."""
     nuc = is_nucleotides(F.col("sequence"))
-    a = F.when(nuc, align.translate_and_align(F.col("sequence"))).otherwise(align.align(F.col("sequence")))
+    a = F.when(nuc, align.translate_and_align(F.when(nuc, F.col("sequence")))).otherwise(align.align(F.when(~nuc, F.col("sequence"))))  # both functions see every row
     rows = records.withColumn("_a", a)
     plain = ~F.col("_a.subtype").startswith("*") & (F.col("_a.subtype") != "")
     kind = F.when((F.col("virus_type") == "") & plain, F.col("_a.subtype")).otherwise(F.col("virus_type"))

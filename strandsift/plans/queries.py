@@ -7,6 +7,8 @@ virus types and lineages. Longer made-up proteins come from parts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -534,8 +536,37 @@ def _records(spark, d) -> DataFrame:
     )
 
 
-@query("align", f"WITH {PROT} SELECT id AS record_no, CASE id % 3 WHEN 0 THEN 'A(H3N2)' WHEN 1 THEN 'A(H1N1)' ELSE 'B' END AS virus_type, CASE id % 3 WHEN 2 THEN 59 ELSE 0 END::INT AS aa_shift FROM prot")
+def _motif_texts(spark, d) -> DataFrame:
+    """Proteins that each hold an instance of one of the motifs (a letter of each class, by the part), some past its window, some two."""
+    rules = spark.createDataFrame([(k, [x.strip("[]").replace(".", "GAVW") for x in re.findall(r"\[[A-Z]+\]|[A-Z.]", r[4])]) for k, r in enumerate(align.RULES)], "k int, places array<string>")
+    made = lambda c, by: F.array_join(F.transform(c, lambda x, k: F.substr(x, ((F.col("id") * by + k * k) % F.length(x) + 1).cast("int"), F.lit(1))), "")
+    second = rules.select(F.col("k").alias("k2"), F.col("places").alias("p2"))
+    p = proteins(spark, d).withColumns({"aa": F.translate("aa", "-*", "GG"), "k": (F.col("id") % len(align.RULES)).cast("int"), "k2": (F.col("id") * 7 % len(align.RULES)).cast("int")})
+    p = p.join(F.broadcast(rules), "k").join(F.broadcast(second), "k2")
+    front = F.substring("aa", 300, (F.col("id") % 23).cast("int"))
+    return p.select("id", F.concat(front, made(F.col("places"), 1), F.when(F.col("id") % 5 == 0, made(F.col("p2"), 3)).otherwise(""), F.substring("aa", 1, 400)).alias("aa"))
+
+
+_RULE_ROWS = ", ".join(f"({k}, '{r[0]}', '{r[2]}', {r[3] == 'signal'}, {0 if r[3] in (None, 'signal') else r[3]}, '{r[4]}', {r[5]})" for k, r in enumerate(align.RULES))
+_RULE_LETTERS = ", ".join("({}, [{}])".format(k, ", ".join(f"'{x.strip('[]').replace('.', 'GAVW')}'" for x in re.findall(r"\[[A-Z]+\]|[A-Z.]", r[4]))) for k, r in enumerate(align.RULES))
+_MADE = "array_to_string(list_transform(range(0, len({p})), lambda k: substr({p}[k + 1], ((p.id * {by} + k * k) % length({p}[k + 1]) + 1)::INT, 1)), '')"
+
+
+@query("align", f"""WITH {PROT}, l(k, places) AS (VALUES {_RULE_LETTERS}), r(k, subtype, gene, signal, shift, motif, size) AS (VALUES {_RULE_ROWS}),
+p AS (SELECT id, translate(aa, '-*', 'GG') AS aa FROM prot),
+t AS (SELECT p.id, concat(substr(p.aa, 300, (p.id % 23)::INT), {_MADE.format(p="a.places", by=1)}, CASE WHEN p.id % 5 = 0 THEN {_MADE.format(p="b.places", by=3)} ELSE '' END, substr(p.aa, 1, 400)) AS aa
+  FROM p JOIN l a ON a.k = p.id % {len(align.RULES)} JOIN l b ON b.k = p.id * 7 % {len(align.RULES)}),
+m AS (SELECT id, k, subtype, gene, signal, shift, substr(aa, 1, size) AS x, regexp_extract(substr(aa, 1, size), motif) AS found FROM t, r),
+h AS (SELECT id, k, subtype, gene, CASE WHEN signal THEN 1 - strpos(x, found) - length(found) ELSE shift + 1 - strpos(x, found) END AS s FROM m WHERE found <> ''),
+g AS (SELECT id, min_by(subtype, k) AS subtype, min_by(gene, k) AS gene, min_by(s, k) AS s, count(DISTINCT subtype) > 1 OR count(DISTINCT s) > 1 AS warned FROM h GROUP BY 1)
+SELECT t.id, coalesce(subtype, '') AS subtype, coalesce(gene, '') AS gene, s::INT AS aa_shift, coalesce(warned, false) AS warned FROM t LEFT JOIN g USING (id)""")
 def _align(spark, d):
+    rows = _motif_texts(spark, d).select("id", align.align(F.col("aa")).alias("a"))
+    return rows.select("id", "a.subtype", "a.gene", "a.aa_shift", (F.col("a.warning") != "").alias("warned"))
+
+
+@query("align_records", f"WITH {PROT} SELECT id AS record_no, CASE id % 3 WHEN 0 THEN 'A(H3N2)' WHEN 1 THEN 'A(H1N1)' ELSE 'B' END AS virus_type, CASE id % 3 WHEN 2 THEN 59 ELSE 0 END::INT AS aa_shift FROM prot")
+def _align_records(spark, d):
     return merge.align_records(merge.normalize_records(_records(spark, d))).select("record_no", "virus_type", "aa_shift")
 
 

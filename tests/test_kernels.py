@@ -1,10 +1,14 @@
 """Batch kernels against their definitions row by row."""
 
+import random
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandsift.functions import sequence
+from strandsift.functions import align, sequence
 from strandsift.operators import filters, indels
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWYX-é漢"
@@ -93,3 +97,51 @@ def test_sequence_of_an_entry_by_laboratory_name(spark):
     df = spark.createDataFrame(rows, "name string, seqs array<struct<seq_no:int,hi_names:array<string>>>")
     got = {r["name"]: r["s"] and r["s"]["seq_no"] for r in df.select("name", lookups.in_entry(F.col("seqs"), "h3").alias("s")).collect()}
     assert got == {"a": 1, "b": None, "c": None}
+
+
+def motif_hits(aa):
+    """Each rule that fits, by the expressions themselves: subtype, lineage, gene, shift."""
+    hits = []
+    for subtype, lineage, gene, shift, motif, end in align.RULES:
+        if m := re.search(motif, aa[:end]):
+            hits.append((subtype, lineage, gene, -m.end() if shift == "signal" else (shift or 0) - m.start()))
+    return hits
+
+
+def test_motifs_of_a_batch():
+    rnd = random.Random(5)
+    texts = ["", "A", "é\n" * 30, "M" * 500]
+    for k in range(3000):
+        text = "".join(rnd.choices("ACDEFGHIKLMNPQRSTVWYX", k=rnd.randrange(0, 250)))
+        for rule in rnd.sample(range(len(align.RULES)), k=rnd.randrange(0, 3)):
+            places = re.findall(r"\[[A-Z]+\]|.", align.RULES[rule][4])
+            at = rnd.randrange(0, len(text) + 1)
+            text = text[:at] + "".join(rnd.choice(x.strip("[]").replace(".", "AWX")) for x in places) + text[at:]
+        texts.append(text)
+    for text, got in zip(texts, align.align_texts(texts).to_dict("records"), strict=True):
+        want = motif_hits(text)
+        assert got["found"] == bool(want), text
+        if want:
+            assert (got["subtype"], got["lineage"], got["gene"], got["aa_shift"]) == want[0], text
+            assert (got["warning"] != "") == (len({h[0] for h in want}) > 1 or len({h[3] for h in want}) > 1), text
+    assert {r["gene"] for r in align.align_texts(texts).to_dict("records")} >= {"HA", "NA", "M1", "NS1", ""}
+    assert not len(align.align_texts([])) and not len(align.translate_and_align_texts([]))
+
+
+def test_frames_of_a_batch_are_those_of_each_text():
+    rnd = random.Random(6)
+    codons = [c for c, a in sequence.CODONS.items() if a != "*" and "U" not in c]
+    texts = []
+    for k in range(60):
+        body = "".join(rnd.choices(codons, k=420))
+        motif = "".join(next(c for c, a in sequence.CODONS.items() if a == x) for x in "ATLCLGHHAV")
+        texts.append("A" * (k % 3) + "".join(rnd.choices(codons, k=k)) + (motif if k % 4 else "") + ("TAA" if k % 5 == 0 else "") + body)
+    texts += ["", "ACGT"]
+    got = align.translate_and_align_texts(texts)
+    assert set(got["status"]) == {"aligned", "failed"}
+    for k, text in enumerate(texts):
+        pd.testing.assert_frame_equal(got.iloc[[k]].reset_index(drop=True), align.translate_and_align_texts([text]))
+        found = [(f, h[0], h[3]) for f in range(3) if (h := next(((p, motif_hits(p)) for p in sequence.translate_text(text, f).split("*") if len(p) >= 400 and motif_hits(p)), None)) for h in [h[1][0]]] if len(text) >= 1200 else []
+        assert (got["status"][k] == "aligned") == bool(found)
+        if found:
+            assert (got["frame"][k], got["subtype"][k]) == found[0][:2]
