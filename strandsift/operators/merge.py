@@ -46,33 +46,43 @@ def _short(r) -> bool:
     return len(r["nuc"]) < MINIMUM_NUC if not r["aa"] else len(r["aa"]) < MINIMUM_AA
 
 
-def fold_name(part: pd.DataFrame) -> pd.DataFrame:
-    """Records of one name in arrival order. A record joins the first sequence that equals, holds or is held by its own;
-    the longer one is kept. After each file short and untranslated sequences go."""
-    part = part.sort_values(["file_no", "record_no"])
-    seqs: list[dict] = []
-    entry = {"virus_type": "", "lineage": "", "dates": set(), "warnings": []}
-    files = part["file_no"].tolist()
-    for k, r in enumerate(part.to_dict("records")):
-        for field in ("virus_type", "lineage"):
-            if r[field] and entry[field] and r[field] != entry[field]:
-                entry["warnings"].append(f"{field} {r[field]} against {entry[field]}")
-            entry[field] = entry[field] or r[field]
+_MERGED_NAMES = [
+    "name", "virus_type", "lineage", "country", "continent", "dates", "seq_no", "passages", "nuc", "aa", "nuc_shift", "aa_shift", "align_status", "lab_ids", "gene",
+    "hi_names", "annotations", "reassortants", "clades", "gisaid", "warnings",
+]
+
+
+class Fold:
+    """The entry of one name, record by record in arrival order. A record joins the first sequence that equals, holds or is held by its own;
+    the longer one is kept. After each file short and untranslated sequences go. Only the sequences are held, not the records."""
+
+    def __init__(self, name: str | None):
+        self.name, self.file, self.seqs, self.dates, self.warnings = name, None, [], set(), []
+        self.known = {"virus_type": "", "lineage": ""}
+
+    def add(self, r: dict) -> None:
+        if r["file_no"] != self.file:
+            self._end_of_file()
+            self.file = r["file_no"]
+        for field, value in self.known.items():
+            if r[field] and value and r[field] != value:
+                self.warnings.append(f"{field} {r[field]} against {value}")
+            self.known[field] = value or r[field]
         if r["date"]:
-            entry["dates"].add(r["date"])
+            self.dates.add(r["date"])
         if r["warning"]:
-            entry["warnings"].append(r["warning"])
+            self.warnings.append(r["warning"])
         key = "nuc" if r["nuc"] else "aa"
-        own = next((s for s in seqs if r[key] in s[key] or s[key] in r[key]), None)
+        own = next((s for s in self.seqs if r[key] in s[key] or s[key] in r[key]), None)
         if own is None:
             own = {c: r[c] for c in ("nuc", "aa", "nuc_shift", "aa_shift", "align_status", "gene")} | {"passages": [], "reassortants": [], "lab_ids": {}}
-            seqs.append(own)
+            self.seqs.append(own)
         elif r[key] not in own[key]:
             if key == "nuc" and not own["nuc"]:
-                entry["warnings"].append("a sequence without nucleotides is replaced")
+                self.warnings.append("a sequence without nucleotides is replaced")
             own.update({c: r[c] for c in ("nuc", "aa", "nuc_shift", "aa_shift", "align_status")})
         if r["gene"] and own["gene"] != r["gene"]:
-            entry["warnings"].append(f"gene {r['gene']} against {own['gene']}")
+            self.warnings.append(f"gene {r['gene']} against {own['gene']}")
         for field, value in (("passages", r["passage"]), ("reassortants", r["reassortant"])):
             if value and value not in own[field]:
                 own[field].append(value)
@@ -80,27 +90,55 @@ def fold_name(part: pd.DataFrame) -> pd.DataFrame:
             ids = own["lab_ids"].setdefault(r["lab"], [])
             if r["lab_id"] and r["lab_id"] not in ids:
                 ids.append(r["lab_id"])
-        if k + 1 == len(files) or files[k + 1] != files[k]:
-            seqs = [s for s in seqs if s["aa"] and not _short(s)]
-    name = part["name"].iloc[0]
-    whole = lambda v: None if v is None or v != v else int(v)
-    rows = [
-        [name, entry["virus_type"], entry["lineage"], "", "", sorted(entry["dates"]), k, s["passages"], s["nuc"], s["aa"], whole(s["nuc_shift"]), whole(s["aa_shift"]), s["align_status"], s["lab_ids"], s["gene"], [], "", s["reassortants"], [], [], entry["warnings"]]
-        for k, s in enumerate(seqs)
-    ]
-    out = pd.DataFrame(rows, columns=_MERGED_NAMES)
-    return out.astype({"nuc_shift": "Int64", "aa_shift": "Int64"})
 
+    def _end_of_file(self) -> None:
+        self.seqs = [s for s in self.seqs if s["aa"] and not _short(s)]
 
-_MERGED_NAMES = [
-    "name", "virus_type", "lineage", "country", "continent", "dates", "seq_no", "passages", "nuc", "aa", "nuc_shift", "aa_shift", "align_status", "lab_ids", "gene",
-    "hi_names", "annotations", "reassortants", "clades", "gisaid", "warnings",
-]
+    def rows(self) -> list[list]:
+        """What ``MERGED`` says of each sequence."""
+        self._end_of_file()
+        whole = lambda v: None if v is None or v != v else int(v)
+        return [
+            [self.name, self.known["virus_type"], self.known["lineage"], "", "", sorted(self.dates), k, s["passages"], s["nuc"], s["aa"], whole(s["nuc_shift"]), whole(s["aa_shift"]), s["align_status"], s["lab_ids"], s["gene"], [], "", s["reassortants"], [], [], self.warnings]
+            for k, s in enumerate(self.seqs)
+        ]
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_MERGED_NAMES).astype({"nuc_shift": "Int64", "aa_shift": "Int64"})
+
+
+def fold_name(part: pd.DataFrame) -> pd.DataFrame:
+    """The entry of the records of one name, in any order."""
+    part = part.sort_values(["file_no", "record_no"])
+    fold = Fold(part["name"].iloc[0])
+    for r in part.to_dict("records"):
+        fold.add(r)
+    return _frame(fold.rows())
+
+
+def _fold_sorted(batches, most: int = 2000):
+    """Records by name, file and number to sequences; a name may go over from batch to batch, and results leave by ``most`` rows or so."""
+    fold, out = None, []
+    for batch in batches:
+        for r in batch.to_dict("records"):
+            if fold is None or r["name"] != fold.name:
+                out += fold.rows() if fold else []
+                fold = Fold(r["name"])
+                if len(out) >= most:
+                    yield _frame(out)
+                    out = []
+            fold.add(r)
+    out += fold.rows() if fold else []
+    if out:
+        yield _frame(out)
 
 
 def merge(records: DataFrame) -> DataFrame:
-    """The flattened view of all entries. The only shuffle is by name."""
-    return records.groupBy("name").applyInPandas(fold_name, MERGED)
+    """The flattened view of all entries. The only shuffle is by name; Spark sorts each partition (and spills), so a name of any number of
+    records is read as a stream and only its sequences are in memory."""
+    columns = [c.split()[0] for c in RECORD.split(", ")]
+    return records.select(*columns).repartition("name").sortWithinPartitions("name", "file_no", "record_no").mapInPandas(_fold_sorted, MERGED)
 
 
 def not_aligned(records: DataFrame) -> DataFrame:

@@ -570,9 +570,37 @@ def _align_records(spark, d):
     return merge.align_records(merge.normalize_records(_records(spark, d))).select("record_no", "virus_type", "aa_shift")
 
 
-@query("merge")
+def _pieces(spark, d) -> DataFrame:
+    """FASTA records of parts, four for each name, in four files: pieces of the name's least protein that hold one another or not, by part; every
+    seventh record is its own part's protein, and every eleventh is too short."""
+    p = proteins(spark, d).select("id", F.translate("aa", "-*", "GG").alias("aa")).withColumn("g", F.expr("id div 4"))
+    least = p.groupBy("g").agg(F.min_by("aa", "id").alias("base"))
+    motif = F.when(F.col("g") % 3 == 0, "GGQKIPGNDNSTATLCLGHHAVPNGTIVKTI").when(F.col("g") % 3 == 1, "GGDTLCIGYHANNSTDTV").otherwise("GGCTDLDVALGRP")
+    own = F.when(F.col("id") % 7 == 0, F.col("aa")).otherwise(F.col("base"))
+    size = F.when(F.col("id") % 11 == 0, 300).otherwise(420 + F.col("id") * 37 % 100)
+    return p.join(least, "g").select(
+        F.concat(F.lit("A/PLACE/"), F.col("g").cast("string"), F.lit("/2015")).alias("name"), F.substr(F.concat(motif, own), (F.col("id") * 5 % 3 + 1).cast("int"), size.cast("int")).alias("sequence"),
+        F.concat(F.lit("201"), (F.col("id") % 3).cast("string")).alias("date"), F.concat(F.lit("E"), (F.col("id") % 2).cast("string")).alias("passage"), F.lit("").alias("reassortant"), F.lit("CDC").alias("lab"),
+        F.col("id").cast("string").alias("lab_id"), F.lit("").alias("virus_type"), F.lit("").alias("lineage"), F.lit("HA").alias("gene"), (F.col("id") % 2).cast("int").alias("file_no"), F.col("id").alias("record_no"),
+    )
+
+
+@query("merge", f"""WITH RECURSIVE {PROT}, p AS (SELECT id, id // 4 AS g, translate(aa, '-*', 'GG') AS aa FROM prot), b AS (SELECT g, min_by(aa, id) AS base FROM p GROUP BY 1),
+r AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY id % 2, id) AS n, id % 2 AS file, concat('201', id % 3, '-01-01') AS d, concat('E', id % 2) AS passage, (1 - strpos(aa, w)) + CASE g % 3 WHEN 2 THEN 59 ELSE 0 END AS shift, aa FROM
+  (SELECT g, id, w, substr(concat('GG', m, CASE WHEN id % 7 = 0 THEN aa ELSE base END), (id * 5 % 3 + 1)::INT, CASE WHEN id % 11 = 0 THEN 300 ELSE (420 + id * 37 % 100)::INT END) AS aa
+   FROM p JOIN b USING (g), (SELECT unnest([0, 1, 2]) AS kind, unnest(['QKIPGNDNSTATLCLGHHAVPNGTIVKTI', 'DTLCIGYHANNSTDTV', 'CTDLDVALGRP']) AS m, unnest(['QKIPGND', 'DTLCIGYHANN', 'CTDLDVALGRP']) AS w) WHERE kind = g % 3)),
+f AS (SELECT g, n, file, [d] AS dates, [{{aa: aa, shift: shift, passages: [passage], ids: [id]}}] AS seqs FROM r WHERE n = 1
+  UNION ALL SELECT g, n, file, dates, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(seqs, {{aa: aa, shift: shift, passages: [passage], ids: [id]}})
+    ELSE list_transform(seqs, lambda s, i: CASE WHEN i <> hit THEN s ELSE {{aa: CASE WHEN contains(s.aa, aa) THEN s.aa ELSE aa END, shift: CASE WHEN contains(s.aa, aa) THEN s.shift ELSE shift END,
+      passages: CASE WHEN list_contains(s.passages, passage) THEN s.passages ELSE list_append(s.passages, passage) END, ids: list_append(s.ids, id)}} END) END
+  FROM (SELECT g, n, file, dates, seqs, aa, shift, passage, id, list_position(list_transform(seqs, lambda s: contains(s.aa, aa) OR contains(aa, s.aa)), true) AS hit
+    FROM (SELECT f.g, r.n, r.file, list_append(f.dates, r.d) AS dates, CASE WHEN f.file = r.file THEN f.seqs ELSE list_filter(f.seqs, lambda s: length(s.aa) >= 400) END AS seqs, r.aa, r.shift, r.passage, r.id FROM f JOIN r ON r.g = f.g AND r.n = f.n + 1))),
+l AS (SELECT g, max_by(dates, n) AS dates, max_by(list_filter(seqs, lambda s: length(s.aa) >= 400), n) AS seqs FROM f GROUP BY 1),
+x AS (SELECT g, dates, unnest(seqs) AS s, unnest(range(0, len(seqs))) AS k FROM l)
+SELECT concat(CASE g % 3 WHEN 0 THEN 'A(H3N2)' WHEN 1 THEN 'A(H1N1)' ELSE 'A' END, '/PLACE/', g, '/2015') AS name, k::INT AS seq_no, array_to_string(list_sort(list_distinct(dates)), ' ') AS dates, array_to_string(s.passages, ' ') AS passages, array_to_string(s.ids, ' ') AS lab_ids, s.aa AS aa, s.shift::INT AS aa_shift FROM x""")
 def _merge(spark, d):
-    return merge.merge(merge.align_records(merge.normalize_records(_records(spark, d)))).select("name", "seq_no", "virus_type", "passages", "aa", "aa_shift")
+    rows = merge.merge(merge.align_records(merge.normalize_records(_pieces(spark, d))))
+    return rows.select("name", "seq_no", F.array_join("dates", " ").alias("dates"), F.array_join("passages", " ").alias("passages"), F.array_join(F.col("lab_ids")["CDC"], " ").alias("lab_ids"), "aa", "aa_shift")
 
 
 @query("indels")

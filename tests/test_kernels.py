@@ -141,7 +141,10 @@ def test_frames_of_a_batch_are_those_of_each_text():
     assert set(got["status"]) == {"aligned", "failed"}
     for k, text in enumerate(texts):
         pd.testing.assert_frame_equal(got.iloc[[k]].reset_index(drop=True), align.translate_and_align_texts([text]))
-        found = [(f, h[0], h[3]) for f in range(3) if (h := next(((p, motif_hits(p)) for p in sequence.translate_text(text, f).split("*") if len(p) >= 400 and motif_hits(p)), None)) for h in [h[1][0]]] if len(text) >= 1200 else []
+        found = []
+        for frame in range(3 if len(text) >= 1200 else 0):
+            hits = [h for p in sequence.translate_text(text, frame).split("*") if len(p) >= 400 and (h := motif_hits(p))]
+            found += [(frame, hits[0][0][0])] if hits else []
         assert (got["status"][k] == "aligned") == bool(found)
         if found:
-            assert (got["frame"][k], got["subtype"][k]) == found[0][:2]
+            assert (got["frame"][k], got["subtype"][k]) == found[0] and (got["warning"][k] == "several frames align") == (len(found) > 1)
