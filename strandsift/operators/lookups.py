@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import derived
+from ..runtime import shared
 
 
 def by_name(seqs: DataFrame, name: str) -> DataFrame:
@@ -131,20 +134,37 @@ def best_by_antigen(seqs: DataFrame, antigens: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "full_name", "seq_no", "score")
 
 
-def assign_antigens(pairs: DataFrame) -> DataFrame:
-    """Greedy assignment inside each entry: pairs (name, seq_no, full_name, score) by score; each antigen goes to one
-    sequence and each sequence takes what ties with its best. Ties by full_name."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "full_name", "seq_no"], ascending=[False, True, True])
-        single = part["seq_no"].nunique() == 1
-        taken, best, keep = set(), {}, []
-        for k, r in enumerate(part.itertuples()):
-            top = best.get(r.seq_no, r.score)
-            if r.full_name not in taken and (r.score == top if single else r.seq_no not in best or r.score == top):
-                taken.add(r.full_name)
-                best.setdefault(r.seq_no, r.score)
-                keep.append(k)
-        return part.iloc[keep][["name", "seq_no", "full_name", "score"]]
-
-    return pairs.groupBy("name").applyInPandas(run, pairs.select("name", "seq_no", "full_name", "score").schema)
+def assign_antigens(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+    """Greedy assignment inside each entry: pairs (name, seq_no, full_name, score) by score, ties by full_name and seq_no; each antigen goes
+    to one sequence and each sequence takes what ties with its best.
+
+    A pair is decided by earlier pairs of its antigen and higher ones of its sequence alone. So each round takes, everywhere at once, the pairs that are the
+    first open ones of their antigen and among the highest open ones of their sequence, and closes what they rule out; the result is that
+    of going through the pairs one by one. No round needs an entry in one place. Pairs of chains longer than ``rounds`` are gone through entry by entry.
+    """
+    columns = ["name", "seq_no", "full_name", "score"]
+    left, taken = pairs.select(*columns), []
+    of_antigen, of_seq = Window.partitionBy("name", "full_name"), Window.partitionBy("name", "seq_no")
+    for _ in range(rounds):
+        rows = left.withColumn("_first", F.row_number().over(of_antigen.orderBy(F.desc("score"), "seq_no")) == 1)
+        rows = rows.withColumn("_top", F.max("score").over(of_seq)).withColumn("_take", F.col("_first") & (F.col("score") == F.col("_top")))
+        rows = rows.withColumn("_has", F.max("_take").over(of_seq)).where(F.col("_take") | ~F.col("_has") | (F.col("score") == F.col("_top")))
+        rows = rows.withColumn("_gone", F.max("_take").over(of_antigen)).where(F.col("_take") | ~F.col("_gone"))
+        rows = shared(rows.select(*columns, "_take"))
+        taken.append(rows.where("_take").select(*columns))
+        left = rows.where("NOT _take").select(*columns)
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, taken)
+    return reduce(DataFrame.unionAll, [*taken, left.groupBy("name").applyInPandas(_one_by_one, left.schema)])
+
+
+def _one_by_one(part: pd.DataFrame) -> pd.DataFrame:
+    """Open pairs of one entry. A sequence that has its best already has only pairs of that score open."""
+    part = part.sort_values(["score", "full_name", "seq_no"], ascending=[False, True, True])
+    taken, best, keep = set(), {}, []
+    for k, (seq, antigen, score) in enumerate(zip(part["seq_no"], part["full_name"], part["score"], strict=True)):
+        if antigen not in taken and best.get(seq, score) == score:
+            taken.add(antigen)
+            best[seq] = score
+            keep.append(k)
+    return part.iloc[keep]

@@ -254,6 +254,20 @@ def _greedy(spark, d):
     return lookups.assign_antigens(lookups.best_by_antigen(s, ags))
 
 
+@query("assign_scores", """WITH RECURSIVE p AS (SELECT l_orderkey AS name, l_linenumber::INT AS seq_no, concat('F', k) AS full_name, ((l_partkey * (k + 3) + l_suppkey) % 6 * 10)::INT AS score FROM lineitem, (SELECT unnest(range(0, 5)) AS k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, full_name, seq_no) AS n FROM p),
+f AS (SELECT name, n, [full_name] AS taken, [seq_no] AS seqs, [score] AS scores, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT name, n, CASE WHEN kept THEN list_append(taken, full_name) ELSE taken END, CASE WHEN kept THEN list_append(seqs, seq_no) ELSE seqs END, CASE WHEN kept THEN list_append(scores, score) ELSE scores END, kept
+  FROM (SELECT f.name, o.n, taken, seqs, scores, o.full_name, o.seq_no, o.score, NOT list_contains(taken, o.full_name) AND (NOT list_contains(seqs, o.seq_no) OR scores[list_position(seqs, o.seq_no)] = o.score) AS kept
+    FROM f JOIN o ON o.name = f.name AND o.n = f.n + 1))
+SELECT cast(o.name AS VARCHAR) AS name, o.seq_no, o.full_name, o.score FROM f JOIN o ON o.name = f.name AND o.n = f.n WHERE f.kept""")
+def _assign_scores(spark, d):
+    """Five antigens for each order, whose lines have unequal scores with many ties."""
+    rows = _tables(spark, d, "lineitem")[0].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(F.array(*(F.lit(k) for k in range(5)))).alias("k"))
+    score = ((F.col("l_partkey") * (F.col("k") + 3) + F.col("l_suppkey")) % 6 * 10).cast("int")
+    return lookups.assign_antigens(rows.select(F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").cast("int").alias("seq_no"), F.concat(F.lit("F"), F.col("k").cast("string")).alias("full_name"), score.alias("score")))
+
+
 # ---------------------------------------------------------------- aggregations
 @query("entry_flags", f"WITH {SEQS}, e AS (SELECT virus_type, name, max((align_status = 'aligned')::INT) AS a, max(has_hi::INT) AS m FROM seqs GROUP BY ALL) SELECT virus_type, count(*) AS entries, sum(a)::BIGINT AS aligned, sum(m)::BIGINT AS matched, count(*) AS dated, count(*) AS clade FROM e GROUP BY 1")
 def _flags(spark, d):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandsift.functions import align, sequence
-from strandsift.operators import filters, indels
+from strandsift.operators import filters, indels, lookups
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWYX-é漢"
 
@@ -148,3 +148,20 @@ def test_frames_of_a_batch_are_those_of_each_text():
         assert (got["status"][k] == "aligned") == bool(found)
         if found:
             assert (got["frame"][k], got["subtype"][k]) == found[0] and (got["warning"][k] == "several frames align") == (len(found) > 1)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 30])
+def test_antigens_assigned_in_rounds(spark, rounds):
+    rnd = random.Random(8)
+    rows = [(name, rnd.randrange(6), f"f{rnd.randrange(9)}", rnd.choice((10, 20, 30, 100))) for name in ("A", "B", None) for _ in range(60)]
+    rows += [("chain", k + d, f"c{k:02}", 200 - 2 * k - d) for k in range(12) for d in (0, 1)]
+    want = []
+    for name in {r[0] for r in rows}:
+        taken, best = set(), {}
+        for _, seq, antigen, score in sorted({r for r in rows if r[0] == name}, key=lambda r: (-r[3], r[2], r[1])):
+            if antigen not in taken and (seq not in best or best[seq] == score):
+                taken.add(antigen)
+                best[seq] = score
+                want.append((name, seq, antigen, score))
+    got = lookups.assign_antigens(spark.createDataFrame(rows, "name string, seq_no int, full_name string, score int"), rounds).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
