@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import lzma
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandsift import schema
 from strandsift.functions import sequence
 from strandsift.operators import aggregates, lookups, merge, ordering
 from strandsift.sources import database, fasta, fasta_source, sinks
@@ -167,3 +169,33 @@ def test_database_files_of_other_versions(spark, tmp_path):
     assert [r["name"] for r in rows] == ['A/X ["q"]'] and [(s["aa_shift"], s["align_status"]) for s in rows[0]["seqs"]] == [(None, "untried"), (2, "aligned")]
     again = database.read_database(spark, str(tmp_path / "a.json"), compatible=True).first()
     assert [(s["aa_shift"], s["nuc_shift"], s["align_status"]) for s in again["seqs"]] == [(0, 0, "aligned"), (2, 6, "aligned")]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1 << 20])
+def test_database_file_read_in_pieces(size):
+    entries = [{"N": f'A/"{{[,]}}" \\ {k}', "s": [{"a": "Q" * (k * 7 % 50), "s": -k}], "d": []} for k in range(40)]
+    for doc in ({"  version": database.VERSION, "data": entries, "n": 12}, {"data": entries, "  version": database.VERSION}, {"  version": database.VERSION, "data": []}):
+        for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False)):
+            for content in (text.encode(), lzma.compress(text.encode()[:50]) + lzma.compress(text.encode()[50:])):
+                got = list(database._members(content, size))
+                assert [json.loads(v) for k, v in got if k == "data"] == doc["data"]
+                assert {k: json.loads(v) for k, v in got if k != "data"} == {k: v for k, v in doc.items() if k != "data"}
+    for broken in ("", "[]", '{"data": [{"N": "A"', '{"data": [{} {}]}', '{"data": 1}', '{"a" 1}', '{"a": 1'):
+        with pytest.raises(ValueError):
+            list(database._members(broken.encode(), size))
+
+
+def test_broken_database_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"  version": database.VERSION, "data": [{"N": f"A/{k}", "s": [{"a": "QK"}]} for k in range(3)]})[:-20])
+    with pytest.raises(Exception, match="Expecting|Unterminated|database"):
+        database.read_database(spark, str(tmp_path)).collect()
+    assert [r["name"] for r in database.read_database(spark, str(tmp_path), ignore_errors=True).orderBy("name").collect()] == ["A/0", "A/1"]
+
+
+def test_annotations_and_gisaid_are_exchanged(spark, tmp_path):
+    doc = {"  version": database.VERSION, "data": [{"N": "A/X", "s": [{"a": "QK", "A": "note", "G": {"i": ["EPI_1"], "D": ["2015"]}}, {"a": "M"}]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    rows = database.read_database(spark, str(tmp_path / "a.json"))
+    database.export_database(rows, str(tmp_path / "b"))
+    assert database.read_database(spark, str(tmp_path / "b")).collect() == rows.collect()
+    assert [(s["annotations"], s["gisaid"]) for s in schema.flatten(rows).orderBy("seq_no").collect()] == [("note", ["EPI_1", "2015"]), ("", [])]
