@@ -176,14 +176,23 @@ def against_master(c: Column, master: Column) -> Column:
     return F.array_join(marked, "")  # past the end of ``c`` there is null, which is left out
 
 
-def mask_damaged_end(nuc: Column, base: Column, codons: int = 13) -> Column:
-    """Blank the last codons when they fit the base badly: for the first k from ``codons`` down whose distance exceeds
-    the next shorter tail's and is at least k, the last k codons become gaps."""
+def damaged_codons(nuc: Column, base: Column, codons: int = 13) -> Column:
+    """How many of the last codons fit the base badly (0: none): the first k from ``codons`` down whose distance exceeds the next shorter
+    tail's and is at least k."""
     n = F.length(nuc)
     tail = lambda s, k: F.substr(s, F.greatest(F.lit(1), n - k * 3 + 1), k * 3)
     bad = F.filter(F.transform(F.sequence(F.lit(codons), F.lit(1)), lambda k: F.struct(k.alias("k"), hamming(tail(nuc, k), tail(base, k)).alias("d"), F.when(k > 1, hamming(tail(nuc, k - 1), tail(base, k - 1))).otherwise(0).alias("e"))), lambda x: (x["d"] > x["e"]) & (x["d"] >= x["k"]))
-    k = F.get(bad, F.lit(0))["k"]
-    return F.when(k.isNull() | (n < codons * 3), nuc).otherwise(F.concat(F.substr(nuc, F.lit(1), n - k * 3), F.repeat(F.lit("-"), k * 3)))
+    return F.when(n < codons * 3, 0).otherwise(F.coalesce(F.get(bad, F.lit(0))["k"], F.lit(0)))
+
+
+def blank_end(c: Column, n: Column, fill: str) -> Column:
+    """The last n letters become ``fill``."""
+    return F.rpad(F.substr(c, F.lit(1), F.length(c) - n), F.length(c), F.lit(fill))
+
+
+def mask_damaged_end(nuc: Column, base: Column, codons: int = 13) -> Column:
+    """Damaged codons at the end become gaps."""
+    return blank_end(nuc, damaged_codons(nuc, base, codons) * 3, "-")
 
 
 def residues_from(aa: Column, shift: Column, pos: int, n: int | None = None) -> Column:

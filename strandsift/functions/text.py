@@ -121,6 +121,16 @@ def flu_code(c: Column) -> Column:
     return F.struct(kind.alias("virus_type"), F.when(u.startswith("BV"), "VICTORIA").when(u.startswith("BY"), "YAMAGATA").otherwise("").alias("lineage"))
 
 
+def flu_selection(code: str) -> tuple[str, str]:
+    """Virus type and lineage of H1, H3, BV.. and BY.. as plain strings."""
+    u = code.upper()
+    known = {"H1": ("A(H1N1)", ""), "H3": ("A(H3N2)", ""), "BV": ("B", "VICTORIA"), "BY": ("B", "YAMAGATA")}
+    found = known.get(u if u.startswith("H") else u[:2])
+    if found is None:
+        raise ValueError(f"Unrecognized flu: {code}")
+    return found
+
+
 def date(c: Column) -> Column:
     """``YYYY[-MM[-DD]]`` in full; '' stays ''; anything else is an error."""
     shape = r"^(\d{4})-?(?:(\d\d)-?(\d\d)?)?$"

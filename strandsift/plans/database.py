@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +133,9 @@ class SequenceDB:
         return aggregates.clade_report(self.seqs, clade, derived.latest_date(F.col("dates")), derived.lab(F.col("lab_ids")), name)
 
     def report_identical(self, column: str = "aa") -> DataFrame:
+        """key, n, first of each group of equal sequences; its members are the rows with that key (``aggregates.identical`` lists them)."""
         made = sequence.amino_acids(F.col("aa"), F.col("aa_shift")) if column == "aa" else sequence.nucleotides(F.col("nuc"), F.col("nuc_shift"))
-        return aggregates.identical(self.seqs.where("align_status = 'aligned'"), made, derived.seq_id(F.col("name"), F.col("passages")))
+        return aggregates.identical_first(self.seqs.where("align_status = 'aligned'"), made, derived.seq_id(F.col("name"), F.col("passages")))
 
     def report_not_aligned(self, size: int = 40) -> DataFrame:
         return aggregates.prefixes(self.seqs.where("align_status <> 'aligned'"), "aa", size)
@@ -202,22 +205,75 @@ class SequenceDB:
         return SequenceDB(rows.select(*self.seqs.columns))
 
     # ------------------------------------------------------------ export
-    def export(self, amino_acids: bool = False, template: str = "{seq_id}", recent: int = 0, random: int = 0, seed: int = 1, base: DataFrame | None = None, hamming: int = 0, common_length: bool = False) -> DataFrame:
-        """name, sequence, date of the selection, in export order: names, left part, suffixes, latest or random rows, date
-        order, base first, common length, distance to the first row."""
-        f = {"name": F.col("name"), "date": derived.latest_date(F.col("dates")), "passage": derived.first(F.col("passages")), "lab": derived.lab(F.col("lab_ids")), "lab_id": derived.lab_id(F.col("lab_ids")), "virus_type": F.col("virus_type"), "gene": F.col("gene"), "seq_id": derived.seq_id(F.col("name"), F.col("passages"))}
+    def export(
+        self, amino_acids: bool = False, template: str = "{seq_id}", recent: int = 0, random: int = 0, seed: int = 1, base: DataFrame | str | None = None, include: list[str] | None = None, hamming: int = 0,
+        common_length: bool = False, sort: str = "date", source: SequenceDB | None = None,
+    ) -> DataFrame:
+        """name, sequence, date of the selection, in export order: names, left part, suffixes, latest or random rows, order by date or name,
+        base first, what is included last, common length, distance to the first row.
+
+        ``base`` is rows (name, sequence, date) or an expression for the name of one sequence, ``include`` expressions for names; both are looked
+        for in ``source`` (the whole database; this selection if there is none)."""
+        if sort not in ("date", "name"):
+            raise ValueError(f"unrecognized order: {sort}")
+        source = source or self
         shift = "aa_shift" if amino_acids else "nuc_shift"
         left = F.broadcast(ordering.left_part(self.seqs, shift))
-        made = sequence.longest_open_part(sequence.left_shift(F.col("aa"), F.col("aa_shift") + F.col("left"), "X")) if amino_acids else sequence.left_shift(F.col("nuc"), F.col("nuc_shift") + F.col("left"), "-")
-        rows = self.seqs.where("align_status = 'aligned'").crossJoin(left).select(sequence.name_from_template(template, f).alias("name"), made.alias("sequence"), f["date"].alias("date"), F.struct(F.col("name"), "seq_no").alias("_o")).where("sequence <> ''")
-        rows = ordering.unique_names(rows, "name", "_o").drop("_o")
+        rows = self._exported(self.seqs, left, amino_acids, template)
         rows = ordering.recent(rows, recent) if recent else rows
         rows = ordering.sample(rows, random, seed) if random else rows
-        rows = rows.withColumn("part", F.lit(1))
-        if base is not None:
-            rows = ordering.with_base(base.select("name", "sequence", "date"), rows.drop("part"), rows.drop("part").limit(0))
+        if isinstance(base, str):
+            found = filters.select(source.seqs, aligned=True, name_regex=base)
+            lookups.only_one(found.select("name", "seq_no"))
+            base = self._exported(found, left, amino_acids, template)
+        if base is not None or include:
+            more = [self._exported(filters.select(source.seqs, aligned=True, name_regex=x), left, amino_acids, template) for x in include or []]
+            included = reduce(DataFrame.unionByName, more).dropDuplicates(["name"]) if more else rows.limit(0)
+            rows = ordering.with_base(base.select("name", "sequence", "date") if base is not None else rows.limit(0), rows, included)
+        else:
+            rows = rows.withColumn("part", F.lit(1))
         rows = ordering.to_common_length(rows, "sequence", "X" if amino_acids else "-") if common_length else rows
+        order = ("part", "date", "name") if sort == "date" else ("part", "name", "date")
         if hamming:
-            first = rows.orderBy("part", "date", "name").limit(1).select(F.col("sequence").alias("_first"))
+            first = rows.orderBy(*order).limit(1).select(F.col("sequence").alias("_first"))
             rows = rows.crossJoin(F.broadcast(first)).where((sequence.hamming(F.col("sequence"), F.col("_first")) < hamming) | (F.col("part") == 0)).drop("_first")
-        return rows.orderBy("part", "date", "name").drop("part")
+        return rows.orderBy(*order).drop("part")
+
+    @staticmethod
+    def _exported(seqs: DataFrame, left: DataFrame, amino_acids: bool, template: str) -> DataFrame:
+        """name, sequence, date of the aligned sequences; repeated names are numbered."""
+        f = {"name": F.col("name"), "date": derived.latest_date(F.col("dates")), "passage": derived.first(F.col("passages")), "lab": derived.lab(F.col("lab_ids")), "lab_id": derived.lab_id(F.col("lab_ids")), "virus_type": F.col("virus_type"), "gene": F.col("gene"), "seq_id": derived.seq_id(F.col("name"), F.col("passages"))}
+        f["hi_name_or_seq_name_with_passage"] = derived.make_name(F.col("name"), F.col("passages"), F.col("hi_names"))
+        made = sequence.longest_open_part(sequence.left_shift(F.col("aa"), F.col("aa_shift") + F.col("left"), "X")) if amino_acids else sequence.left_shift(F.col("nuc"), F.col("nuc_shift") + F.col("left"), "-")
+        rows = seqs.where("align_status = 'aligned'").crossJoin(left).select(sequence.name_from_template(template, f).alias("name"), made.alias("sequence"), f["date"].alias("date"), F.struct(F.col("name"), "seq_no").alias("_o")).where("sequence <> ''")
+        return ordering.unique_names(rows, "name", "_o").drop("_o")
+
+    def export_tree(self, flu: str, base: str, recent: int = 4000, hamming: int = 160) -> DataFrame:
+        """The preset for trees: name (encoded id), nuc, aa, date, in the order part, date (latest first), name; part 0 is the base.
+
+        ``base`` is an expression for the name of one sequence. Of the aligned HA sequences of the virus the latest ``recent`` ones nearer than
+        ``hamming`` to the base are taken, one for each id, all of the length most common among the latest; ends that look damaged are blanked."""
+        virus_type, lineage = text.flu_selection(flu)
+        all_rows = filters.select(self.seqs, virus_type=virus_type, lineage=lineage, aligned=True, gene="HA")
+        root = lookups.only_one(filters.select(all_rows, name_regex=base).select("name", "seq_no"))
+        rows = all_rows.select(
+            derived.seq_id(F.col("name"), F.col("passages"), encode=True).alias("name"), sequence.nucleotides(F.col("nuc"), F.col("nuc_shift")).alias("nuc"), sequence.amino_acids(F.col("aa"), F.col("aa_shift")).alias("aa"),
+            derived.latest_date(F.col("dates")).alias("date"), ((F.col("name") == root["name"]) & (F.col("seq_no") == root["seq_no"])).alias("root"), F.struct(F.col("name"), "seq_no").alias("_o"),
+        )
+        others = ordering.first_of(rows.where("NOT root"), "name", "_o")
+        latest = others.orderBy(F.desc("date"), "name").limit(recent)
+        size = lookups.only_one(ordering.common_length(latest, "aa"), "common length")["n"]
+        cut = lambda df: df.withColumns({"nuc": sequence.resize(F.col("nuc"), size * 3, "-"), "aa": sequence.resize(F.col("aa"), size, "X")})
+        first = cut(rows.where("root"))
+        by = first.select(F.col("nuc").alias("_base"))  # one row
+        near = ordering.walk_recent(cut(others).crossJoin(F.broadcast(by)), sequence.hamming(F.col("nuc"), F.col("_base")) < hamming, recent, key="name")
+        out = first.crossJoin(F.broadcast(by)).withColumn("part", F.lit(0)).unionByName(near.withColumn("part", F.lit(1)))
+        bad = out.withColumn("_n", sequence.damaged_codons(F.col("nuc"), F.col("_base")))
+        return bad.select("name", sequence.blank_end(F.col("nuc"), F.col("_n") * 3, "-").alias("nuc"), sequence.blank_end(F.col("aa"), F.col("_n"), "X").alias("aa"), "date", "part").orderBy("part", F.desc("date"), "name")
+
+    @staticmethod
+    def report_hamming(exported: DataFrame, first: str) -> DataFrame:
+        """name, distance of exported rows to the one of name ``first``, farthest first."""
+        base = exported.where(F.col("name") == first).select(F.col("sequence").alias("_first")).limit(1)
+        rows = exported.where(F.col("name") != first).crossJoin(F.broadcast(base))
+        return rows.select("name", sequence.hamming(F.col("sequence"), F.col("_first")).alias("distance")).orderBy(F.desc("distance"), "name")
