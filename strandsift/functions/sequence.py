@@ -177,11 +177,11 @@ def against_master(c: Column, master: Column) -> Column:
 
 
 def damaged_codons(nuc: Column, base: Column, codons: int = 13) -> Column:
-    """How many of the last codons fit the base badly (0: none): the first k from ``codons`` down whose distance exceeds the next shorter
-    tail's and is at least k."""
+    """How many of the last codons fit the base badly (0: none): the first k from ``codons`` down to 2 whose distance exceeds the next
+    shorter tail's and is at least k."""
     n = F.length(nuc)
     tail = lambda s, k: F.substr(s, F.greatest(F.lit(1), n - k * 3 + 1), k * 3)
-    bad = F.filter(F.transform(F.sequence(F.lit(codons), F.lit(1)), lambda k: F.struct(k.alias("k"), hamming(tail(nuc, k), tail(base, k)).alias("d"), F.when(k > 1, hamming(tail(nuc, k - 1), tail(base, k - 1))).otherwise(0).alias("e"))), lambda x: (x["d"] > x["e"]) & (x["d"] >= x["k"]))
+    bad = F.filter(F.transform(F.sequence(F.lit(codons), F.lit(2)), lambda k: F.struct(k.alias("k"), hamming(tail(nuc, k), tail(base, k)).alias("d"), hamming(tail(nuc, k - 1), tail(base, k - 1)).alias("e"))), lambda x: (x["d"] > x["e"]) & (x["d"] >= x["k"]))
     return F.when(n < codons * 3, 0).otherwise(F.coalesce(F.get(bad, F.lit(0))["k"], F.lit(0)))
 
 
