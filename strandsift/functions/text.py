@@ -38,6 +38,11 @@ DESIGNATIONS = ("X", "BX", "NYMC X", "NYMC-X", "VI", "NIB", "NIBSC", "RESVIR", "
 REASSORTANT_HEADS = ("NYMC", "IVR", "BVR", "X-", "BX-", "NIB", "RG")
 
 
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values, each computed once for a row however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), F.lit(0))
+
+
 def _regexes(c: Column, fixes) -> Column:
     return reduce(lambda x, f: F.regexp_replace(x, *f), fixes, c)
 
@@ -82,24 +87,30 @@ def header_type(c: Column) -> Column:
 def header_name(c: Column) -> Column:
     """Upper case, places respelled, ``REASSORTANT (NAME)`` turned round; a closing parenthesis may be missing, and ``HY`` before the name goes."""
     fixed = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), PLACES, F.upper(c))
-    head = F.substring_index(fixed, "(", 1)
-    inside = F.substr(fixed, F.length(head) + 2)
-    inside = F.when(inside.endswith(")"), F.substr(inside, F.lit(1), F.length(inside) - 1)).otherwise(inside)
-    turned = reduce(lambda x, h: x | head.startswith(h), REASSORTANT_HEADS[1:], head.startswith(REASSORTANT_HEADS[0])) & (inside != "") & ~inside.contains(")")
-    return F.when(turned, F.concat(F.regexp_replace(inside, r"^HY\s+", ""), F.lit(" "), head)).otherwise(fixed)
+
+    def turn(x):
+        open_end = F.when(x["inside"].endswith(")"), F.substr(x["inside"], F.lit(1), F.length(x["inside"]) - 1)).otherwise(x["inside"])
+        begins = reduce(lambda c, h: c | x["head"].startswith(h), REASSORTANT_HEADS[1:], x["head"].startswith(REASSORTANT_HEADS[0]))
+        return F.when(begins & (x["inside"] != "") & (open_end != "") & ~open_end.contains(")"), F.concat(F.regexp_replace(open_end, r"^HY\s+", ""), F.lit(" "), x["head"])).otherwise(x["all"])
+
+    parts = lambda x: _let(turn, all=x["all"], head=F.substring_index(x["all"], "(", 1), inside=F.substr(x["all"], F.instr(x["all"], "(") + F.when(x["all"].contains("("), 1).otherwise(F.length(x["all"]) + 1)))
+    return _let(parts, all=fixed)
 
 
 def cdc_id(c: Column) -> Column:
     """The 8 to 10 digits of a CDC id, or null. Behind them may stand a blank and anything, or cells that each begin with an underscore: one digit;
     or six digits, ``v`` and a digit, and maybe one digit more."""
-    word = F.regexp_extract(c, r"^\s*(\S+)", 1)
-    number = F.regexp_extract(word, r"^\d+", 0)
-    blank = F.regexp_replace(c, r"^\s+", "").rlike(r"\s")
-    cells = F.split(F.substr(word, F.length(number) + 1), "_", -1)
-    digits = lambda k, n: F.coalesce(F.get(cells, F.lit(k)), F.lit("")).rlike(rf"^\d{{{n}}}$")
-    dated = digits(1, 6) & F.get(cells, F.lit(2)).rlike(r"^v\d$") & ((F.size(cells) == 3) | ((F.size(cells) == 4) & digits(3, 1)))
-    tail = (F.size(cells) == 1) | (~blank & (((F.size(cells) == 2) & digits(1, 1)) | F.coalesce(dated, F.lit(False))))
-    return F.when(F.length(number).between(8, 10) & (F.get(cells, F.lit(0)) == "") & tail, number)
+
+    def said(x):
+        cells = x["cells"]
+        digits = lambda k, n: F.coalesce(F.get(cells, F.lit(k)), F.lit("")).rlike(rf"^\d{{{n}}}$")
+        dated = digits(1, 6) & F.get(cells, F.lit(2)).rlike(r"^v\d$") & ((F.size(cells) == 3) | ((F.size(cells) == 4) & digits(3, 1)))
+        tail = (F.size(cells) == 1) | (~x["blank"] & (((F.size(cells) == 2) & digits(1, 1)) | F.coalesce(dated, F.lit(False))))
+        return F.when(F.length(x["number"]).between(8, 10) & (F.get(cells, F.lit(0)) == "") & tail, x["number"])
+
+    number = F.regexp_extract(c, r"^\s*(\d+)", 1)
+    behind = F.regexp_extract(c, r"^\s*\d*(\S*)", 1)
+    return _let(said, number=number, cells=F.split(behind, "_", -1), blank=F.ltrim(c).rlike(r"\s"))
 
 
 def fix_name(c: Column) -> Column:
@@ -204,51 +215,53 @@ def _cell_date(cell: Column) -> Column:
 def _from_cells(cells: Column, lab: Column) -> Column:
     """The fields of a piped header; null if its cells make none of the known rows."""
     n, cell = F.size(cells), lambda k: F.coalesce(F.get(cells, F.lit(k)), _none())
-    day = _cell_date(cell(1))
     letters = cell(4).rlike("^[A-Za-z ]+$")
     typed = (n == 7) & letters & cell(5).rlike(r"(?i)^[AB]\s*/\s*H\d+N\d+$") & cell(6).rlike("^[A-Za-z0-9]*$")
-    own_lab = typed | ((n == 5) & letters)
-    where = F.when(own_lab, institute(cell(4))).otherwise(lab)
-    id_of = lambda c: F.when(where == "CDC", cdc_id(c)).otherwise(c)
-    rest = F.trim(F.array_join(F.slice(cells, F.lit(4), F.greatest(F.lit(0), n - 3)), " | "))
-    common = {"name": header_name(cell(0)), "date": day, "passage": cell(2), "lab": where}
-    dated = (
-        F.when(typed, _fields(**common, lab_id=id_of(cell(3)), virus_type=header_type(F.upper(cell(5))), lineage=fix_lineage(cell(6))))
-        .when(own_lab | ((n > 4) & (cell(2) != "")), _fields(**common, lab_id=id_of(cell(3))))
-        .when(n >= 4, _fields(**common, lab_id=id_of(rest)))
-    )
-    numbered = cell(2).rlike(r"(?i)^(EPI|201)\d+$")
-    return F.when(day.isNotNull(), dated).when(
-        (n == 6) & cell(0).rlike(r"(?i)^EPI\d+$") & cell(1).rlike("(?i)^(HA|NA)$") & cell(3).rlike("(?i)^EPI_[A-Z_0-9]+$"), _fields(name=cell(3), gene=cell(1))
-    ).when(
-        (n == 3) & cell(1).rlike(r"^\S+$"), F.when(numbered, _fields(name=F.upper(cell(2)), passage=cell(1))).otherwise(_fields(name=header_name(cell(0)), passage=cell(1), lab_id=id_of(cell(2)), lab=lab))
-    )
+
+    def made(x):
+        day, where, own_lab = x["day"], x["lab"], x["typed"] | x["own_lab"]
+        id_of = lambda c: F.when(where == "CDC", cdc_id(c)).otherwise(c)
+        rest = F.trim(F.array_join(F.slice(cells, F.lit(4), F.greatest(F.lit(0), n - 3)), " | "))
+        whole = own_lab | ((n > 4) & (cell(2) != ""))  # the fourth cell alone is the id
+        kind, lineage = F.when(x["typed"], header_type(F.upper(cell(5)))), F.when(x["typed"], fix_lineage(cell(6)))
+        dated = F.when(whole | (n >= 4), _fields(name=x["name"], date=day, passage=cell(2), lab=where, lab_id=id_of(F.when(whole, cell(3)).otherwise(rest)), virus_type=kind, lineage=lineage))
+        numbered = cell(2).rlike(r"(?i)^(EPI|201)\d+$")
+        return F.when(day.isNotNull(), dated).when(
+            (n == 6) & cell(0).rlike(r"(?i)^EPI\d+$") & cell(1).rlike("(?i)^(HA|NA)$") & cell(3).rlike("(?i)^EPI_[A-Z_0-9]+$"), _fields(name=cell(3), gene=cell(1))
+        ).when(
+            (n == 3) & cell(1).rlike(r"^\S+$"), F.when(numbered, _fields(name=F.upper(cell(2)), passage=cell(1))).otherwise(_fields(name=x["name"], passage=cell(1), lab_id=id_of(cell(2)), lab=lab))
+        )
+
+    placed = lambda x: _let(made, day=x["day"], name=x["name"], typed=x["typed"], own_lab=x["own_lab"], lab=F.when(x["day"].isNotNull() & (x["typed"] | x["own_lab"]), institute(cell(4))).otherwise(lab))
+    return _let(placed, day=_cell_date(cell(1)), name=header_name(cell(0)), typed=typed, own_lab=(n == 5) & letters)
 
 
 def _from_words(header: Column) -> Column:
     """The fields of a header without pipes; null if it is nothing but a name."""
-    upper = F.upper(header)
-    columns = F.split(header, r"\s\s+")
     year_end = r"^(.+/\d{4})([^/]*)$"
-    stem, tail = F.regexp_extract(upper, year_end, 1), F.regexp_extract(upper, year_end, 2)
-    plain_stem = (stem != "") & ~stem.contains("_")
     under, blank = F.instr(header, "_"), F.length(header) - F.length(F.regexp_extract(header, r"(\S*)$", 1))
-    cut = F.when(under > 1, under).otherwise(blank)
-    ending = F.regexp_replace(tail, r"^[\s\-]+", "")
-    return (
-        F.when(header.rlike(r"(?i)^\S+\s+PileUp\sof"), _fields(name=F.regexp_extract(upper, r"^(\S+)", 1)))
-        .when((F.size(columns) == 3) & F.get(columns, F.lit(0)).rlike(r"^\S+$") & F.get(columns, F.lit(1)).rlike(r"^[\d/]+$"), _fields(name=F.upper(F.get(columns, F.lit(0))), date=F.get(columns, F.lit(1)), passage=F.get(columns, F.lit(2))))
-        .when(header.rlike(r'(?i)^\d+S\d+ +"Contig +\d+" +\(\d+,\d+\)$'), _fields(name=F.substring_index(upper, " ", 1)))
-        .when(plain_stem & tail.rlike(r"^[\s_].*:[EC]"), _fields(name=stem, passage=F.regexp_extract(tail, r".*:([EC]\d*)", 1)))
-        .when(plain_stem & tail.rlike(r"^[\s_]"), _fields(name=stem))
-        .when(header.rlike(r"^\S+_4$"), _fields(name=upper))
-        .when((cut > 1) & ~F.substr(header, cut).contains("/"), _fields(name=F.trim(F.substr(upper, F.lit(1), cut - 1))))
-        .when((stem != "") & ending.rlike(r"^[.\dA-Z]*$"), _fields(name=stem, passage=ending))
-    )
+
+    def made(x):
+        upper, columns, stem, tail, cut = x["upper"], x["columns"], x["stem"], x["tail"], x["cut"]
+        plain_stem = (stem != "") & ~stem.contains("_")
+        ending = F.regexp_replace(tail, r"^[\s\-]+", "")
+        return (
+            F.when(header.rlike(r"(?i)^\S+\s+PileUp\sof"), _fields(name=F.regexp_extract(upper, r"^(\S+)", 1)))
+            .when((F.size(columns) == 3) & F.get(columns, F.lit(0)).rlike(r"^\S+$") & F.get(columns, F.lit(1)).rlike(r"^[\d/]+$"), _fields(name=F.upper(F.get(columns, F.lit(0))), date=F.get(columns, F.lit(1)), passage=F.get(columns, F.lit(2))))
+            .when(header.rlike(r'(?i)^\d+S\d+ +"Contig +\d+" +\(\d+,\d+\)$'), _fields(name=F.substring_index(upper, " ", 1)))
+            .when(plain_stem & tail.rlike(r"^[\s_].*:[EC]"), _fields(name=stem, passage=F.regexp_extract(tail, r".*:([EC]\d*)", 1)))
+            .when(plain_stem & tail.rlike(r"^[\s_]"), _fields(name=stem))
+            .when(header.rlike(r"^\S+_4$"), _fields(name=upper))
+            .when((cut > 1) & ~F.substr(header, cut).contains("/"), _fields(name=F.trim(F.substr(upper, F.lit(1), cut - 1))))
+            .when((stem != "") & ending.rlike(r"^[.\dA-Z]*$"), _fields(name=stem, passage=ending))
+        )
+
+    upper = F.upper(header)
+    return _let(made, upper=upper, columns=F.split(header, r"\s\s+"), stem=F.regexp_extract(upper, year_end, 1), tail=F.regexp_extract(upper, year_end, 2), cut=F.when(under > 1, under).otherwise(blank))
 
 
 def parse_header(header: Column, lab: Column | None = None) -> Column:
     """struct of HEADER_FIELDS of a header; one of an unknown form is the name."""
     lab = F.coalesce(lab, _none()) if lab is not None else _none()
-    cells = F.transform(F.split(header, r"\|", -1), lambda c: F.trim(c))
-    return F.coalesce(F.when(F.size(cells) > 1, _from_cells(cells, lab)).otherwise(_from_words(header)), _fields(name=header))
+    made = lambda x: F.coalesce(F.when(F.size(x["cells"]) > 1, _from_cells(x["cells"], x["lab"])).otherwise(_from_words(x["header"])), _fields(name=x["header"]))
+    return _let(made, header=header, lab=lab, cells=F.transform(F.split(header, r"\|", -1), lambda c: F.trim(c)))
