@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -116,7 +116,17 @@ def line_profile(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
 _KEY = ("doc_id", "host", "key1", "key2")
 
 
-def line_verdicts(profile: DataFrame, many: int = 50, few: int = 3, share: float = 0.05, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+def _by_parts(each: DataFrame, often: DataFrame, at: Column, most: int) -> DataFrame:
+    """Join of lines with frequent ones. A hot line is one key of a shuffle, so lines that make up 1 / ``most`` of all places or more,
+    ``most`` at most, are sent to all tasks (hosts of up to 1 KiB, so 64 MB); rarer ones are joined unless all can be sent."""
+    n, places, longest = often.agg(F.count(F.lit(1)), F.sum("n_docs"), F.max(F.octet_length("o_host"))).first()
+    if n <= most and (longest or 0) <= 1024:
+        return each.join(F.broadcast(often), at)
+    hot = F.coalesce((F.col("n_docs") * most >= places) & (F.octet_length("o_host") <= 1024), F.col("n_docs") * most >= places)
+    return each.join(F.broadcast(often.where(hot)), at).unionByName(each.join(often.where(~hot), at))
+
+
+def line_verdicts(profile: DataFrame, many: int = 50, few: int = 3, share: float = 0.05, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20, broadcast_lines: int = 1 << 16) -> DataFrame:
     """A row for each row of ``profile``: the base counts, removed_lines (positions), removed_words, base_failed, kept."""
     texts = profile.groupBy("host", "key1", "key2").agg(F.min("doc_id").alias("owner"), F.first("line_hash").alias("lines"))
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
@@ -126,10 +136,12 @@ def line_verdicts(profile: DataFrame, many: int = 50, few: int = 3, share: float
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("owner").alias("owner"))
         .where(F.col("n_docs") > few)
     )
-    often = lines.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where((F.col("n_docs") > many) | (F.col("n_docs") > F.col("n_texts") * share)).select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "owner")
+    often = lines.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where((F.col("n_docs") > many) | (F.col("n_docs") > F.col("n_texts") * share)).select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "owner", "n_docs")
+    often = C.materialize(often, "often-lines")
     each = profile.dropDuplicates(list(_KEY)).select(*_KEY, F.posexplode(F.arrays_zip("line_hash", "line_words")).alias("pos", "x")).select(*_KEY, "pos", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
+    at = (F.col("line") == F.col("o_line")) & F.col("host").eqNullSafe(F.col("o_host")) & ~F.col("doc_id").eqNullSafe(F.col("owner"))
     removed = (
-        each.join(often, (F.col("line") == F.col("o_line")) & F.col("host").eqNullSafe(F.col("o_host")) & ~F.col("doc_id").eqNullSafe(F.col("owner")))
+        _by_parts(each, often, at, broadcast_lines)
         .groupBy(*_KEY).agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("pos").alias("removed_lines"))
     )
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)

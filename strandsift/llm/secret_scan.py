@@ -85,6 +85,9 @@ def dictionary(docs: DataFrame, text: str = "text", min_docs: int = 3, word_shar
     return C.materialize(found.where(F.col("count") >= max(min_docs, rows.count() * word_share)).select("w"), "dictionary")
 
 
+BROADCAST_WORDS = 1 << 20  # beyond, the words are joined by a shuffle
+
+
 def _value_key(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value).alias("v1"), F.xxhash64(value, F.lit(1)).alias("v2")
 
@@ -96,6 +99,8 @@ def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     lengths = values.select("v1", "v2", "v", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k"))
     begins = F.regexp_extract_all("v", F.concat(F.lit(r"(?=(\p{L}{"), F.col("k").cast("string"), F.lit("})?)")), F.lit(1))
     parts = lengths.select("v1", "v2", "k", F.posexplode(begins).alias("pos", "w")).where("w <> ''")
+    if words.count() <= BROADCAST_WORDS:  # the commonest words are hot keys; a word has 12 letters at most, so this is 48 MB or less
+        words = F.broadcast(words)
     hits = parts.join(words, "w").select("v1", "v2", F.explode(F.sequence("pos", F.col("pos") + F.col("k") - 1)).alias("at"))
     return hits.groupBy("v1", "v2").agg(F.countDistinct("at").alias("n_covered"))
 

@@ -601,6 +601,24 @@ def test_secret_candidates_against_brute_force(spark, docs):
         assert got.get(r["doc_id"], []) == want
 
 
+def test_quality_hot_lines_sent_or_joined(spark):
+    rows = [(i, f"own words of number {i} here\nread more of this\nsee part {i % 7} too\nonly {i % 90}", [None, "a", "b"][i % 3]) for i in range(300)]
+    profile = line_frequency.line_profile(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = sorted(map(str, line_frequency.line_verdicts(profile).select("doc_id", "removed_words", F.sort_array("removed_lines"), "kept").collect()))
+    assert sum("removed_words=8" in r for r in want) > 250  # the line of all and the line of a seventh
+    for most in (0, 8):
+        got = line_frequency.line_verdicts(profile, broadcast_lines=most).select("doc_id", "removed_words", F.sort_array("removed_lines"), "kept").collect()
+        assert sorted(map(str, got)) == want
+
+
+def test_secret_words_joined(spark, monkeypatch):
+    found = spark.createDataFrame([("abcabcab",), ("xyz12345",)], "value string")
+    words = spark.createDataFrame([("abca",), ("cabc",)], "w string")
+    want = sorted(map(str, secret_scan.coverage(found, words).collect()))
+    monkeypatch.setattr(secret_scan, "BROADCAST_WORDS", 0)
+    assert sorted(map(str, secret_scan.coverage(found, words).collect())) == want and len(want) == 1
+
+
 def test_secret_dictionary_counts_all_documents(spark):
     alphabet = "abcdefghij"
     rare = ["".join(alphabet[int(d)] for d in f"{k:05d}") for k in range(600)]  # more words than the 400 of a fixed list, each in 4 of 2400 documents
