@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandsift.operators import aggregates
+from strandsift.plans import queries
 
 
 def written(df):
@@ -63,3 +64,12 @@ def test_classes_shuffle_texts_not_letters(spark):
         assert 0 < written(f(rows, "s", "g"))[1] <= 4000
     one = spark.range(20000).select(F.lit(1).alias("g"), F.translate(F.md5(F.col("id").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"))
     assert 0 < written(aggregates.class_regex(one, "s", "g"))[1] <= 100  # a large group comes as a few texts a batch
+
+
+def test_a_small_file_of_keys_is_dealt_over_tasks(spark, tmp_path):
+    spark.range(1, 20001).select(F.col("id").alias("p_partkey"), F.lit("name").alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    busy = queries.proteins(spark, str(tmp_path)).where(F.length(F.replace("aa", F.lit("-"), F.lit(""))) >= 0).groupBy(F.spark_partition_id()).count().collect()
+    assert len(busy) == 5 and max(r["count"] for r in busy) < 6000
+    where = queries.proteins(spark, str(tmp_path)).where("aa <> ''")  # a filter on letters stays behind the exchange
+    assert where.rdd.getNumPartitions() == 5
+    assert queries.QUERIES["drop_short"](spark, str(tmp_path)).rdd.getNumPartitions() == 5
