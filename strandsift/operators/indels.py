@@ -78,7 +78,7 @@ def _matrix(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def place_all(masters: list[str], texts: list[str], kinds: list[str], rows: int = 512) -> list[list[tuple[int, int]] | None]:
+def place_all(masters: list[str], texts: list[str], kinds: list[str], rows: int = 128) -> list[list[tuple[int, int]] | None]:
     """``place_gaps`` of many pairs at once, ``rows`` of them in step: the matches at every shift are one array each, their running sums
     give every candidate's score, and rows whose last gap was their best so far take part in the next round."""
     out: list[list[tuple[int, int]] | None] = []
@@ -110,13 +110,13 @@ def _place(masters: list[str], texts: list[str], kinds: list[str]) -> list[list[
         if first:
             best_fit[r] = now
             first = False
-        before = np.cumsum(same, axis=1) - same
+        before = np.cumsum(same, axis=1, dtype=np.int32) - same
         may = ~same & (b != ord("-")) & (a != ord("-")) & (column >= start[r][:, None]) & (column + REACH < n_over[:, None])
         score, pos, width_of = np.full(len(r), -1), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
         for k in range(1, REACH + 1):
             shifted = matches(a[:, k:], b[:, : width - k], np.minimum(m_size[r] - k, t_size[r]))
-            after = np.cumsum(shifted[:, ::-1], axis=1)[:, ::-1]
-            s = np.where(may[:, : width - k] & shifted, before[:, : width - k] + after, -1)
+            after = np.cumsum(shifted[:, ::-1], axis=1, dtype=np.int32)[:, ::-1]
+            s = np.where(may[:, : width - k] & shifted, before[:, : width - k] + after, np.int32(-1))
             p = np.argmax(s, axis=1)
             s = s[np.arange(len(r)), p]
             better = (s > score) | ((s == score) & (s >= 0) & (p < pos))
@@ -175,16 +175,17 @@ def _takes_over(master: pd.Series, own: pd.Series, kind: pd.Series) -> pd.Series
     return pd.Series(out)
 
 
-def settled_masters(seqs: DataFrame, turns: int = 100) -> DataFrame:
+def settled_masters(seqs: DataFrame, turns: int = 100, written: bool = False) -> DataFrame:
     """virus_type, master of all types. In a type without a sequence of normal length the first row that takes over becomes the
     master, and all rows are looked at again, until none does; a master that was replaced never comes back. The rows of such types are
-    written once; each turn is a pass over what is written, and only one row for each type is held by the driver. More
+    written once, unless ``seqs`` is ``written`` already; each turn is a pass over what is written, and only one row for each type is held by the driver. More
     than ``turns`` passes are an error: such a type has no master that its rows agree on."""
     spark = seqs.sparkSession
     rows = masters(seqs).collect()
     now, loose, gone = {r["virus_type"]: r["master"] for r in rows}, {r["virus_type"] for r in rows if not r["fixed"]}, set()
     if loose:
-        pool = shared(seqs.where("align_status = 'aligned'").where(F.col("virus_type").isin(*loose) & (F.col("aligned_aa") != "")).select("virus_type", "name", "seq_no", "aligned_aa"))
+        pool = seqs.where("align_status = 'aligned'").where(F.col("virus_type").isin(*loose) & (F.col("aligned_aa") != "")).select("virus_type", "name", "seq_no", "aligned_aa")
+        pool = pool if written else shared(pool)
     while loose:
         table = spark.createDataFrame([(k, now[k]) for k in sorted(loose)], "virus_type string, master string")
         able = (F.col("aligned_aa") != F.col("master")) & (F.length("aligned_aa") > F.rint(F.length("master") * F.lit(0.9))) & (F.col("master") != "")
@@ -203,8 +204,10 @@ def settled_masters(seqs: DataFrame, turns: int = 100) -> DataFrame:
 
 
 def detect(seqs: DataFrame) -> DataFrame:
-    """``seqs`` (with ``aligned_aa``) and ``gaps`` of each row against its type's master, without a shuffle."""
-    rows = seqs.join(F.broadcast(settled_masters(seqs)), "virus_type", "left")  # a row for each virus type
+    """``seqs`` (with ``aligned_aa``) and ``gaps`` of each row against its type's master, without a shuffle. ``seqs`` is written once: what it is
+    computed from is heavier than the passes over it."""
+    seqs = shared(seqs)
+    rows = seqs.join(F.broadcast(settled_masters(seqs, written=True)), "virus_type", "left")  # a row for each virus type
     gaps = F.when(F.col("align_status") == "aligned", _gaps("master", "aligned_aa", "virus_type"))
     return rows.withColumn("gaps", F.coalesce(gaps, F.array().cast(GAPS))).drop("master")
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandsift.operators import aggregates
+from strandsift.operators import aggregates, indels
 from strandsift.plans import queries
 
 
@@ -73,3 +73,17 @@ def test_a_small_file_of_keys_is_dealt_over_tasks(spark, tmp_path):
     where = queries.proteins(spark, str(tmp_path)).where("aa <> ''")  # a filter on letters stays behind the exchange
     assert where.rdd.getNumPartitions() == 5
     assert queries.QUERIES["drop_short"](spark, str(tmp_path)).rdd.getNumPartitions() == 5
+
+
+def test_rows_for_gaps_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(x):
+        seen.add(1)
+        return x
+
+    letters = "".join("ACDEFGHIKLMNPQRSTVWY"[(k * 7 + k // 20) % 20] for k in range(500))
+    rows = [("B", f"n{k}", 0, "aligned", letters[: 300 + k] + letters[302 + k :]) for k in range(20)]
+    df = spark.createDataFrame(rows, "virus_type string, name string, seq_no int, align_status string, t string").withColumn("aligned_aa", made("t")).drop("t")
+    assert len(indels.detect(df).collect()) == 20 and seen.value == 20
