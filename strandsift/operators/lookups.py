@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,16 +133,22 @@ def best_by_antigen(seqs: DataFrame, antigens: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "full_name", "seq_no", "score")
 
 
-def assign_antigens(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def assign_antigens(pairs: DataFrame, rounds: int = 30, most: int = 1 << 16) -> DataFrame:
     """Greedy assignment inside each entry: pairs (name, seq_no, full_name, score) by score, ties by full_name and seq_no; each antigen goes
     to one sequence and each sequence takes what ties with its best.
 
-    A pair is decided by earlier pairs of its antigen and higher ones of its sequence alone. So each round takes, everywhere at once, the pairs that are the
+    Entries of up to ``most`` pairs are shuffled once by name and gone through pair by pair as sorted streams. Larger ones are decided in rounds: a pair is
+    decided by earlier pairs of its antigen and higher ones of its sequence alone. So each round takes, everywhere at once, the pairs that are the
     first open ones of their antigen and among the highest open ones of their sequence, and closes what they rule out; the result is that
-    of going through the pairs one by one. No round needs an entry in one place. Pairs of chains longer than ``rounds`` are gone through entry by entry.
+    of going through the pairs one by one. No round needs an entry in one place. Pairs of chains longer than ``rounds`` are gone through as a stream.
     """
     columns = ["name", "seq_no", "full_name", "score"]
-    left, taken = pairs.select(*columns), []
+    pairs = pairs.select(*columns)
+    large = shared(pairs.groupBy(F.col("name").alias("_large")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("_large"))
+    if large.isEmpty():
+        return _in_order(pairs)
+    of_large = F.col("name").eqNullSafe(F.col("_large"))  # few names: each has over ``most`` pairs
+    left, taken = pairs.join(F.broadcast(large), of_large, "left_semi"), [_in_order(pairs.join(F.broadcast(large), of_large, "left_anti"))]
     of_antigen, of_seq = Window.partitionBy("name", "full_name"), Window.partitionBy("name", "seq_no")
     for _ in range(rounds):
         rows = left.withColumn("_first", F.row_number().over(of_antigen.orderBy(F.desc("score"), "seq_no")) == 1)
@@ -155,16 +160,29 @@ def assign_antigens(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         left = rows.where("NOT _take").select(*columns)
         if left.isEmpty():
             return reduce(DataFrame.unionAll, taken)
-    return reduce(DataFrame.unionAll, [*taken, left.groupBy("name").applyInPandas(_one_by_one, left.schema)])
-
-
-def _one_by_one(part: pd.DataFrame) -> pd.DataFrame:
-    """Open pairs of one entry. A sequence that has its best already has only pairs of that score open."""
-    part = part.sort_values(["score", "full_name", "seq_no"], ascending=[False, True, True])
-    taken, best, keep = set(), {}, []
-    for k, (seq, antigen, score) in enumerate(zip(part["seq_no"], part["full_name"], part["score"], strict=True)):
-        if antigen not in taken and best.get(seq, score) == score:
-            taken.add(antigen)
-            best[seq] = score
-            keep.append(k)
-    return part.iloc[keep]
+    return reduce(DataFrame.unionAll, [*taken, _in_order(left)])
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Open pairs, entry by entry in their order; of an entry only its antigens and sequences are held. A sequence that has its best already has only
+    pairs of that score open."""
+
+    def values(column) -> list:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+    def keep(batches):
+        import pyarrow as pa
+
+        now, taken, best = object(), set(), {}
+        for batch in batches:
+            kept = []
+            for k, (name, seq, antigen, score) in enumerate(zip(*(values(c) for c in batch.columns), strict=True)):
+                if name != now:
+                    now, taken, best = name, set(), {}
+                if antigen not in taken and best.get(seq, score) == score:
+                    taken.add(antigen)
+                    best[seq] = score
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return pairs.repartition("name").sortWithinPartitions("name", F.desc("score"), "full_name", "seq_no").mapInArrow(keep, pairs.schema)

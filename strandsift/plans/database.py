@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import clades, derived, sequence, text
 from ..operators import aggregates, filters, indels, lookups, merge, ordering
+from ..runtime import shared
 from ..sources import database, fasta
 
 
@@ -190,7 +191,7 @@ class SequenceDB:
         entries = self.seqs.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list(derived.ids_of(F.col("lab_ids"), "CDC")))).alias("cdc_ids"))
         pairs = lookups.entry_antigens(entries, hi)
         ags = pairs.join(hi.select("full_name", "passage", "reassortant"), "full_name")
-        scored = lookups.best_by_antigen(self.seqs, ags)
+        scored = shared(lookups.best_by_antigen(self.seqs, ags))  # counted and gone through
         found = lookups.assign_antigens(scored).groupBy("name", "seq_no").agg(F.array_sort(F.collect_set("full_name")).alias("_h"))
         rows = self.seqs.join(found, ["name", "seq_no"], "left").withColumn("hi_names", F.coalesce("_h", "hi_names"))
         if {"lineage", "date"} <= set(hi.columns):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandsift.operators import aggregates, indels
+from strandsift.operators import aggregates, indels, lookups
 from strandsift.plans import queries
 
 
@@ -87,3 +87,22 @@ def test_rows_for_gaps_are_computed_once(spark):
     rows = [("B", f"n{k}", 0, "aligned", letters[: 300 + k] + letters[302 + k :]) for k in range(20)]
     df = spark.createDataFrame(rows, "virus_type string, name string, seq_no int, align_status string, t string").withColumn("aligned_aa", made("t")).drop("t")
     assert len(indels.detect(df).collect()) == 20 and seen.value == 20
+
+
+def test_small_entries_are_assigned_in_one_pass_and_large_ones_in_rounds(spark):
+    rnd = random.Random(3)
+    rows = [(name, rnd.randrange(9), f"f{rnd.randrange(12)}", rnd.choice((10, 20, 30, 100))) for name, n in (("A", 90), (None, 80), ("B", 30), ("C", 9)) for _ in range(n)]
+    want = []
+    for name in ("A", None, "B", "C"):
+        taken, best = set(), {}
+        for _, seq, antigen, score in sorted({r for r in rows if r[0] == name}, key=lambda r: (-r[3], r[2], r[1])):
+            if antigen not in taken and best.get(seq, score) == score:
+                taken.add(antigen)
+                best[seq] = score
+                want.append((name, seq, antigen, score))
+    df = spark.createDataFrame(rows, "name string, seq_no int, full_name string, score int")
+    for rounds, most in ((30, 0), (1, 0), (0, 0), (30, 40), (30, 1000)):
+        got = lookups.assign_antigens(df, rounds, most).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str), (rounds, most)
+    many = spark.range(5000).select(F.expr("string(id div 10)").alias("name"), F.expr("int(id % 3)").alias("seq_no"), F.expr("concat('F', id % 7)").alias("full_name"), F.expr("int(id % 4)").alias("score"))
+    assert 0 < written(lookups.assign_antigens(many))[1] <= 5000  # each pair is shuffled once
