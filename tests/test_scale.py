@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandsift import runtime
 from strandsift.operators import aggregates, indels, lookups
 from strandsift.plans import queries
 
@@ -106,3 +107,26 @@ def test_small_entries_are_assigned_in_one_pass_and_large_ones_in_rounds(spark):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str), (rounds, most)
     many = spark.range(5000).select(F.expr("string(id div 10)").alias("name"), F.expr("int(id % 3)").alias("seq_no"), F.expr("concat('F', id % 7)").alias("full_name"), F.expr("int(id % 4)").alias("score"))
     assert 0 < written(lookups.assign_antigens(many))[1] <= 5000  # each pair is shuffled once
+
+
+def test_large_tables_are_shuffled_in_more_and_smaller_partitions(spark):
+    names = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    tasks = lambda: spark.range(400000).select(F.col("id"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("s")).groupBy("s").agg(F.max("id")).groupBy(F.spark_partition_id()).count().count()
+    try:
+        runtime.sized(spark, 300, each=100)
+        assert [spark.conf.get(n, None) for n in names] == [None, None] and tasks() <= 4  # small ones keep the session's
+        runtime.sized(spark, 1600, each=100, size=1 << 20)
+        assert tasks() > 6
+        runtime.sized(spark, 500, each=100, size=1 << 30)  # never fewer or larger ones
+        assert [spark.conf.get(n) for n in names] == ["16", str(1 << 20)]
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
+def test_sequence_ids_asked_twice_give_a_row_each(spark):
+    s = spark.createDataFrame([("A/X/1/2001", 1, ["E1"], ["A/X/1/2001 E1"]), ("A/X/1/2001", 2, ["E1"], []), ("B/Y/2/2002", 1, ["C1"], [])], "name string, seq_no int, passages array<string>, hi_names array<string>")
+    want = {"A/X/1/2001__E1__1": 2, "A/X/1/2001__E1": 1, "A/X/1/2001 E1": 1, "B/Y/2/2002 C1": 1, "B/Y/2/2002__E1": None, "none": None, None: None}
+    for ids in (list(want) * 2, ["A/X/1/2001__E1__1"] * 3):
+        got = lookups.by_seq_id(s, spark.createDataFrame([(i,) for i in ids], "seq_id string")).collect()
+        assert sorted(((r["seq_id"], r["seq_no"]) for r in got), key=str) == sorted(((i, want[i]) for i in ids), key=str)
