@@ -39,14 +39,19 @@ def by_seq_id(seqs: DataFrame, ids: DataFrame) -> DataFrame:
         "seq_id", "plain", F.split_part("plain", F.lit("__"), F.lit(1)).alias("want"), F.split_part("plain", F.lit("__"), F.lit(2)).alias("passage"),
         F.coalesce(F.expr("try_cast(nullif(split_part(plain, '__', 3), '') AS int)"), F.lit(0)).alias("nth"), F.col("plain").contains("__").alias("is_id"),
     )
+    parts = shared(parts)  # read twice
     year = r"^(.*/[12]\d{3}) (.*)$"
-    loose = parts.where("NOT is_id").select("seq_id", F.col("plain").alias("hi_name"), F.regexp_extract("plain", year, 1).alias("want"), F.regexp_extract("plain", year, 2).alias("passage"), F.lit(0).alias("nth"))
     named = seqs.select("name", "seq_no", derived.first(F.col("passages")).alias("first_passage"))
-    nth = named.withColumn("nth", F.row_number().over(Window.partitionBy("name", "first_passage").orderBy("seq_no")) - 1)
-    want = parts.where("is_id").select("seq_id", "want", "passage", "nth").unionByName(loose.select("seq_id", "want", "passage", "nth"))
-    placed = want.join(nth.withColumnRenamed("nth", "n2"), (F.col("want") == F.col("name")) & (F.col("passage") == F.col("first_passage")) & (F.col("nth") == F.col("n2"))).select("seq_id", "name", "seq_no")
-    by_hi = loose.select("seq_id", "hi_name").join(hi_index(seqs), "hi_name").select("seq_id", F.col("name").alias("h_name"), F.col("seq_no").alias("h_no"))
-    return ids.join(by_hi, "seq_id", "left").join(placed, "seq_id", "left").select("seq_id", F.coalesce("h_name", "name").alias("name"), F.coalesce("h_no", "seq_no").alias("seq_no"))
+    nth = named.withColumn("n2", F.row_number().over(Window.partitionBy("name", "first_passage").orderBy("seq_no")) - 1)
+    placed = lambda want: want.join(nth, (F.col("want") == F.col("name")) & (F.col("passage") == F.col("first_passage")) & (F.col("nth") == F.col("n2")), "left")
+    found = placed(parts.where("is_id").select("seq_id", "want", "passage", "nth")).select("seq_id", "name", "seq_no")
+    loose = parts.where("is_id IS NOT TRUE")
+    if loose.isEmpty():  # laboratory names need not be indexed
+        return found
+    loose = loose.select("seq_id", F.col("plain").alias("hi_name"), F.regexp_extract("plain", year, 1).alias("want"), F.regexp_extract("plain", year, 2).alias("passage"), F.lit(0).alias("nth"))
+    by_hi = hi_index(seqs).select("hi_name", F.col("name").alias("h_name"), F.col("seq_no").alias("h_no"))
+    rest = placed(loose).select("seq_id", "hi_name", "name", "seq_no").join(by_hi, "hi_name", "left")
+    return found.unionByName(rest.select("seq_id", F.coalesce("h_name", "name").alias("name"), F.coalesce("h_no", "seq_no").alias("seq_no")))
 
 
 def match_antigens(seqs: DataFrame, antigens: DataFrame) -> DataFrame:
