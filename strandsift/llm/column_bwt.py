@@ -418,6 +418,51 @@ def _unpack_spans(data) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+def _kept(buf: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """What the rows keep without the stretches given. Callers pass a few rows at a time: this takes many times their bytes."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    cuts = np.concatenate([[0], np.cumsum(C.per_row(kept, offsets))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(buf[kept])])
+
+
+def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    """doc_id, n_bytes, n_removed, n_spans, kept of the rows of a bucket (doc_id, key1, copy, text), from its spans."""
+    buf, offsets = C.text_bytes(left.column("text"))
+    length, copy = np.diff(offsets), np.asarray(left.column("copy"))
+    row: dict[tuple[int, int], list[int]] = {}
+    for k, who in enumerate(zip(left.column("doc_id").to_pylist(), left.column("key1").to_pylist(), strict=True)):
+        if not copy[k]:
+            row.setdefault(who, []).append(k)
+    begins, ends = [offsets[:-1][copy]], [offsets[1:][copy]]  # copies go entirely
+    for x in right.column("spans"):
+        doc, key, n, begin, end = _unpack_spans(x.as_buffer())
+        at = np.cumsum(n) - n
+        rows = [(k, i) for i, who in enumerate(zip(doc.tolist(), key.tolist(), strict=True)) for k in row.get(who, ())]  # rows that repeat share their spans
+        if rows:
+            k, i = np.array(rows).T
+            pick = np.repeat(at[i] - (np.cumsum(n[i]) - n[i]), n[i]) + np.arange(n[i].sum())
+            base = np.repeat(offsets[k], n[i])
+            begins.append(begin[pick] + base)
+            ends.append(end[pick] + base)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+    of = np.searchsorted(offsets, begin, side="right") - 1
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > reach[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    begin, end, of = begin[first], reach[np.append(first[1:] - 1, len(reach) - 1)] if len(first) else reach, of[first]
+    kept = [_kept(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], begin[a:b] - offsets[i], end[a:b] - offsets[i]) for i, j in C.pieces(offsets) for a, b in (np.searchsorted(of, [i, j]).tolist(),)]
+    removed = np.bincount(of, end - begin, minlength=len(length)).astype(np.int64)
+    return pa.table({
+        "doc_id": left.column("doc_id"), "n_bytes": pa.array(length), "n_removed": pa.array(removed), "n_spans": pa.array(np.bincount(of, minlength=len(length)).astype(np.int64)),
+        "kept": pa.chunked_array(kept, pa.binary()),
+    })
+
+
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, gram: int = GRAM, shard_keys: int = 40_000, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of each row."""
     texts = _texts(docs, text, id)
@@ -434,44 +479,6 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", size: i
     spans = C.materialize(spans, "spans")
     rows = marked.withColumn("bucket", F.pmod(F.col("doc_id").bitwiseXOR(F.col("key1")), F.lit(buckets)).cast("int"))
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        buf, offsets = C.text_bytes(left.column("text"))
-        length, copy = np.diff(offsets), np.asarray(left.column("copy"))
-        row: dict[tuple[int, int], list[int]] = {}
-        for k, who in enumerate(zip(left.column("doc_id").to_pylist(), left.column("key1").to_pylist(), strict=True)):
-            if not copy[k]:
-                row.setdefault(who, []).append(k)
-        begins, ends = [offsets[:-1][copy]], [offsets[1:][copy]]  # copies go entirely
-        for x in right.column("spans"):
-            doc, key, n, begin, end = _unpack_spans(x.as_buffer())
-            at = np.cumsum(n) - n
-            rows = [(k, i) for i, who in enumerate(zip(doc.tolist(), key.tolist(), strict=True)) for k in row.get(who, ())]  # rows that repeat share their spans
-            if rows:
-                k, i = np.array(rows).T
-                pick = np.repeat(at[i] - (np.cumsum(n[i]) - n[i]), n[i]) + np.arange(n[i].sum())
-                base = np.repeat(offsets[k], n[i])
-                begins.append(begin[pick] + base)
-                ends.append(end[pick] + base)
-        begin, end = np.concatenate(begins), np.concatenate(ends)
-        order = np.argsort(begin, kind="stable")
-        begin, reach = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
-        of = np.searchsorted(offsets, begin, side="right") - 1
-        new = np.ones(len(begin), bool)
-        new[1:] = (begin[1:] > reach[:-1]) | (of[1:] != of[:-1])
-        first = np.flatnonzero(new)
-        begin, end, of = begin[first], reach[np.append(first[1:] - 1, len(reach) - 1)] if len(first) else reach, of[first]
-        edge = np.zeros(len(buf) + 1, np.int8)
-        np.add.at(edge, begin, 1)
-        np.add.at(edge, end, -1)
-        kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
-        left_over, cuts = buf[kept], np.concatenate([[0], np.cumsum(C.per_row(kept, offsets))])
-        raw = left_over.tobytes()
-        removed = np.bincount(of, end - begin, minlength=len(length)).astype(np.int64)
-        return pa.table({
-            "doc_id": left.column("doc_id"), "n_bytes": pa.array(length), "n_removed": pa.array(removed), "n_spans": pa.array(np.bincount(of, minlength=len(length)).astype(np.int64)),
-            "kept": pa.array([raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
-        })
-
     dealt = rows.select("bucket", "doc_id", "key1", "copy", "text").groupBy("bucket").cogroup(spans.groupBy("bucket"))
     done = dealt.applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +499,32 @@ def test_webp_column(spark, odd, none):
 
 
 # ---------------------------------------------------------------- 8 column-wise transform
+def test_texts_are_cut_a_few_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 123, n).tolist())) for n in (0, 40, 3 << 20, *rng.integers(0, 9000, 1000).tolist(), 700)]
+    spans = [(k, int(a), int(a) + 60) for k, t in enumerate(texts) for a in np.unique(rng.integers(0, len(t), len(t) // 500)) if a + 60 <= len(t)]
+    who, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+    packed = column_bwt._pack_spans(who, who + 7, begin, end, 1)
+    ids = np.arange(len(texts))
+    left = pa.table({"doc_id": ids, "key1": ids + 7, "copy": ids == len(texts) - 1, "text": texts})
+    got = column_bwt.cut(left, packed).to_pylist()
+    gone = [bytearray(len(t)) for t in texts]
+    gone[-1][:] = b"\x01" * len(texts[-1])
+    for k, a, b in spans:
+        if k < len(texts) - 1:
+            gone[k][a:b] = b"\x01" * (b - a)
+    assert [r["kept"] for r in got] == [bytes(c for c, g in zip(t.encode(), x, strict=True) if not g) for t, x in zip(texts, gone, strict=True)]
+    assert [r["n_removed"] for r in got] == [sum(x) for x in gone] and [r["n_bytes"] for r in got] == [len(t) for t in texts]
+    small = pa.table({"doc_id": [1] * 16, "key1": [1] * 16, "copy": [False] * 16, "text": ["x" * (1 << 20)] * 16})
+    tracemalloc.start()
+    assert column_bwt.cut(small, packed.slice(0, 0)).num_rows == 16
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * (16 << 20)  # 16 MB of text
+
+
 def test_collection_bwt():
     rng = np.random.default_rng(0)
     docs = [bytes(rng.integers(97, 100, int(rng.integers(1, 60)), dtype=np.uint8)) for _ in range(30)] + [b"abcabc", b"abcabc", b"a"]
