@@ -424,6 +424,40 @@ def test_webp_streams_by_hand():
     assert decode(s) == [colour] * 3
 
 
+def test_webp_empty_cache_entry():
+    """An entry that nothing was put in is 0, and that 0 is put in its own slot, the first."""
+    colour = next(c for c in (_argb((255, 1, 5, b))[0] for b in range(9)) if (c * 0x1E35A7BD & 0xFFFFFFFF) >> 31 == 0)
+    s = _Bits(5, 1).put(0, 1).put(1, 1).put(1, 4).put(0, 1)
+    write, lengths = webp._Writer(), [0] * 282
+    lengths[5], lengths[280], lengths[281] = 1, 2, 2  # codes 0, 10 and 11
+    webp._write_code(write, lengths)
+    s.put(int.from_bytes(write.bytes(), "little"), write.bits())
+    for x in (1, colour & 0xFF, 255, 0):
+        s.one(x)
+    s.code("0").code("10").code("11").code("10").code("11")
+    assert webp.decode_many([s.file()])[0].ravel().tolist() == [colour, colour, 0, 0, 0]
+
+
+def test_webp_parts_and_tables(monkeypatch):
+    """The pixels of all files are decoded in one go, those of transforms apart; a table is as long as its longest code needs."""
+    rng, calls, pixels = np.random.default_rng(3), [], webp._pixels
+    monkeypatch.setattr(webp, "_pixels", lambda jobs: calls.append(len(jobs)) or pixels(jobs))
+    images = [rng.choice(rng.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32), (12, 16)) for _ in range(5)]
+    modes = (np.arange(12, dtype=np.uint32).reshape(3, 4) << np.uint32(8)) | np.uint32(0xFF000000)
+    files = [webp.encode(x, modes=modes, elements=modes, group_bits=2) for x in images] + [webp.encode(x, palette=True, backrefs=True) for x in images]
+    for x, y in zip(webp.decode_many(files), images + images, strict=True):
+        assert (x == y).all()
+    assert calls == [10] and len(webp._table((1, 2, 3, 3))) == 8
+
+
+def test_webp_group_without_a_token():
+    """A group of codes whose pixels all lie in a back-reference that began in another."""
+    image = np.zeros((6, 8), np.uint32)
+    data = webp.encode(image, backrefs=True, group_bits=2)
+    assert (webp.decode_many([data])[0] == image).all()
+    assert len(webp._open(data)[0].groups) == 2
+
+
 def feature_brute(rgba, width):
     """The feature string, pixel by pixel."""
     px = [rgba[k : k + 4] for k in range(0, len(rgba), 4)]
