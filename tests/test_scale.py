@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandsift import runtime
 from strandsift.operators import aggregates, indels, lookups
 from strandsift.plans import queries
+from tests.helpers import compare
 
 
 def written(df):
@@ -76,6 +77,14 @@ def test_a_small_file_of_keys_is_dealt_over_tasks(spark, tmp_path):
     assert queries.QUERIES["drop_short"](spark, str(tmp_path)).rdd.getNumPartitions() == 5
 
 
+def test_records_to_merge_are_made_without_a_broadcast(spark, tmp_path):
+    """Proteins of the least parts went through the driver: their table looks as small as its file of keys."""
+    spark.range(5000, 9800).selectExpr("CASE WHEN id % 50 <> 3 THEN id END AS p_partkey", "'name' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = queries._pieces(spark, str(tmp_path))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() and rows.rdd.getNumPartitions() == 2
+    assert compare(spark, {"merge": queries.QUERIES["merge"]}, {"merge": queries.ORACLES["merge"]}, str(tmp_path)) == []
+
+
 def test_rows_for_gaps_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
