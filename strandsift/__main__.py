@@ -78,7 +78,9 @@ def create(spark: SparkSession, a: argparse.Namespace) -> None:
         db.save(a.db, mode="backup")
         db = SequenceDB.open(spark, a.db)
     if a.report_identical:
-        _said(db.report_identical().select(F.concat_ws(" ", F.col("n").cast("string"), "first").alias("value")).orderBy("value"))
+        for column, title in (("nuc", "Identical nucleotides:"), ("aa", "Identical amino-acids:")):
+            print(title)
+            _said(db.report_identical(column).orderBy("key", "item").select(F.concat_ws(" ", F.col("n").cast("string"), F.substring(F.sha2("key", 256), 1, 12), "item").alias("value")))
     if a.report_not_aligned_prefixes:
         _said(db.report_not_aligned(a.report_not_aligned_prefixes).select(F.col("prefix").alias("value")))
     if a.report_all_passages:

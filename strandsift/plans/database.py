@@ -134,9 +134,9 @@ class SequenceDB:
         return aggregates.clade_report(self.seqs, clade, derived.latest_date(F.col("dates")), derived.lab(F.col("lab_ids")), name)
 
     def report_identical(self, column: str = "aa") -> DataFrame:
-        """key, n, first of each group of equal sequences; its members are the rows with that key (``aggregates.identical`` lists them)."""
+        """key, n, item of each member of each group of equal sequences."""
         made = sequence.amino_acids(F.col("aa"), F.col("aa_shift")) if column == "aa" else sequence.nucleotides(F.col("nuc"), F.col("nuc_shift"))
-        return aggregates.identical_first(self.seqs.where("align_status = 'aligned'"), made, derived.seq_id(F.col("name"), F.col("passages")))
+        return aggregates.identical(self.seqs.where("align_status = 'aligned'"), made, derived.seq_id(F.col("name"), F.col("passages")).alias("item"))
 
     def report_not_aligned(self, size: int = 40) -> DataFrame:
         return aggregates.prefixes(self.seqs.where("align_status <> 'aligned'"), "aa", size)

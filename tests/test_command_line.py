@@ -37,6 +37,16 @@ def test_list(spark, folder, capsys):
     assert capsys.readouterr().out.splitlines() == ["NOT FOUND: A/NONE", f"{typed(NAMES[1])} 0"]
 
 
+def test_identical_sequences_are_listed(spark, tmp_path, capsys):
+    (tmp_path / "a.fas").write_text("".join(f">{n} | 2015-02-01 | E{k} | {k} | CDC\n{MOTIF}{BODY[:-1] + 'AC'[k == 2]}\n" for k, n in enumerate(NAMES)))
+    main(["create", str(tmp_path / "a.fas"), "--no-save", "--report-identical", "--db", str(tmp_path / "db")], spark)
+    out = capsys.readouterr().out.splitlines()
+    cut = out.index("Identical amino-acids:")
+    said = [sorted((x.split()[0], x.split()[2]) for x in part) for part in (out[1:cut], out[cut + 1 :])]
+    assert out[0] == "Identical nucleotides:" and said[0] == sorted(("3", f"{typed(NAMES[k])}__E{k}") for k in (0, 1, 3))
+    assert said[1] == sorted(("4", f"{typed(n)}__E{k}") for k, n in enumerate(NAMES)) and len({x.split()[1] for x in out[cut + 1 :]}) == 1
+
+
 def test_export(spark, folder):
     read = lambda d: spark.read.text(str(folder / d)).where("value LIKE '>%'").collect()
     main(["export", "--db", str(folder / "db"), str(folder / "x"), "--start-date", "2016", "--base-seq", "lyon", "--include", "PARIS", "--include", "LYON", "--recent", "2", "--sort", "name", "--name-format", "{name}"], spark)

@@ -139,3 +139,17 @@ def test_sequence_ids_asked_twice_give_a_row_each(spark):
     for ids in (list(want) * 2, ["A/X/1/2001__E1__1"] * 3):
         got = lookups.by_seq_id(s, spark.createDataFrame([(i,) for i in ids], "seq_id string")).collect()
         assert sorted(((r["seq_id"], r["seq_no"]) for r in got), key=str) == sorted(((i, want[i]) for i in ids), key=str)
+
+
+def test_identical_rows_are_all_reported(spark):
+    rows = [("AC", f"n{k}", k) for k in range(300)] + [("GT", "x", 1), ("GT", "x", 1), ("GG", "alone", 1), ("", "e", 1), ("", "e", 2), (None, "e", 3), (None, "e", 4)]
+    df = spark.createDataFrame(rows, "s string, name string, seq_no int").repartition(5)
+    got = aggregates.identical(df, F.col("s"), F.col("name"), F.col("seq_no"))
+    assert got.columns == ["key", "n", "name", "seq_no"]
+    assert sorted(map(tuple, got.collect())) == sorted((s, 300 if s == "AC" else 2, name, k) for s, name, k in rows if s in ("AC", "GT"))
+    assert aggregates.identical(df.where("s = 'none'"), F.col("s"), F.col("name")).collect() == []
+
+
+def test_identical_sequences_name_every_member(spark):
+    assert compare(spark, {"q": queries.QUERIES["identical_sequences"]}, {"q": queries.ORACLES["identical_sequences"]}, "/root/testdata/sf0.01") == []
+    assert queries.QUERIES["identical_sequences"](spark, "/root/testdata/sf0.01").columns == ["key", "n", "name", "seq_no"]
